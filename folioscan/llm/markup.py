@@ -47,8 +47,8 @@ SCAN = re.compile(
 TEX_COMMENT = re.compile(r"(?m)(?<!\\)%[^\n]*")
 CODE, FORMULA = "\x02", "\x01"
 
-WIKI_SIGNS = re.compile(r"^={2,6}[^=\n].*={2,6}[ \t]*$|'''|\[\[[^\]\n]+\]\]|\{\{[^}\n]*\}\}|^\{\||<nowiki|<syntaxhighlight|<ref\b|<math>(?!\s*<)|^:<math", re.M | re.I)
-MARKDOWN_SIGNS = re.compile(r"^(?:```|~~~)|^#{2,6} |^- \[[ xX]\]|^#{1,6} .*[^#]#*$(?=\n\n|\n?\Z)|^\|?[ ]*:?-{3,}[ ]*\||\[\^\w+\]|__\w|~~\w|\]\([^)\n]*\)|\*\*\w|^(?:=|-){4,}$", re.M)
+WIKI_SIGNS = re.compile(r"^={2,6}[ \t]*[^=\s].*={2,6}[ \t]*$|'''|\[\[[^\]\n]+\]\]|\{\{[^}\n]*\}\}|^\{\||<nowiki|<syntaxhighlight|<ref\b|<math>(?!\s*<)", re.M | re.I)
+MARKDOWN_SIGNS = re.compile(r"^(?:```|~~~)|^#{1,6} \*\*|^#{1,6} .*[^#\s] #+$|^ *[-+] |^\|?[ ]*:?-{3,}[ ]*\||\[\^\w+\]|(?<!\w)__\w|~~\w|\]\([^)\n]*\)|^(?:=|-){4,}$|^ *\d+[.)] ", re.M)
 LATEX_SIGNS = re.compile(r"\\(?:documentclass|usepackage|(?:sub)*section|chapter|begin|end|emph|textbf|textit|texttt|item|label|ref|footnote|cite|vspace|noindent)\b")
 HTML_SIGNS = re.compile(r"<(?:html|body|p|div|h[1-6]|ul|ol|li|table|br|span|a|b|i|em|strong)\b[^<>]*>", re.I)
 
@@ -115,9 +115,12 @@ def _literal(text: str) -> str:
     return html.unescape(text).translate(HIDE)
 
 
-def is_wiki(text: str) -> bool:
-    """Whether # at a line start means a numbered list rather than a heading."""
-    return len(WIKI_SIGNS.findall(text)) > len(MARKDOWN_SIGNS.findall(text)) or (bool(WIKI_SIGNS.search(text)) and not re.search(r"^#{2,6} ", text, re.M))
+def is_wiki(text: str, plain: str) -> bool:
+    """Whether # at a line start means a numbered list rather than a heading; neighbouring such lines are one."""
+    wiki, markdown = len(WIKI_SIGNS.findall(text)), len(MARKDOWN_SIGNS.findall(text))
+    if wiki != markdown:
+        return wiki > markdown
+    return bool(re.search(r"^#+ [^\n]*\n#+ ", plain, re.M))
 
 
 class Node:
@@ -263,7 +266,7 @@ def strip_markup(text: str | None) -> tuple[str | None, dict[str, int]]:
     plain, kept = set_aside(text)
     for kind, _ in kept:
         counts[kind] += 1
-    wiki = is_wiki(plain)
+    wiki = is_wiki(text, plain)
     heads = [m for m in HTML_HEADING.finditer(plain) if re.sub(r"<[^<>]*>", "", m.group(2)).strip()]
     counts["heading"] += len(heads)
     counts["list_item"] += len(HTML_ITEM.findall(plain))
