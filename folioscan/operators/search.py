@@ -55,10 +55,7 @@ def batched_top_k(
         got = part.toArrow()  # at most about max_query_bytes
         if not got.num_rows:
             continue
-        names = got.column("q").to_pylist()
-        matrix = np.stack([np.asarray(v, np.float64) for v in got.column("v").to_pylist()])
-        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-        sent = spark.sparkContext.broadcast((names, matrix))
+        sent = spark.sparkContext.broadcast((got.column("q").to_pylist(), unit_rows(got.column("v").combine_chunks())))
 
         def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, m = sent.value
@@ -67,24 +64,28 @@ def batched_top_k(
                 if not batch.num_rows:
                     continue
                 keys = batch.column(0).to_pylist()
-                rank = np.argsort(np.argsort(np.array(keys), kind="stable"), kind="stable")
-                v = np.stack([np.asarray(x, np.float64) for x in batch.column(1).to_pylist()])
-                v /= np.linalg.norm(v, axis=1, keepdims=True)
+                order = np.argsort(np.array(keys), kind="stable")
+                order_of = np.empty(len(keys), np.int64)
+                order_of[order] = np.arange(len(keys))
+                v = unit_rows(batch.column(1))
+                if v.shape[1] != m.shape[1]:
+                    raise ValueError("the queries have another dimension than the index")
                 s = m @ v.T
-                if exclude_self:
-                    for j, x in enumerate(keys):
-                        if x in lookup:
-                            s[lookup[x], j] = -9.0
-                least = np.sort(s, axis=1)[:, -min(k, s.shape[1])]
-                qs, xs, ss = [], [], []
-                for i in range(len(names)):
-                    at = np.flatnonzero((s[i] >= least[i]) & (s[i] >= threshold))
-                    if len(at) > k:
-                        at = at[np.lexsort((rank[at], -s[i][at]))][:k]
-                    qs += [names[i]] * len(at)
-                    xs += [keys[j] for j in at]
-                    ss += s[i][at].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(qs, pa_type(qtype)), pa.array(xs, pa_type(ktype)), pa.array(ss, pa.float64())], names=["q", "x", "score"])
+                for j, x in enumerate(keys) if lookup else ():
+                    if x in lookup:
+                        s[lookup[x], j] = -9.0
+                most = min(k, s.shape[1])
+                least = np.partition(s, -most, axis=1)[:, -most]
+                qi, xi = np.nonzero(s >= np.maximum(least, threshold)[:, None])
+                score_ = s[qi, xi]
+                by = np.lexsort((order_of[xi], -score_, qi))
+                qi, xi, score_ = qi[by], xi[by], score_[by]
+                starts = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]]) if len(qi) else np.empty(0, np.int64)
+                nth = np.arange(len(qi)) - np.repeat(starts, np.diff(np.r_[starts, len(qi)]))
+                keep = np.flatnonzero((nth < k) & (score_ > -2.0))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[i] for i in qi[keep]], pa_type(qtype)), pa.array([keys[j] for j in xi[keep]], pa_type(ktype)), pa.array(score_[keep], pa.float64())], names=["q", "x", "score"]
+                )
 
         parts.append(rows.mapInArrow(score, schema))
     if not parts:
@@ -97,6 +98,12 @@ def batched_top_k(
     return ranked.select(F.col("q").alias(query_key), F.col("x").alias(key), "score", "rank")
 
 
+def unit_rows(column: pa.Array) -> np.ndarray:
+    """Vectors of one dimension as rows of length one."""
+    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
 def pa_type(t: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
