@@ -25,19 +25,16 @@ def normalise(text: str) -> str:
     return text.strip()
 
 
+_KHMER_CHAR = re.compile(f"[{P.KHMER}]")
+
+
 def has_khmer(text: str) -> bool:
-    return P.KHMER_RUN.search(text) is not None and any("ក" <= c <= "៿" or "᧠" <= c <= "᧿" for c in text)
+    return _KHMER_CHAR.search(text) is not None
 
 
 def clusters(run: str) -> list[str]:
-    """Orthographic clusters; a stray mark joins the cluster before it."""
-    out: list[str] = []
-    for unit in P.KHMER_UNIT.findall(run):
-        if out and unicodedata.category(unit[0])[0] == "M" and unicodedata.category(unit[0]) != "Me" and not out[-1].isspace():
-            out[-1] += unit
-        else:
-            out.append(unit)
-    return out
+    """Orthographic clusters of a run of Khmer characters; a stray mark joins the cluster before it."""
+    return P.KHMER_UNIT.findall(run)
 
 
 def pieces(text: str) -> list[str]:
@@ -60,15 +57,17 @@ def words(text: str) -> list[str]:
     return out
 
 
+def _mark_run(m: re.Match) -> str:
+    units = clusters(m.group())
+    joined = P.ZWSP.join(units)
+    if P.ZWNJ in joined or P.ZWJ in joined:  # no mark beside a joiner
+        joined = re.sub(f"(?<=[{P.ZWNJ}{P.ZWJ}]){P.ZWSP}|{P.ZWSP}(?=[{P.ZWNJ}{P.ZWJ}])", "", joined)
+    return joined
+
+
 def mark_words(text: str) -> str:
     """Zero-width spaces between neighbouring Khmer pieces."""
-    got = pieces(text)
-    out = []
-    for p, q in zip(got, [*got[1:], ""], strict=True):
-        out.append(p)
-        if q and has_khmer(p[-1]) and has_khmer(q[0]):
-            out.append(P.ZWSP)
-    return "".join(out)
+    return P.KHMER_RUN.sub(_mark_run, text)
 
 
 def search_tokens(text: str) -> list[str]:

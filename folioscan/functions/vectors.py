@@ -48,18 +48,30 @@ class HashingEmbedder:
         self.dimension = dimension
         self.name = f"hashing-{dimension}"
 
+        self._slots: dict[str, tuple[int, float]] = {}
+
+    def slot(self, feature: str) -> tuple[int, float]:
+        """Place and sign of a feature; a bounded cache keeps the frequent ones."""
+        got = self._slots.get(feature)
+        if got is None:
+            h = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "little")
+            got = (h % self.dimension, 1.0 if h >> 63 else -1.0)
+            if len(self._slots) < 1 << 20:
+                self._slots[feature] = got
+        return got
+
     def vector(self, text: str) -> np.ndarray:
         tokens = search_tokens(text)
-        weights: Counter = Counter()
-        for prefix, share, features in (("u:", 1.0, tokens), ("b:", 0.5, [f"{a}\0{b}" for a, b in zip(tokens, tokens[1:], strict=False)])):
-            for f, n in Counter(features).items():
-                weights[prefix + f] = share * (1.0 + math.log(n))
-        out = np.zeros(self.dimension, np.float32)
-        for f, w in weights.items():
-            h = int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "little")
-            out[h % self.dimension] += w if h >> 63 else -w
-        length = float(np.linalg.norm(out))
-        return out / length if length else out
+        out = [0.0] * self.dimension
+        for f, n in Counter(tokens).items():
+            at, sign = self.slot("u:" + f)
+            out[at] += sign * (1.0 + math.log(n))
+        for (a, b), n in Counter(zip(tokens, tokens[1:], strict=False)).items():
+            at, sign = self.slot(f"b:{a}\0{b}")
+            out[at] += sign * 0.5 * (1.0 + math.log(n))
+        v = np.array(out, np.float32)
+        length = float(np.linalg.norm(v))
+        return v / length if length else v
 
     def column(self, text: Column) -> Column:
         dimension = self.dimension

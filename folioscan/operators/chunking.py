@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import plain
 from folioscan.functions.patterns import SEPARATORS, TOKEN, TOKEN_RE, ZWSP
+from folioscan.runtime import materialise
 
 TRIM = " \t\n\r" + ZWSP
 Span = tuple[int, int]
@@ -139,9 +140,11 @@ def chunk_streams(streams: DataFrame, *, size: int = 700, overlap: int = 100) ->
     """Chunks of joined streams (source, stream, heading, text, starts, vault).
 
     Result: id, source, chunk_index (continuous within a source), text, vault, page, page_end, heading.
-    Chunk numbers come from counts per stream, so that no source is ordered chunk by chunk.
+    Chunk numbers come from counts per stream, so that no source is ordered chunk by chunk. The cut
+    streams are written once below the shared folder.
     """
-    cut = streams.withColumn("chunks", chunk_spans(F.col("text"), F.col("vault"), size, overlap))
+    cut = streams.select("source", "stream", "heading", "starts", "vault", chunk_spans(F.col("text"), F.col("vault"), size, overlap).alias("chunks"))
+    cut = materialise(cut, "streams")  # read twice: for the counts and for the rows
     w = Window.partitionBy("source").orderBy("stream").rowsBetween(Window.unboundedPreceding, -1)
     before = cut.select("source", "stream", F.size("chunks").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")
     rows = cut.select("source", "stream", "heading", "starts", "vault", F.posexplode("chunks").alias("pos", "chunk")).join(before, ["source", "stream"])
