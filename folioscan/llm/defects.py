@@ -99,7 +99,7 @@ def written_in(text: str) -> tuple[str | None, float]:
     """The main language of the prose and its share of the letters."""
     letters = {k: len(rx.findall(text)) for k, rx in SCRIPTS.items()}
     total = sum(letters.values())
-    if total < 6:
+    if total < 4:
         return None, 0.0
     script = max(letters, key=lambda k: letters[k])
     share = letters[script] / total

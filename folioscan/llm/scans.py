@@ -418,12 +418,11 @@ def _case(old: str, new: str) -> str:
 
 
 def _join(parts: list[str]) -> str:
+    """Lines joined by blanks; scripts without spaces, and words with a hyphen of their own, are joined tightly."""
     out = parts[0]
     for p in parts[1:]:
-        both = out[-1:] + p[:1]
-        tight = bool(re.fullmatch(r"[ក-៓]{2}", both)) or not out or out[-1:] == " " or bool(re.fullmatch(r"[一-鿿、。，；]{2}", both))
-        glue = "" if tight or out.endswith("\0") else " "
-        out = out + glue + p
+        tight = not out or out[-1] == " " or re.fullmatch(r"[ក-៓]{2}|[一-鿿、。，；]{2}", out[-1] + p[:1]) or (re.search(r"\w[-‐]$", out) and p[:1].isalpha())
+        out += p if tight else " " + p
     return out
 
 

@@ -1,9 +1,9 @@
 """Splitting oversized items at natural boundaries: content-defined chunking.
 
-A rolling hash over a fixed window marks landmarks in the text. A piece ends at the natural boundary
-nearest to the first landmark between the least and the greatest size; where the window holds no
-landmark its lowest hash counts as one. Landmarks depend on nearby characters only, so an edit moves
-only the cuts around it.
+A rolling hash over a fixed window of characters ranks all positions. The landmark of a piece is the
+position of the lowest hash between its least and its greatest size, and the piece ends at the natural
+boundary nearest to it. Hashes depend on nearby characters only, so pieces that begin at different
+places soon agree on a landmark again, and an edit moves only the cuts around it.
 """
 
 from __future__ import annotations
@@ -124,7 +124,6 @@ def split_text(text: str, vault: dict[str, str] | None, limit: int, overlap: int
     inside[1:n] |= (points[:-1] == 0x17D2) | (points[:-1] == 0x200D) | (points[:-1] == 0x94D)
     free = np.flatnonzero(~inside)
     hashes = window_hashes(points)
-    mask = np.uint64((1 << max(4, int(np.log2(max(limit // 4, 16))))) - 1)
     ends = []
     for rx in BOUNDARIES:
         at = np.array([m.end() for m in rx.finditer(text)], np.int64)
@@ -136,9 +135,7 @@ def split_text(text: str, vault: dict[str, str] | None, limit: int, overlap: int
         high = int(np.searchsorted(reach, reach[start] + limit, "right")) - 1
         end = None
         if high >= low:
-            here = hashes[low : high + 1]
-            marks = np.flatnonzero((here & mask) == 0)
-            mark = low + int(marks[0] if len(marks) else np.argmin(here))
+            mark = low + int(np.argmin(hashes[low : high + 1]))
             for at in ends:
                 i, j = np.searchsorted(at, low), np.searchsorted(at, high, "right")
                 if j > i:
