@@ -34,7 +34,7 @@ CHANNEL = math.log(0.004)
 #: A form seen this often against its candidate's count is a word of its own.
 OWN_WORD = 0.02
 
-WORD = re.compile(r"[^\W_]+(?:@[^\W_]+)*(?:[-‐][^\W_]+)*")
+WORD = re.compile(r"@?[^\W_]+(?:@[^\W_]*)*(?:[-‐][^\W_]+)*")
 KHMER = re.compile(r"[ក-៓ៗ៝]+")
 FOREIGN = re.compile(r"(?<=[ក-៓])[A-Za-z0-9](?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Za-z0-9](?=[ក-៓])")
 KHMER_RUN = re.compile(r"(?:[ក-៓]|(?<=[ក-៓])[:A-Za-z0-9](?=[ក-៓])|[A-Za-z0-9](?=[ក-៓])|(?<=[ក-៓])[A-Za-z0-9:](?![A-Za-z0-9]))+")
@@ -122,7 +122,7 @@ def language_counts(texts: DataFrame, words: int, pairs: int, khmer: int) -> dic
                 found = [x for x in found if not "ក" <= x[0] <= "៓"]
                 w.update(found)
                 p.update(zip(found, found[1:], strict=False))
-                if "​" in text:
+                if 12 * text.count("​") > len(text):  # words are marked throughout
                     k.update(KHMER.findall(text))
             rows = [("w", x, n) for x, n in w.items()] + [("p", f"{x} {y}", n) for (x, y), n in p.items()] + [("k", x, n) for x, n in k.items()]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
@@ -235,7 +235,7 @@ class Reader:
             if far == len(run):
                 break
             best = (far, None)
-            for i in range(far, min(len(run), far + self.longest + 1)):
+            for i in range(max(0, far - 3), min(len(run), far + self.longest + 1)):
                 c = run[i]
                 if c in KHMER_CONFUSIONS:
                     options = KHMER_CONFUSIONS[c]
@@ -334,7 +334,7 @@ def repair(text: str, page: int | None, headers: list[str], distance: int | None
         head = carry
         carry = None
         broken = None
-        if fixed and fixed[-1] in BREAK_MARKS and tokens and tokens[-1].end() >= len(fixed) - 1:
+        if fixed and fixed[-1] in BREAK_MARKS and tokens and tokens[-1].end() == len(fixed) - 1:
             rest = next((lines[j] for j in body[n + 1 :] if lines[j].strip()), None)
             broken = _break(tokens[-1].group(), fixed[-1], rest, reader)
         words = [m.group().lower().replace("‐", "-") for m in tokens]
