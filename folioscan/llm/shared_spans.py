@@ -1,12 +1,14 @@
 """Long exact spans shared between records: fixed-block anchors.
 
-Each text is cut into non-overlapping blocks of half the wanted length; a shared span of the wanted
-length covers at least one whole block of either text. The blocks are indexed by hash, every rolling
-window of every text is looked up, and hits are extended to maximal exact repeats on the texts.
-
-Most windows match nothing. A bitmap of fixed size over the block hashes drops them before the shuffle;
-it only ever drops windows that cannot match, so the result is whole at any size of the input.
-Equal texts are handled once and expanded at the end.
+Each text is cut into non-overlapping blocks of a quarter of the wanted length. A block and the code
+points behind it, three quarters of the length, form an anchor: a shared span of the wanted length holds
+the whole anchor of one of its first blocks. Anchors are indexed by hash, every rolling window of every
+text is looked up, and texts that meet are extended to maximal exact repeats.
+
+Most windows match nothing. A bitmap of fixed size over the anchor hashes drops them before the shuffle;
+it only ever drops windows that cannot match, so the result is whole at any size of the input. Equal
+texts are handled once and expanded at the end. How much of a text is shared follows from counting the
+windows of the wanted length at the places that meet, without pairing the texts that share them.
 """
 
 from __future__ import annotations
@@ -22,54 +24,59 @@ from folioscan.llm.splitting import window_hashes
 from folioscan.runtime import materialise
 
 LEAST = 120
-BITS = 26
+BITS = 27
 
 
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _arrow(names: list[str], columns: list[list[np.ndarray]], kinds: list[type]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0, k)) for c, k in zip(columns, kinds, strict=True)], names=names)
+ROWS = "h long, key long, pos int, indexed boolean"
+
+
+def _batch(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
+    kinds, names = (np.int64, np.int64, np.int32, np.bool_), ("h", "key", "pos", "indexed")
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0, k)) for c, k in zip(columns, kinds, strict=True)], names=list(names))
 
 
-def _blocks(texts: DataFrame, block: int) -> DataFrame:
+def anchor_hashes(texts: DataFrame, block: int, window: int) -> DataFrame:
+    """Hashes of the anchors of all texts, for the bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], []]
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h = window_hashes(code_points(text), block)[block::block].view(np.int64)
-                out[0].append(h)
-                out[1].append(np.full(len(h), key, np.int64))
-                out[2].append(np.arange(len(h), dtype=np.int32) * block)
-            yield _arrow(["h", "key", "pos"], out, [np.int64, np.int64, np.int32])
+            got = [window_hashes(code_points(t), window)[window::block] for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(got) if got else np.empty(0, np.uint64)).view(np.int64))], names=["h"])
+
+    return texts.select("text").mapInArrow(run, "h long")
 
-    return texts.select("key", "text").mapInArrow(run, "h long, key long, pos int")
 
+def windows(texts: DataFrame, block: int, window: int, bitmap, bits: int) -> DataFrame:
+    """(h, key, pos, indexed): the anchors of all texts, and the other windows that the bitmap lets through."""
 
-def _windows(texts: DataFrame, block: int, bitmap, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.frombuffer(bitmap.value, np.uint64)
         low, six = np.uint64((1 << bits) - 1), np.uint64(6)
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], []]
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h = window_hashes(code_points(text), block)[block:]
+                h = window_hashes(code_points(text), window)[window:]
                 slot = h & low
-                hit = np.flatnonzero((words[(slot >> six).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
-                out[0].append(h[hit].view(np.int64))
-                out[1].append(np.full(len(hit), key, np.int64))
-                out[2].append(hit.astype(np.int32))
-            yield _arrow(["h", "key", "pos"], out, [np.int64, np.int64, np.int32])
+                keep = ((words[(slot >> six).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+                at = np.flatnonzero(keep)
+                out[0].append(h[at].view(np.int64))
+                out[1].append(np.full(len(at), key, np.int64))
+                out[2].append(at.astype(np.int32))
+                out[3].append(at % block == 0)
+            yield _batch(out)
 
-    return texts.select("key", "text").mapInArrow(run, "h long, key long, pos int")
+    return texts.select("key", "text").mapInArrow(run, ROWS)
 
 
-def block_bitmap(blocks: DataFrame, bits: int) -> bytes:
-    """Bitmap over the low bits of the block hashes: at most 2**bits / 8 bytes."""
+def anchor_bitmap(hashes: DataFrame, bits: int) -> bytes:
+    """Bitmap over the low bits of the anchor hashes: at most 2**bits / 8 bytes."""
     slot = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
     words = (
-        blocks.select(F.shiftright(slot, 6).cast("int").alias("w"), F.expr("shiftleft(1L, CAST(h & 63 AS INT))").alias("b"))
+        hashes.select(F.shiftright(slot, 6).cast("int").alias("w"), F.expr("shiftleft(1L, CAST(h & 63 AS INT))").alias("b"))
         .groupBy("w")
         .agg(F.bit_or("b").alias("b"))
         .toArrow()
@@ -79,22 +86,29 @@ def block_bitmap(blocks: DataFrame, bits: int) -> bytes:
     return out.tobytes()
 
 
-def maximal(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], block: int, least: int) -> list[tuple[int, int, int]]:
-    """Maximal equal runs (start in a, start in b, length) of at least ``least`` through the anchors."""
-    out, done = [], {}
-    for i, j in sorted(anchors):
-        d = i - j
-        if done.get(d, -1) >= i + block or (a[i : i + block] != b[j : j + block]).any():
-            continue
-        m = min(i, j)
-        back = np.flatnonzero(a[i - m : i] != b[j - m : j])
-        left = m - (int(back[-1]) + 1) if len(back) else m
-        m = min(len(a) - i, len(b) - j)
-        ahead = np.flatnonzero(a[i : i + m] != b[j : j + m])
-        right = int(ahead[0]) if len(ahead) else m
-        done[d] = i + right
-        if left + right >= least:
-            out.append((i - left, j - left, left + right))
+def maximal(a: np.ndarray, b: np.ndarray, block: int, window: int, least: int) -> list[tuple[int, int, int]]:
+    """Maximal equal runs (start in a, start in b, length) of at least ``least``, by anchors of the shorter text."""
+    if len(a) < len(b):
+        return [(i, j, n) for j, i, n in maximal(b, a, block, window, least)]
+    ha, hb = window_hashes(a, window)[window:], window_hashes(b, window)[window::block]
+    order = np.argsort(ha, kind="stable")
+    first, stop = np.searchsorted(ha[order], hb, "left"), np.searchsorted(ha[order], hb, "right")
+    out, reached = [], {}
+    for q in np.flatnonzero(stop > first):
+        j = int(q) * block
+        for i in order[first[q] : stop[q]].tolist():
+            d = i - j
+            if reached.get(d, -1) >= j + window or (a[i : i + window] != b[j : j + window]).any():
+                continue
+            m = min(i, j)
+            back = np.flatnonzero(a[i - m : i] != b[j - m : j])
+            left = m - (int(back[-1]) + 1) if len(back) else m
+            m = min(len(a) - i, len(b) - j)
+            ahead = np.flatnonzero(a[i : i + m] != b[j : j + m])
+            right = int(ahead[0]) if len(ahead) else m
+            reached[d] = j + right
+            if left + right >= least:
+                out.append((i - left, j - left, left + right))
     return out
 
 
@@ -104,49 +118,50 @@ def keyed_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return d.select("doc_id", "key").distinct(), d.groupBy("key").agg(F.min("text").alias("text"))
 
 
-def text_spans(docs: DataFrame, *, least: int = LEAST, bits: int = BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Shared spans between different texts.
-
-    Returns (members: doc_id, key; texts: key, n_chars, n_docs; spans: key_a, key_b, start_a, start_b,
-    length with key_a < key_b). Null ids and texts are left out; texts shorter than ``least`` share
-    nothing; repeated rows count once. Other columns are ignored.
-    """
+def meetings(docs: DataFrame, least: int, bits: int) -> DataFrame:
+    """Windows (h, key, pos, indexed) that stand in several texts, written to the shared folder."""
     if least < 16:
         raise ValueError("least must be at least 16")
-    spark, block = docs.sparkSession, least // 2
+    spark, block = docs.sparkSession, least // 4
+    window = least - block + 1
+    long_ = docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= least)).select(F.xxhash64("text").alias("key"), "text")
+    bitmap = spark.sparkContext.broadcast(anchor_bitmap(anchor_hashes(long_, block, window), bits))  # 2**bits / 8 bytes whatever the input
+    # copies of a text give equal rows, which stay together and are dropped by the last step
+    rows = windows(long_, block, window, bitmap, bits)
+    w = Window.partitionBy("h")
+    several = rows.withColumns({"low": F.min("key").over(w), "high": F.max("key").over(w)}).where("low <> high").drop("low", "high").distinct()
+    return materialise(several, "meetings")
+
+
+def text_spans(docs: DataFrame, *, least: int = LEAST, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """Shared spans between different texts: (members: doc_id, key; spans: key_a, key_b, start_a, start_b, length).
+
+    key_a < key_b. Null ids and texts are left out; texts shorter than ``least`` share nothing; repeated
+    rows count once. Other columns are ignored.
+    """
+    met = meetings(docs, least, bits)
+    block = least // 4
+    window = least - block + 1
+    a, b = met.select("h", F.col("key").alias("x")).distinct(), met.where("indexed").select("h", F.col("key").alias("y")).distinct()
+    pairs_ = a.join(b, "h").where("x <> y").select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
+    pairs_ = materialise(pairs_, "pairs")
     members, texts = keyed_texts(docs)
-    long_ = docs.where(F.length("text") >= least).select(F.xxhash64("text").alias("key"), "text")
-    blocks = _blocks(long_, block)
-    bitmap = spark.sparkContext.broadcast(block_bitmap(blocks, bits))  # 2**bits / 8 bytes whatever the input
-    # copies of a text give equal rows, which the map side of the two aggregations drops
-    index = blocks.groupBy("h", "key", "pos").agg(F.lit(1).alias("i")).select("h", F.col("key").alias("key_b"), F.col("pos").alias("pos_b"))
-    probes = _windows(long_, block, bitmap, bits).groupBy("h", "key", "pos").agg(F.lit(1).alias("i")).select("h", F.col("key").alias("key_a"), F.col("pos").alias("pos_a"))
-    hits = probes.join(index, "h").where("key_a <> key_b")
-    lower = F.col("key_a") < F.col("key_b")
-    hits = hits.select(
-        F.when(lower, F.col("key_a")).otherwise(F.col("key_b")).alias("key_a"),
-        F.when(lower, F.col("key_b")).otherwise(F.col("key_a")).alias("key_b"),
-        F.when(lower, F.struct(F.col("pos_a").alias("i"), F.col("pos_b").alias("j"))).otherwise(F.struct(F.col("pos_b").alias("i"), F.col("pos_a").alias("j"))).alias("at"),
-    )
-    pairs = materialise(hits.groupBy("key_a", "key_b").agg(F.collect_set("at").alias("anchors")), "anchors")
-    joined = pairs.join(texts.select(F.col("key").alias("key_a"), F.col("text").alias("text_a")), "key_a").join(texts.select(F.col("key").alias("key_b"), F.col("text").alias("text_b")), "key_b")
+    joined = pairs_.join(texts.select(F.col("key").alias("key_a"), F.col("text").alias("text_a")), "key_a").join(texts.select(F.col("key").alias("key_b"), F.col("text").alias("text_b")), "key_b")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for batch in batches:
             rows = []
-            for r in b.to_pylist():
-                for s in maximal(code_points(r["text_a"]), code_points(r["text_b"]), [(x["i"], x["j"]) for x in r["anchors"]], block, least):
-                    rows.append((r["key_a"], r["key_b"], *s))
+            for ka, kb, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                rows += [(ka, kb, *s) for s in maximal(code_points(ta), code_points(tb), block, window, least)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key_a", "key_b", "start_a", "start_b", "length"])
 
-    spans = joined.select("key_a", "key_b", "anchors", "text_a", "text_b").mapInArrow(extend, "key_a long, key_b long, start_a long, start_b long, length long")
-    return members, texts, spans
+    return members, joined.select("key_a", "key_b", "text_a", "text_b").mapInArrow(extend, "key_a long, key_b long, start_a long, start_b long, length long")
 
 
 def pairs(docs: DataFrame, *, least: int = LEAST, bits: int = BITS) -> DataFrame:
     """All pairs of documents with a common run of ``least`` code points: doc_id_a < doc_id_b."""
-    members, texts, spans = text_spans(docs, least=least, bits=bits)
+    members, spans = text_spans(docs, least=least, bits=bits)
     linked = spans.select("key_a", "key_b").distinct()
     a, b = members.select(F.col("doc_id").alias("a"), F.col("key").alias("key_a")), members.select(F.col("doc_id").alias("b"), F.col("key").alias("key_b"))
     between = linked.join(a, "key_a").join(b, "key_b").select("a", "b")
@@ -161,13 +176,35 @@ def coverage(docs: DataFrame, *, least: int = LEAST, bits: int = BITS) -> DataFr
     A document whose whole text is that of another is covered entirely. Documents that share nothing
     have zeros; null texts count as empty.
     """
-    members, texts, spans = text_spans(docs, least=least, bits=bits)
-    ends = spans.select(F.col("key_a").alias("key"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("length")).alias("e")).unionByName(
-        spans.select(F.col("key_b").alias("key"), F.col("start_b").alias("s"), (F.col("start_b") + F.col("length")).alias("e"))
+    met = meetings(docs, least, bits)
+    members, texts = keyed_texts(docs)
+    window = least - least // 4 + 1
+    places = met.groupBy("key").agg(F.collect_set("pos").alias("places"))  # bounded by the length of one text
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list[np.ndarray]] = [[], [], []]
+            for key, text, at in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                h = window_hashes(code_points(text), least)[least:]
+                near = np.zeros(len(h) + 1, np.int64)
+                at = np.array(at)
+                np.add.at(near, np.clip(at + window - least, 0, len(h)), 1)
+                np.add.at(near, np.clip(at + 1, 0, len(h)), -1)
+                starts = np.flatnonzero(np.cumsum(near)[:-1] > 0)
+                out[0].append(h[starts].view(np.int64))
+                out[1].append(np.full(len(starts), key, np.int64))
+                out[2].append(starts.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0, k)) for c, k in zip(out, (np.int64, np.int64, np.int32), strict=True)], names=["h", "key", "start"])
+
+    whole_windows = texts.join(places, "key").select("key", "text", "places").mapInArrow(emit, "h long, key long, start int")
+    w = Window.partitionBy("h")
+    shared_ = whole_windows.withColumns({"low": F.min("key").over(w), "high": F.max("key").over(w)}).where("low <> high").select("key", "start")
+    step = F.lead("start").over(Window.partitionBy("key").orderBy("start")) - F.col("start")
+    covered = (
+        shared_.withColumn("step", step)
+        .groupBy("key")
+        .agg(F.sum(F.least(F.coalesce("step", F.lit(least)), F.lit(least))).alias("part"), F.sum(F.when(F.coalesce(F.col("step") > least, F.lit(True)), 1).otherwise(0)).alias("n"))
     )
-    w = Window.partitionBy("key").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = ends.distinct().withColumn("reach", F.coalesce(F.max("e").over(w), F.lit(0)))
-    covered = fresh.groupBy("key").agg(F.sum(F.greatest(F.col("e") - F.greatest("s", "reach"), F.lit(0))).alias("part"), F.sum(F.when((F.col("reach") == 0) | (F.col("s") > F.col("reach")), 1).otherwise(0)).alias("n"))
     sizes = members.groupBy("key").agg(F.count("*").alias("copies"))
     d = docs.select("doc_id", F.xxhash64("text").alias("key"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars")).where(F.col("doc_id").isNotNull()).distinct()
     out = d.join(covered, "key", "left").join(sizes, "key", "left")
