@@ -16,6 +16,7 @@ from folioscan.functions.vectors import cosine_similarity
 from folioscan.operators.index import filter_sources
 
 QUERY_BYTES = 64 << 20
+CELLS = 4_000_000
 
 
 def top_k(table: DataFrame, query: list[float], k: int, *, threshold: float = -1.0, sources: list[str] | None = None, key: str = "id", embedding: str = "embedding") -> DataFrame:
@@ -70,22 +71,25 @@ def batched_top_k(
                 v = unit_rows(batch.column(1))
                 if v.shape[1] != m.shape[1]:
                     raise ValueError("the queries have another dimension than the index")
-                s = m @ v.T
-                for j, x in enumerate(keys) if lookup else ():
-                    if x in lookup:
-                        s[lookup[x], j] = -9.0
-                most = min(k, s.shape[1])
-                least = np.partition(s, -most, axis=1)[:, -most]
-                qi, xi = np.nonzero(s >= np.maximum(least, threshold)[:, None])
-                score_ = s[qi, xi]
-                by = np.lexsort((order_of[xi], -score_, qi))
-                qi, xi, score_ = qi[by], xi[by], score_[by]
-                starts = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]]) if len(qi) else np.empty(0, np.int64)
-                nth = np.arange(len(qi)) - np.repeat(starts, np.diff(np.r_[starts, len(qi)]))
-                keep = np.flatnonzero((nth < k) & (score_ > -2.0))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[i] for i in qi[keep]], pa_type(qtype)), pa.array([keys[j] for j in xi[keep]], pa_type(ktype)), pa.array(score_[keep], pa.float64())], names=["q", "x", "score"]
-                )
+                most = min(k, len(keys))
+                slice_ = max(1, CELLS // len(keys))
+                for a in range(0, len(names), slice_):  # bounds the score matrix
+                    s = m[a : a + slice_] @ v.T
+                    for j, x in enumerate(keys) if lookup else ():
+                        i = lookup.get(x, -1) - a
+                        if 0 <= i < len(s):
+                            s[i, j] = -9.0
+                    least = np.partition(s, -most, axis=1)[:, -most]
+                    qi, xi = np.nonzero(s >= np.maximum(least, threshold)[:, None])
+                    score_ = s[qi, xi]
+                    by = np.lexsort((order_of[xi], -score_, qi))
+                    qi, xi, score_ = qi[by], xi[by], score_[by]
+                    starts = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]]) if len(qi) else np.empty(0, np.int64)
+                    nth = np.arange(len(qi)) - np.repeat(starts, np.diff(np.r_[starts, len(qi)]))
+                    keep = np.flatnonzero((nth < k) & (score_ > -2.0))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([names[a + i] for i in qi[keep]], pa_type(qtype)), pa.array([keys[j] for j in xi[keep]], pa_type(ktype)), pa.array(score_[keep], pa.float64())], names=["q", "x", "score"]
+                    )
 
         parts.append(rows.mapInArrow(score, schema))
     if not parts:
