@@ -7,6 +7,7 @@ from folioscan.llm import canonical, defects, markup, mixing, neighbours, packin
 QUERIES = {
     "p1_found": neighbours.found,
     "p1_neighbours": neighbours.nearest,
+    "p1_topk": neighbours.complete,
     "p2_found": sentences.found,
     "p3_found": defects.found,
     "p4_found": splitting.found,
@@ -36,6 +37,13 @@ SQL = {
                    WHERE list_cosine_similarity(a.e, b.e) >= 0.85),
              r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM s)
         SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM r WHERE k <= 5""",
+    "p1_topk": """
+        WITH v AS (SELECT DISTINCT ON (vec_id) vec_id, CAST(embedding AS DOUBLE[]) AS e FROM chunk_vectors
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+             s AS (SELECT a.vec_id, b.vec_id AS neighbour, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+        SELECT vec_id, neighbour, round(s, 6) AS similarity, CAST(k AS INTEGER) AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, neighbour) AS k FROM s) WHERE k <= 5""",
     "p4_found": """
         WITH i AS (SELECT 'section' AS item_kind, CAST(section_id AS VARCHAR) AS item_key, length(replace(text, chr(8203), '')) AS size FROM sections
                    UNION ALL

@@ -13,6 +13,7 @@ windows of the wanted length at the places that meet, without pairing the texts
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,8 @@ from folioscan.llm.splitting import window_hashes
 from folioscan.runtime import materialise
 
 LEAST = 120
-BITS = 27
+BITS = 30  # of the bitmap at most: 128 MB
+SPARSE = 16  # bits of the bitmap for each anchor
 
 
 def code_points(text: str) -> np.ndarray:
@@ -39,18 +41,23 @@ def _batch(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0, k)) for c, k in zip(columns, kinds, strict=True)], names=list(names))
 
 
-def anchor_hashes(texts: DataFrame, block: int, window: int) -> DataFrame:
-    """Hashes of the anchors of all texts, for the bitmap."""
+def in_pass(h: np.ndarray, turn: int, passes: int) -> np.ndarray:
+    return np.ones(len(h), bool) if passes == 1 else (h >> np.uint64(40)) % np.uint64(passes) == np.uint64(turn)
+
+
+def anchor_hashes(texts: DataFrame, block: int, window: int, turn: int, passes: int) -> DataFrame:
+    """Hashes of the anchors of all texts that belong to a pass, for its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [window_hashes(code_points(t), window)[window::block] for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(got) if got else np.empty(0, np.uint64)).view(np.int64))], names=["h"])
+            h = np.concatenate(got) if got else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(h[in_pass(h, turn, passes)].view(np.int64))], names=["h"])
 
     return texts.select("text").mapInArrow(run, "h long")
 
 
-def windows(texts: DataFrame, block: int, window: int, bitmap, bits: int) -> DataFrame:
+def windows(texts: DataFrame, block: int, window: int, bitmap, bits: int, turn: int, passes: int) -> DataFrame:
     """(h, key, pos, indexed): the anchors of all texts, and the other windows that the bitmap lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,6 +69,8 @@ def windows(texts: DataFrame, block: int, window: int, bitmap, bits: int) -> Dat
                 h = window_hashes(code_points(text), window)[window:]
                 slot = h & low
                 keep = ((words[(slot >> six).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+                if passes > 1:
+                    keep &= in_pass(h, turn, passes)
                 at = np.flatnonzero(keep)
                 out[0].append(h[at].view(np.int64))
                 out[1].append(np.full(len(at), key, np.int64))
@@ -119,18 +128,30 @@ def keyed_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def meetings(docs: DataFrame, least: int, bits: int) -> DataFrame:
-    """Windows (h, key, pos, indexed) that stand in several texts, written to the shared folder."""
+    """Windows (h, key, pos, indexed) that stand in several texts, written to the shared folder.
+
+    The bitmap has SPARSE bits for each anchor, but 2**bits at most. Where the anchors are too many for
+    that, the hashes are taken in several passes over the texts, so that what is shuffled stays in
+    proportion to the input while what is broadcast stays bounded.
+    """
     if least < 16:
         raise ValueError("least must be at least 16")
     spark, block = docs.sparkSession, least // 4
     window = least - block + 1
     long_ = docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= least)).select(F.xxhash64("text").alias("key"), "text")
-    bitmap = spark.sparkContext.broadcast(anchor_bitmap(anchor_hashes(long_, block, window), bits))  # 2**bits / 8 bytes whatever the input
-    # copies of a text give equal rows, which stay together and are dropped by the last step
-    rows = windows(long_, block, window, bitmap, bits)
-    w = Window.partitionBy("h")
-    several = rows.withColumns({"low": F.min("key").over(w), "high": F.max("key").over(w)}).where("low <> high").drop("low", "high").distinct()
-    return materialise(several, "meetings")
+    anchors = long_.agg(F.sum(F.floor((F.length("text") - window) / block) + 1)).first()[0] or 0
+    passes = max(1, -(-anchors * SPARSE // (1 << bits)))
+    bits = max(16, min(bits, math.ceil(math.log2(SPARSE * anchors / passes + 1))))
+    found: DataFrame | None = None
+    for turn in range(passes):
+        bitmap = spark.sparkContext.broadcast(anchor_bitmap(anchor_hashes(long_, block, window, turn, passes), bits))  # 2**bits / 8 bytes
+        # copies of a text give equal rows, which stay together and are dropped by the last step
+        rows = windows(long_, block, window, bitmap, bits, turn, passes)
+        w = Window.partitionBy("h")
+        several = materialise(rows.withColumns({"low": F.min("key").over(w), "high": F.max("key").over(w)}).where("low <> high").drop("low", "high").distinct(), "meetings")
+        bitmap.unpersist()
+        found = several if found is None else found.unionByName(several)
+    return found
 
 
 def text_spans(docs: DataFrame, *, least: int = LEAST, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
