@@ -48,7 +48,7 @@ TEX_COMMENT = re.compile(r"(?m)(?<!\\)%[^\n]*")
 CODE, FORMULA = "\x02", "\x01"
 
 WIKI_SIGNS = re.compile(r"^={2,6}[ \t]*[^=\s].*={2,6}[ \t]*$|'''|\[\[[^\]\n]+\]\]|\{\{[^}\n]*\}\}|^\{\||<nowiki|<syntaxhighlight|<ref\b|<math>(?!\s*<)", re.M | re.I)
-MARKDOWN_SIGNS = re.compile(r"^(?:```|~~~)|^#{1,6} \*\*|^#{1,6} .*[^#\s] #+$|^ *[-+] |^\|?[ ]*:?-{3,}[ ]*\||\[\^\w+\]|(?<!\w)__\w|~~\w|\]\([^)\n]*\)|^(?:=|-){4,}$|^ *\d+[.)] ", re.M)
+MARKDOWN_SIGNS = re.compile(r"^(?:```|~~~)|^#{1,6} \*\*|^#{1,6} .*[^#\s] #+$|^ *[-+] |^\|?[ ]*:?-{3,}[ ]*\||\[\^\w+\]|(?<!\w)__\w|~~\w|\]\([^)\n]*\)|(?<=\S)\n(?:=|-){3,}[ \t]*$|^ *\d+[.)] ", re.M)
 LATEX_SIGNS = re.compile(r"\\(?:documentclass|usepackage|(?:sub)*section|chapter|begin|end|emph|textbf|textit|texttt|item|label|ref|footnote|cite|vspace|noindent)\b")
 HTML_SIGNS = re.compile(r"<(?:html|body|p|div|h[1-6]|ul|ol|li|table|br|span|a|b|i|em|strong)\b[^<>]*>", re.I)
 
