@@ -34,7 +34,7 @@ CHANNEL = math.log(0.004)
 #: A form seen this often against its candidate's count is a word of its own.
 OWN_WORD = 0.02
 
-WORD = re.compile(r"@?[^\W_]+(?:@[^\W_]*)*(?:[-‐][^\W_]+)*")
+LATIN = re.compile(r"@?[^\W_ក-៿]+(?:@[^\W_ក-៿]*)*(?:[-‐][^\W_ក-៿]+)*")
 KHMER = re.compile(r"[ក-៓ៗ៝]+")
 FOREIGN = re.compile(r"(?<=[ក-៓])[A-Za-z0-9](?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Za-z0-9](?=[ក-៓])")
 KHMER_RUN = re.compile(r"(?:[ក-៓]|(?<=[ក-៓])[:A-Za-z0-9](?=[ក-៓])|[A-Za-z0-9](?=[ក-៓])|(?<=[ក-៓])[A-Za-z0-9:](?![A-Za-z0-9]))+")
@@ -118,8 +118,7 @@ def language_counts(texts: DataFrame, words: int, pairs: int, khmer: int) -> dic
         for b in batches:
             w, p, k = Counter(), Counter(), Counter()
             for text in b.column(0).to_pylist():
-                found = WORD.findall(text.lower().replace("‐", "-")) if not text.isascii() else WORD.findall(text.lower())
-                found = [x for x in found if not "ក" <= x[0] <= "៓"]
+                found = LATIN.findall(text.lower().replace("‐", "-"))
                 w.update(found)
                 p.update(zip(found, found[1:], strict=False))
                 if 12 * text.count("​") > len(text):  # words are marked throughout
@@ -147,6 +146,7 @@ class Reader:
         top = max(counts["k"].values(), default=0)
         self.khmer = {w: n for w, n in counts["k"].items() if n >= max(2, top / 2000)} | {"ទំព័រ": 1}
         self.longest = max(map(len, self.khmer), default=1)
+        self.prefixes = {w[:i] for w in self.khmer for i in range(1, len(w) + 1)}
         self.auto = ahocorasick.Automaton()
         for w in self.khmer:
             self.auto.add_word(w, len(w))
@@ -205,37 +205,43 @@ class Reader:
             best = nxt
         return max(best, key=lambda x: x[0])[1]
 
-    def reach(self, run: str) -> int:
-        """How far known Khmer words cover the run from its start."""
-        n = len(run)
-        got = 0
-        for end, k in self.auto.iter_long(run):
-            if end - k + 1 != got:
-                break
-            got = end + 1
-        if got == n:
-            return n
-        ok = bytearray(n + 1)
-        ok[0] = 1
+    def ends(self, run: str, ok: bytearray, start: int) -> int:
+        """Mark in ``ok`` where known Khmer words end that follow marked places from ``start`` on; the furthest place."""
+        n, words, prefixes = len(run), self.khmer, self.prefixes
         far = 0
-        for i in range(n):
+        for i in range(start, n):
             if ok[i]:
                 far = i
-                for j in range(i + 1, min(n, i + self.longest) + 1):
-                    if run[i:j] in self.khmer:
+                for j in range(i + 1, n + 1):
+                    part = run[i:j]
+                    if part not in prefixes:
+                        break
+                    if part in words:
                         ok[j] = 1
         return n if ok[n] else far
 
+    def covered(self, run: str) -> bool:
+        """Whether the longest known words, taken from the left, cover the run."""
+        got = 0
+        for end, k in self.auto.iter_long(run):
+            if end - k + 1 != got:
+                return False
+            got = end + 1
+        return got == len(run)
+
     def khmer_run(self, run: str) -> str:
         """The run with its misread characters undone, as far as known words cover more of it then."""
-        if not self.khmer:
+        if not self.khmer or self.covered(run):
             return run
-        far = self.reach(run)
+        n = len(run)
+        ok = bytearray(n + 1)
+        ok[0] = 1
+        far = self.ends(run, ok, 0)
         for _ in range(6):
-            if far == len(run):
+            if far == n:
                 break
-            best = (far, None)
-            for i in range(max(0, far - 3), min(len(run), far + self.longest + 1)):
+            best = (far, None, None)
+            for i in range(max(0, far - 3), min(n, far + self.longest + 1)):
                 c = run[i]
                 if c in KHMER_CONFUSIONS:
                     options = KHMER_CONFUSIONS[c]
@@ -247,12 +253,17 @@ class Reader:
                     continue
                 for o in options:
                     trial = run[:i] + o + run[i + 1 :]
-                    r = self.reach(trial)
+                    mine = ok[: i + 1] + bytearray(n - i)  # ends before the change stay
+                    r = self.ends(trial, mine, max(0, i - self.longest))
                     if r > best[0] and r > i:
-                        best = (r, trial)
+                        best = (r, trial, mine)
+                    if r == n:
+                        break
+                if best[0] == n:
+                    break
             if best[1] is None:
                 break
-            far, run = best
+            far, run, ok = best
         return run
 
     def khmer_line(self, line: str) -> tuple[str, bool]:
@@ -265,7 +276,7 @@ class Reader:
                 return run
             foreign = any(c.isascii() and c.isalnum() for c in run)
             tail = ""
-            if run.endswith(":") and self.reach(run[:-1]) == len(run) - 1:
+            if run.endswith(":") and self.covered(run[:-1]):
                 run, tail = run[:-1], ":"
             new = self.khmer_run(run)
             if foreign or new != run:
@@ -330,7 +341,7 @@ def repair(text: str, page: int | None, headers: list[str], distance: int | None
         if KHMER.search(line):
             fixed, wrong = reader.khmer_line(fixed)
         spans = [m.span() for m in FORMULA.finditer(fixed)] if "$" in fixed or "⟦" in fixed else []
-        tokens = [m for m in WORD.finditer(fixed) if not "ក" <= m.group()[0] <= "៓" and not any(a < m.end() and m.start() < b for a, b in spans)]
+        tokens = [m for m in LATIN.finditer(fixed) if not (spans and any(a < m.end() and m.start() < b for a, b in spans))]
         head = carry
         carry = None
         broken = None
