@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import plain
 from folioscan.functions.patterns import SEPARATORS, TOKEN, TOKEN_RE, ZWSP
+from folioscan.operators.structure import SHIFT
 from folioscan.runtime import materialise
 
 TRIM = " \t\n\r" + ZWSP
@@ -145,8 +146,13 @@ def chunk_streams(streams: DataFrame, *, size: int = 700, overlap: int = 100) ->
     """
     cut = streams.select("source", "stream", "heading", "starts", "vault", chunk_spans(F.col("text"), F.col("vault"), size, overlap).alias("chunks"))
     cut = materialise(cut, "streams")  # read twice: for the counts and for the rows
-    w = Window.partitionBy("source").orderBy("stream").rowsBetween(Window.unboundedPreceding, -1)
-    before = cut.select("source", "stream", F.size("chunks").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")
+    # numbers of the chunks before each stream, in two levels: stretches of streams, and streams within them
+    counts = cut.select("source", "stream", F.shiftright("stream", SHIFT).alias("part"), F.size("chunks").alias("n"))
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy("source", "part").agg(F.sum("n").alias("n")).select("source", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    within = Window.partitionBy("source", "part").orderBy("stream").rowsBetween(Window.unboundedPreceding, -1)
+    inner = counts.withColumn("inner", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    before = inner.join(parts, ["source", "part"]).select("source", "stream", (F.col("base") + F.col("inner")).alias("before"))
     rows = cut.select("source", "stream", "heading", "starts", "vault", F.posexplode("chunks").alias("pos", "chunk")).join(before, ["source", "stream"])
     page = page_at(F.col("starts"), F.col("chunk.start"))
     out = rows.select(

@@ -11,22 +11,31 @@ EDGE = 2
 LEAST_PAGES = 5
 
 
-def heading_streams(sections: DataFrame, *, most_chars: int = 1_000_000) -> DataFrame:
-    """Number the runs of sections under one heading within each source: adds ``stream`` (from 0).
+STRETCH = 10_000
+SHIFT = 20
+
+
+def heading_streams(sections: DataFrame, *, most_chars: int = 1_000_000, stretch: int = STRETCH) -> DataFrame:
+    """Number the runs of sections under one heading within each source: adds ``stream``, ascending with ``seq``.
 
     A run ends where a section starts a heading or the heading changes. Null headings count as empty.
-    Only keys and lengths are ordered by window; a run longer than ``most_chars`` goes on in a new one,
-    so no stream outgrows a task.
+    Sources are taken in stretches of ``stretch`` sequence numbers, so that the largest source is ordered
+    by many tasks; a run also ends where a stretch does, and where it holds ``most_chars``. Numbers are
+    consecutive from 0 in the first stretch and begin anew, 2**20 further on, in each following one.
     """
-    w = Window.partitionBy("source").orderBy("seq")
+    if not 0 < stretch <= 1 << SHIFT:
+        raise ValueError("stretch must be between 1 and 2**20")
+    part = F.floor(F.col("seq") / stretch)
+    w = Window.partitionBy("source", "_part").orderBy("seq")
     heading = F.coalesce("heading", F.lit(""))
     fresh = F.coalesce("starts_heading", F.lit(False)) | F.coalesce(heading != F.lag(heading).over(w), F.lit(True))
-    run = sections.withColumn("_run", F.sum(fresh.cast("long")).over(w) - 1)
-    inner = Window.partitionBy("source", "_run").orderBy("seq")
+    run = sections.withColumn("_part", part).withColumn("_run", F.sum(fresh.cast("long")).over(w))
+    inner = Window.partitionBy("source", "_part", "_run").orderBy("seq")
     size = F.sum(F.length("text")).over(inner.rowsBetween(Window.unboundedPreceding, -1))
     cut = run.withColumn("_cut", F.floor(F.coalesce(size, F.lit(0)) / most_chars))
-    moved = F.coalesce((F.col("_cut") != F.lag("_cut").over(inner)), F.lit(True))
-    return cut.withColumn("stream", F.sum(moved.cast("long")).over(w) - 1).drop("_run", "_cut")
+    moved = F.coalesce(F.col("_cut") != F.lag("_cut").over(inner), F.lit(True))
+    number = F.sum(moved.cast("long")).over(w) - 1
+    return cut.withColumn("stream", (F.shiftleft(F.col("_part").cast("long"), SHIFT) + number).cast("long")).drop("_part", "_run", "_cut")
 
 
 def join_streams(streams: DataFrame) -> DataFrame:

@@ -55,6 +55,16 @@ def test_headed_sections(spark):
     assert structure.heading_streams(long_, most_chars=1000).agg(F.max("stream")).first()[0] == 2
 
 
+def test_long_sources_in_stretches(spark):
+    df = spark.createDataFrame([("a", i, f"Part {i} of it.", i, "H" if i > 3 else "", False) for i in range(12)], SECTIONS)
+    whole, cut = (structure.heading_streams(df, stretch=s).orderBy("seq").collect() for s in (100, 4))
+    assert [r.stream for r in whole] == [0] * 4 + [1] * 8
+    assert [r.stream for r in cut] == [0] * 4 + [1 << 20] * 4 + [2 << 20] * 4
+    masked = df.withColumn("vault", F.create_map().cast("map<string,string>"))
+    chunks = chunking.chunk_streams(structure.join_streams(structure.heading_streams(masked, stretch=4)), size=20, overlap=0).orderBy("chunk_index").collect()
+    assert [c.chunk_index for c in chunks] == list(range(len(chunks))) and [c.page for c in chunks] == sorted(c.page for c in chunks)
+
+
 def test_context_header(spark):
     df = spark.createDataFrame([("Lesson 2", "Limits"), ("", ""), ("T" * 100, "H" * 100)], "t string, h string")
     got = [r[0] for r in df.select(structure.context_header(F.col("t"), F.col("h"))).collect()]
@@ -172,7 +182,8 @@ def test_history(spark):
     rows = [(1, 0, "assistant", "hi"), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (1, 3, "user", "left alone"), (1, 4, "user", "q2"), (1, 5, "assistant", "  "), (2, 0, "assistant", "only")]
     df = spark.createDataFrame(rows, "c int, n int, role string, content string")
     assert [r.n for r in prompts.normalized_history(df, "c", "n").orderBy("n").collect()] == [1, 2, 3, 4, 5]
-    assert [(r.n, r.role) for r in prompts.history_pairs(df, "c", "n").orderBy("n").collect()] == [(1, "user"), (2, "assistant")]
+    for stretch in (1, 2, 100):
+        assert [(r.n, r.role) for r in prompts.history_pairs(df, "c", "n", stretch=stretch).orderBy("n").collect()] == [(1, "user"), (2, "assistant")]
 
 
 def test_ocr_contracts(spark):
