@@ -40,6 +40,18 @@ def test_neighbours_recall(spark, noise):
     assert len(got - true) <= 0.1 * len(true)  # only in place of missed ones
 
 
+def test_neighbours_in_a_crowd(spark):
+    rnd = np.random.default_rng(8)
+    centre = rnd.standard_normal(64)
+    groups = centre + 0.3 * rnd.standard_normal((100, 64))
+    x = np.concatenate([rnd.standard_normal((600, 64)), groups[rnd.integers(0, 100, 400)] + 0.1 * rnd.standard_normal((400, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], VEC)
+    true = brute(x.astype(np.float64), list(range(len(x))), 5, 0.85)
+    for crowd_rows in (1_000_000, 60):  # the second splits what many rows share
+        got = {(r.vec_id, r.neighbour) for r in neighbours.neighbours(df, crowd=crowd_rows).collect()}
+        assert len(true) > 1500 and len(got & true) >= 0.9 * len(true)
+
+
 def test_neighbours_odd_rows(spark):
     a = [1.0] + [0.1] * 15
     rows = [(1, a, "x"), (1, a, "x"), (2, [2 * v for v in a], "y"), (3, None, "x"), (4, [0.0] * 16, "x"), (5, [float("nan")] * 16, "x"), (6, [float("inf")] + [0.0] * 15, None), (None, a, "x"), (7, [1.0], "x"), (8, [], "x"), (9, [-v for v in a], "x")]
