@@ -18,14 +18,27 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_WRITTEN: list[str] = []
+
+
+def clear_written(spark: SparkSession) -> int:
+    """Delete the tables that this process has written so far; results that still read them break."""
+    n = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back, which cuts its lineage.
 
-    The files outlive lost executors. A fresh path is used on every call.
+    The files outlive lost executors. A fresh path is used on every call; ``clear_written`` removes them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
