@@ -106,10 +106,12 @@ def heading_title(raw: str, most: int = 120) -> str:
     return title if len(title) <= most else title[:most].rstrip() + "…"
 
 
-def markdown_sections(text: str) -> list[dict]:
-    """Sections at ATX headings outside code fences: text, heading path, starts_heading."""
+Path = list[tuple[int, str]]
+
+
+def _sections(text: str, path: Path) -> tuple[list[dict], Path]:
+    """Sections of a text that begins under a heading path, and the path at its end."""
     out: list[dict] = []
-    path: list[tuple[int, str]] = []
     lines: list[str] = []
     starts, fenced = False, False
 
@@ -130,4 +132,19 @@ def markdown_sections(text: str) -> list[dict]:
         else:
             lines.append(line)
     close()
+    return out, path
+
+
+def markdown_sections(text: str) -> list[dict]:
+    """Sections at ATX headings outside code fences: text, heading path, starts_heading."""
+    return _sections(text, [])[0]
+
+
+def paged_sections(pages: list[tuple[int, str]]) -> list[dict]:
+    """Sections of a document's pages in order; the heading path carries over from page to page."""
+    out: list[dict] = []
+    path: Path = []
+    for page, text in pages:
+        got, path = _sections(text, path)
+        out += [s | {"page": page} for s in got]
     return out

@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,38 @@ def is_finite_vector(v: Column) -> Column:
     return ~F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
 
 
+class Embedder(Protocol):
+    """What makes vectors: a name that the index remembers, a dimension, and a column function."""
+
+    name: str
+    dimension: int
+
+    def column(self, text: Column, *, query: bool = False) -> Column: ...
+
+
+class ModelEmbedder:
+    """A dense model plugged in as a loader; it is loaded once in each Python worker and encodes Arrow batches.
+
+    ``load`` returns a function from texts to a matrix. Models of the e5 family expect a prefix.
+    """
+
+    def __init__(self, name: str, dimension: int, load: Callable[[], Callable[[list[str]], np.ndarray]]):
+        self.name, self.dimension, self.load = name, dimension, load
+
+    def column(self, text: Column, *, query: bool = False) -> Column:
+        load, prefix = self.load, ("query: " if query else "passage: ") if "e5" in self.name.lower() else ""
+
+        @F.pandas_udf("array<float>")
+        def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            encode = load()
+            for s in batches:
+                m = np.asarray(encode([prefix + (t or "") for t in s]), np.float32)
+                n = np.linalg.norm(m, axis=1, keepdims=True)
+                yield pd.Series(list(m / np.where(n > 0, n, 1)))
+
+        return F.when(text.isNotNull(), embed(text))
+
+
 class HashingEmbedder:
     """Signed feature hashing of search tokens and their bigrams, log-weighted, at length one."""
 
@@ -73,7 +106,7 @@ class HashingEmbedder:
         length = float(np.linalg.norm(v))
         return v / length if length else v
 
-    def column(self, text: Column) -> Column:
+    def column(self, text: Column, *, query: bool = False) -> Column:
         dimension = self.dimension
 
         @F.pandas_udf("array<float>")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.functions import plain
 from folioscan.functions.formulas import mask_latex, restored_length, unmask_latex
-from folioscan.functions.khmer import detect_language, insert_word_boundaries, normalize_khmer_text
-from folioscan.functions.vectors import HashingEmbedder
+from folioscan.functions.khmer import detect_language, insert_word_boundaries, looks_garbled, normalize_khmer_text
+from folioscan.functions.vectors import Embedder
 from folioscan.operators.chunking import chunk_streams
+from folioscan.operators.ocr import merge_transcripts
 from folioscan.operators.search import batched_top_k, fit_results, restored_columns
-from folioscan.operators.structure import embedding_text, heading_streams, join_streams
+from folioscan.operators.structure import embedding_text, heading_streams, join_broken_words, join_streams, page_quality, remove_running_lines, running_lines
 from folioscan.plans.settings import Settings
 
 
@@ -26,12 +29,51 @@ def prepare_chunks(sections: DataFrame, settings: Settings = Settings()) -> Data
     return chunk_streams(prepare_streams(sections), size=settings.chunk_size, overlap=settings.chunk_overlap)
 
 
+def pages_to_sections(pages: DataFrame, transcripts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Sections and warnings of paged documents (page_id, source, page, text), with transcripts (page_id, transcript) instead of text where there are any.
+
+    Pages whose text layer is garbled or blank and that have no transcript are dropped and counted in
+    the warnings. Running lines are removed from the text layers; transcripts are Markdown, whose
+    heading path carries over from page to page. A document bounds its group.
+    """
+    merged = merge_transcripts(pages, transcripts) if transcripts is not None else pages.withColumn("ocr", F.lit(False))
+    layers = merged.where(~F.col("ocr"))
+    warnings = page_quality(layers).where(F.size("warnings") > 0).select("source", "warnings")
+    blank = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", "") == ""
+    kept = layers.where(~blank & ~F.coalesce(looks_garbled(F.col("text")), F.lit(False)))
+    clean = remove_running_lines(kept, running_lines(kept)).withColumn("text", join_broken_words(F.col("text")))
+    every = clean.select("source", "page", "text", "ocr").unionByName(merged.where("ocr").select("source", "page", "text", "ocr"))
+
+    def run(table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values("page")
+        path: plain.Path = []
+        rows = []
+        for r in table.itertuples():
+            if r.ocr:
+                got, path = plain._sections(r.text, path)
+            else:
+                got = [{"text": r.text, "heading": plain.P.HEADING_SEPARATOR.join(t for _, t in path), "starts_heading": False}] if r.text.strip() else []
+            rows += [(r.source, g["text"], r.page, bool(r.ocr), g["heading"], g["starts_heading"]) for g in got]
+        return pd.DataFrame([(s, i, *rest) for i, (s, *rest) in enumerate(rows)], columns=["source", "seq", "text", "page", "ocr", "heading", "starts_heading"])
+
+    sections = every.groupBy("source").applyInPandas(run, "source string, seq int, text string, page int, ocr boolean, heading string, starts_heading boolean")
+    return sections, warnings
+
+
+def ingest_report(chunks: DataFrame, warnings: DataFrame | None = None) -> DataFrame:
+    """One row a source: chunks, formulas, pages and warnings."""
+    r = chunks.groupBy("source").agg(F.count("*").alias("chunks"), F.sum(F.size("vault")).cast("long").alias("formulas"), F.count_distinct("page").alias("pages"))
+    if warnings is None:
+        return r.withColumn("warnings", F.array().cast("array<string>"))
+    return r.join(warnings, "source", "left").withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>")))
+
+
 def document_totals(streams: DataFrame) -> DataFrame:
     """Per source: formulas and restored characters."""
     return streams.groupBy("source").agg(F.sum(F.size("vault")).alias("formulas"), F.sum(restored_length(F.col("text"), F.col("vault"))).alias("characters"))
 
 
-def embedded_chunks(chunks: DataFrame, documents: DataFrame, embedder: HashingEmbedder, created_at: str | None = None) -> DataFrame:
+def embedded_chunks(chunks: DataFrame, documents: DataFrame, embedder: Embedder, created_at: str | None = None) -> DataFrame:
     """Index rows of chunks: with title, format, language, and the vector of header and restored text.
 
     ``documents``: source, format, title, ocr_pages (array, may be null).
@@ -47,9 +89,9 @@ def embedded_chunks(chunks: DataFrame, documents: DataFrame, embedder: HashingEm
     )
 
 
-def search(index: DataFrame, questions: DataFrame, embedder: HashingEmbedder, settings: Settings = Settings()) -> DataFrame:
+def search(index: DataFrame, questions: DataFrame, embedder: Embedder, settings: Settings = Settings()) -> DataFrame:
     """Restored results of questions (query_id, question), within the context budget: query_id, rank and the fields of ``restored``."""
-    asked = questions.where(F.trim("question") != "").select("query_id", embedder.column(F.trim("question")).alias("embedding"))
+    asked = questions.where(F.trim("question") != "").select("query_id", embedder.column(F.trim("question"), query=True).alias("embedding"))
     hits = batched_top_k(index, asked, settings.top_k, threshold=settings.score_threshold)
     found = hits.join(index.select("id", "source", "chunk_index", "page", "text", "vault", "title", "heading"), "id")
     shown = found.select("query_id", "rank", *restored_columns())

@@ -93,7 +93,7 @@ def read_sections(files: DataFrame, *, pdf: Callable[[bytes], list[str]] | None
         if kind == "pdf":
             if pdf is None:
                 raise RuntimeError("no PDF reader is plugged in")
-            return [(re.sub(r"(?<=[A-Za-z])-\n(?=[a-z])", "", t), n, False, "", False) for n, t in enumerate(pdf(data), 1) if t.strip()]
+            return [(re.sub(r"(?<=[A-Za-z])-\n(?=[a-z])", "", t), n, False, "", False) for n, t in enumerate(pdf(data), 1)]
         if image is None:
             raise RuntimeError("no recogniser is plugged in")
         text = image(data)

@@ -247,3 +247,43 @@ def test_settings():
         Settings(chunk_size=100, chunk_overlap=100)
     with pytest.raises(ValueError):
         Settings(top_k=51)
+
+
+def test_pages_to_sections(spark):
+    rows = [(i, "d", i, f"Running title\nbody {i} with a bro-\nken word\nmore text {i}") for i in range(1, 7)] + [(7, "d", 7, "  "), (8, "d", 8, "េមេរៀន េរៀន ាន ិន " * 8), (9, "d", 9, None)]
+    pages = spark.createDataFrame(rows, "page_id long, source string, page int, text string")
+    transcripts = spark.createDataFrame([(2, "# Limits\n$x$ here"), (9, "goes on")], "page_id long, transcript string")
+    sections, warnings = pipeline.pages_to_sections(pages, transcripts)
+    got = sections.orderBy("seq").collect()
+    assert [(r.page, r.ocr, r.heading) for r in got] == [(1, False, ""), (2, True, "Limits"), (3, False, "Limits"), (4, False, "Limits"), (5, False, "Limits"), (6, False, "Limits"), (9, True, "Limits")]
+    assert got[0].text == "body 1 with a broken word\nmore text 1" and got[1].starts_heading
+    assert warnings.first().warnings == ["1 of 7 pages have a garbled text layer", "1 of 7 pages have no extractable text"]
+    report = pipeline.ingest_report(pipeline.prepare_chunks(sections), warnings).first()
+    assert report.formulas == 1 and len(report.warnings) == 2
+
+
+def test_requests():
+    from folioscan.plans.settings import check_request, check_text
+
+    assert check_request("  why? ", top_k=5, score_threshold=0.5, sources=["a"], history=[("user", "x")]) == "why?"
+    for bad in ({"prompt": "  "}, {"prompt": "x" * 4001}, {"prompt": "x", "top_k": 0}, {"prompt": "x", "score_threshold": 1.5}, {"prompt": "x", "sources": ["s"] * 101}, {"prompt": "x", "history": [("system", "x")]}):
+        with pytest.raises(ValueError):
+            check_request(**bad)
+    check_text("text", "a.md")
+    for text, name in (("  ", "a"), ("x", "a/b"), ("x", "")):
+        with pytest.raises(ValueError):
+            check_text(text, name)
+
+
+def test_sql_functions_and_models(spark):
+    import numpy as np
+
+    from folioscan.functions.register import register
+    from folioscan.functions.vectors import ModelEmbedder
+
+    assert "cosine" in register(spark)
+    row = spark.sql(r"SELECT clean_markdown('**a** $x$') AS m, extract_formulas('a $x$ b') AS f, strip_html_tags('<b>c</b>') AS h, cosine(array(1D, 0D), array(1D, 1D)) AS s, tokenize_for_search('Area 1') AS t").first()
+    assert (row.m, row.f, row.h, round(row.s, 6), row.t) == ("a $x$", ["$x$"], "c", 0.707107, ["area", "1"])
+    e = ModelEmbedder("multilingual-e5-small", 2, lambda: lambda texts: np.array([[len(t), 0] for t in texts]))
+    got = spark.createDataFrame([("a",), (None,)], "t string").select(e.column(F.col("t"), query=True)).collect()
+    assert got[0][0] == [1.0, 0.0] and got[1][0] is None
