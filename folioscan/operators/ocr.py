@@ -36,6 +36,7 @@ def vision_keys(version: str, legacy: list[str], mime_type: Column, data: Column
 class LineEngine:
     """Settings of a line recogniser that change its output, and so its key."""
 
+    engine: str = "line"
     version: str = "2"
     model: str = "default"
     decode: str = "fast"
@@ -44,7 +45,7 @@ class LineEngine:
     scale: float = 2.0
 
     def key(self, mime_type: Column, data: Column) -> Column:
-        return key("kiri", self.version, self.model, self.decode, f"{self.min_confidence:.4f}", "khmer" if self.khmer_only else "all", f"{self.scale:.2f}", mime_type, data=data)
+        return key(self.engine, self.version, self.model, self.decode, f"{self.min_confidence:.4f}", "khmer" if self.khmer_only else "all", f"{self.scale:.2f}", mime_type, data=data)
 
 
 def hybrid_key(version: str, model: str, line: LineEngine, mime_type: Column, data: Column) -> Column:
