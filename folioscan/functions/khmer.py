@@ -22,6 +22,8 @@ SECTIONS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.St
 #: Arrow-batched text functions: Spark has no NFC and no cluster rules.
 normalize_khmer_text = F.pandas_udf(_each(plain.normalise), T.StringType())
 insert_word_boundaries = F.pandas_udf(_each(plain.mark_words), T.StringType())
+#: Both in one call; not deterministic for the planner, so that a filter on the result doesn't run it again.
+normalize_and_mark = F.pandas_udf(_each(lambda t: plain.mark_words(plain.normalise(t))), T.StringType()).asNondeterministic()
 segment = F.pandas_udf(_each(plain.words), T.ArrayType(T.StringType()))
 segment_pieces = F.pandas_udf(_each(plain.pieces), T.ArrayType(T.StringType()))
 tokenize_for_search = F.pandas_udf(_each(plain.search_tokens), T.ArrayType(T.StringType()))

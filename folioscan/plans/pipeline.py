@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import plain
 from folioscan.functions.formulas import mask_latex, restored_length, unmask_latex
-from folioscan.functions.khmer import detect_language, insert_word_boundaries, looks_garbled, normalize_khmer_text
+from folioscan.functions.khmer import detect_language, looks_garbled, normalize_and_mark
 from folioscan.functions.vectors import Embedder
 from folioscan.operators.chunking import chunk_streams
 from folioscan.operators.ocr import merge_transcripts
@@ -21,7 +21,7 @@ def prepare_streams(sections: DataFrame) -> DataFrame:
     """Sections (source, seq, text, page, heading, starts_heading) masked, normalised, marked and joined to heading streams."""
     token_key = F.concat(F.coalesce("source", F.lit("")), F.lit("|"), F.col("seq").cast("string"))
     m = sections.where(F.col("text").isNotNull()).withColumn("_m", mask_latex(F.col("text"), token_key))
-    m = m.select("source", "seq", "page", "heading", "starts_heading", insert_word_boundaries(normalize_khmer_text(F.col("_m.masked"))).alias("text"), F.col("_m.vault").alias("vault"))
+    m = m.select("source", "seq", "page", "heading", "starts_heading", normalize_and_mark(F.col("_m.masked")).alias("text"), F.col("_m.vault").alias("vault"))
     return join_streams(heading_streams(m.where(F.length("text") > 0)))
 
 
