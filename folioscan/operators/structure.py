@@ -16,7 +16,7 @@ SHIFT = 20
 
 
 def heading_streams(sections: DataFrame, *, most_chars: int = 1_000_000, stretch: int = STRETCH) -> DataFrame:
-    """Number the runs of sections under one heading within each source: adds ``stream``, ascending with ``seq``.
+    """Number the runs of sections under one heading within each source: adds ``stretch`` and ``stream``, ascending with ``seq``.
 
     A run ends where a section starts a heading or the heading changes. Null headings count as empty.
     Sources are taken in stretches of ``stretch`` sequence numbers, so that the largest source is ordered
@@ -26,22 +26,23 @@ def heading_streams(sections: DataFrame, *, most_chars: int = 1_000_000, stretch
     if not 0 < stretch <= 1 << SHIFT:
         raise ValueError("stretch must be between 1 and 2**20")
     part = F.floor(F.col("seq") / stretch)
-    w = Window.partitionBy("source", "_part").orderBy("seq")
+    w = Window.partitionBy("source", "stretch").orderBy("seq")
     heading = F.coalesce("heading", F.lit(""))
     fresh = F.coalesce("starts_heading", F.lit(False)) | F.coalesce(heading != F.lag(heading).over(w), F.lit(True))
-    run = sections.withColumn("_part", part).withColumn("_run", F.sum(fresh.cast("long")).over(w))
-    inner = Window.partitionBy("source", "_part", "_run").orderBy("seq")
+    run = sections.withColumn("stretch", part).withColumn("_run", F.sum(fresh.cast("long")).over(w))
+    inner = Window.partitionBy("source", "stretch", "_run").orderBy("seq")
     size = F.sum(F.length("text")).over(inner.rowsBetween(Window.unboundedPreceding, -1))
     cut = run.withColumn("_cut", F.floor(F.coalesce(size, F.lit(0)) / most_chars))
     moved = F.coalesce(F.col("_cut") != F.lag("_cut").over(inner), F.lit(True))
     number = F.sum(moved.cast("long")).over(w) - 1
-    return cut.withColumn("stream", (F.shiftleft(F.col("_part").cast("long"), SHIFT) + number).cast("long")).drop("_part", "_run", "_cut")
+    return cut.withColumn("stream", (F.shiftleft(F.col("stretch").cast("long"), SHIFT) + number).cast("long")).drop("_run", "_cut")
 
 
 def join_streams(streams: DataFrame) -> DataFrame:
     """One row a stream: source, stream, heading, text (parts joined by a blank line), starts (offset, page of each part), vault."""
     part = F.struct("seq", "text", "page", F.coalesce("vault", F.create_map().cast("map<string,string>")).alias("vault"))
-    grouped = streams.groupBy("source", "stream").agg(F.array_sort(F.collect_list(part), lambda a, b: F.when(a.seq < b.seq, -1).when(a.seq > b.seq, 1).otherwise(0)).alias("parts"), F.max(F.coalesce("heading", F.lit(""))).alias("heading"))
+    # rows lie together by source and stretch already, so grouping by these too needs no further shuffle
+    grouped = streams.groupBy("source", "stretch", "stream").agg(F.array_sort(F.collect_list(part), lambda a, b: F.when(a.seq < b.seq, -1).when(a.seq > b.seq, 1).otherwise(0)).alias("parts"), F.max(F.coalesce("heading", F.lit(""))).alias("heading"))
     starts = F.aggregate(
         "parts",
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<offset:int,page:int>>").alias("list")),
