@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,19 +22,11 @@ CHUNKS = "array<struct<text:string,start:int,end:int>>"
 
 def unit_offsets(text: str, vault: dict[str, str]) -> list[int]:
     """Size of the text before each position: word marks are nothing, a token is as long as its formula."""
-    out = [0] * (len(text) + 1)
-    at = size = 0
-    for m in [*TOKEN_RE.finditer(text), None]:
-        for i in range(at, m.start() if m else len(text)):
-            size += text[i] != ZWSP
-            out[i + 1] = size
-        if m:
-            for i in range(m.start(), m.end() - 1):
-                out[i + 1] = size
-            size += len(vault.get(m.group(), m.group()))
-            out[m.end()] = size
-            at = m.end()
-    return out
+    sizes = (np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) != ord(ZWSP)).astype(np.int64)
+    for m in TOKEN_RE.finditer(text):
+        sizes[m.start() : m.end()] = 0
+        sizes[m.end() - 1] = len(vault.get(m.group(), m.group()))
+    return [0, *np.cumsum(sizes).tolist()]
 
 
 class Splitter:
