@@ -6,6 +6,8 @@ all vectors. Two vectors meet in a table when their substrings differ in at most
 two halves, one of which must then be equal, so the rows of a table are shuffled by the value of either
 half and the other half is probed within one bit inside the task. Pairs that meet are kept if their whole
 codes are near enough, each pair by the first table that finds it, and are reranked by the exact cosine.
+Rows of a substring value that many share, and those within one bit of it, are compared by the exact
+cosine in blocks, and each row's k nearest go on.
 
 The substring width follows the logarithm of the number of vectors, so the number of probed pairs grows
 nearly in proportion to it; the number of tables follows from the width, the least similarity sought
@@ -27,8 +29,8 @@ from folioscan.runtime import materialise
 
 SAMPLE = 20_000
 WORDS = 2
-DENSE = 256  # vectors of one substring value from which only the nearest codes of each are reranked
-NEAREST = 64
+DENSE = 256  # vectors of one substring value from which they are compared by cosine at once, and only the nearest of each go on
+BLOCK = 16_384  # rows of such a value that a task compares with each other
 CROWD = 1_000_000  # rows of one half value that a task takes; beyond them the value is split by further bits
 
 
@@ -72,9 +74,12 @@ def layout(n: int, similarity: float, recall: float) -> tuple[int, int, int]:
     return width, tables, max(WORDS, math.ceil(tables * width / 64))
 
 
-def encode(m: np.ndarray, rotations: list[np.ndarray], centre: np.ndarray) -> np.ndarray:
-    """Codes as words of 64 bits; dimensions beyond the rotation are repeated by further rotations."""
-    bits = np.concatenate([((m - centre) @ r) > 0 for r in rotations], axis=1)
+def encode(m: np.ndarray, rotations: list[np.ndarray]) -> np.ndarray:
+    """Codes as words of 64 bits; dimensions beyond the rotation are repeated by further rotations.
+
+    Not centred: a bit differs with the chance of flip_rate only if angles are taken from the origin.
+    """
+    bits = np.concatenate([(m @ r) > 0 for r in rotations], axis=1)
     words = bits.shape[1] // 64
     return np.packbits(bits[:, : words * 64], axis=1, bitorder="little").view(np.uint64)
 
@@ -102,33 +107,45 @@ def ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n), who
 
 
-def half_pairs(ids: np.ndarray, codes: np.ndarray, home: np.ndarray, table: int, half: int, width: int, radius: int, once: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs among rows grouped by one half of a substring, whose other half differs in at most one bit.
+def half_pairs(ids: np.ndarray, codes: np.ndarray, home: np.ndarray, table: int, half: int, width: int, radius: int, once: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs among rows grouped by one half of a substring, whose other half differs in at most one bit: (a, b, -1).
 
-    Pairs of two visitors (not ``home``) are left to other tasks; with ``once``, so are those that an
-    earlier table finds.
+    Pairs with a row of a crowded substring value are left to an exact search: (id, whether it has the
+    value itself, unit) says that the id takes part in the search of this value. Pairs of two visitors
+    (not ``home``) are left to other tasks; with ``once``, so are those that an earlier table finds.
     """
     h = width // 2
     sub = substring(codes, table, width)
     same, other = (sub & ((1 << h) - 1), sub >> h) if half == 0 else (sub >> h, sub & ((1 << h) - 1))
     key = (same << h) | other
-    order = np.lexsort((ids, key))
-    ids, codes, key, home = ids[order], codes[order], key[order], home[order]
+    order = np.lexsort((codes[:, 0], ids, key))
+    ids, codes, key, home, sub = ids[order], codes[order], key[order], home[order], sub[order]
+    fresh = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]) | (codes[1:] != codes[:-1]).any(axis=1)]  # repeated rows
+    ids, codes, key, home, sub = ids[fresh], codes[fresh], key[fresh], home[fresh], sub[fresh]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     stop = np.r_[first[1:], len(key)]
     values = key[first]
+    big, at_home = stop - first > DENSE, home[first]
+    core, guests = [np.flatnonzero(big & at_home)], []
     for flip in [0, *(1 << b for b in range(h))]:
         if flip == 0:
-            crowded = (stop - first) > DENSE
-            for f, s in zip(first[crowded], stop[crowded], strict=True):
-                yield from dense_pairs(ids, codes, home, int(f), int(s), radius)
-            f, s = first[~crowded], stop[~crowded]
+            f, s = first[~big], stop[~big]
             rows, _ = ranges(f, s)
             begin, end = rows + 1, np.repeat(s, s - f)
         else:
             at = np.searchsorted(values, values ^ flip)
             ok = (at < len(values)) & (values[np.minimum(at, len(values) - 1)] == (values ^ flip)) & ((values & flip) == 0)
-            f, s, o = first[ok], stop[ok], at[ok]
+            c, o = np.flatnonzero(ok), at[ok]
+            ok = at_home[c] | at_home[o]
+            c, o = c[ok], o[ok]
+            dense = big[c] | big[o]
+            if dense.any():
+                x, y = c[dense], o[dense]
+                x, y = np.where(big[x], x, y), np.where(big[x], y, x)
+                core.append(x)
+                guests.append((x, y))
+            c, o = c[~dense], o[~dense]
+            f, s = first[c], stop[c]
             rows, _ = ranges(f, s)
             begin, end = np.repeat(first[o], s - f), np.repeat(stop[o], s - f)
         total = np.cumsum(end - begin)
@@ -142,8 +159,13 @@ def half_pairs(ids: np.ndarray, codes: np.ndarray, home: np.ndarray, table: int,
             if once:
                 k = ~earlier(codes[left], codes[right], table, half, width)
                 left, right = left[k], right[k]
-            yield ids[left], ids[right]
+            yield ids[left], ids[right], np.full(len(left), -1)
             i = j
+    unit = table << 32 | sub[first]
+    cells = np.unique(np.concatenate(core))
+    for mine, whose, own in [(cells, cells, 1), *((y, x, 0) for x, y in guests)]:
+        rows, who = ranges(first[mine], stop[mine])
+        yield ids[rows], np.full(len(rows), own), unit[whose][who]
 
 
 def earlier(x: np.ndarray, y: np.ndarray, table: int, half: int, width: int) -> np.ndarray:
@@ -156,19 +178,50 @@ def earlier(x: np.ndarray, y: np.ndarray, table: int, half: int, width: int) ->
     return out
 
 
-def dense_pairs(ids: np.ndarray, codes: np.ndarray, home: np.ndarray, f: int, s: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """In a crowded cell every row meets its NEAREST codes, found by sweeping the cell's rows sorted by code."""
-    block = np.arange(f, s)
-    for turn in range(4):
-        word = codes[block, turn % codes.shape[1]]
-        shift = np.uint64(16 * (turn // codes.shape[1]) + 8 * turn)
-        order = block[np.lexsort((ids[block], (word >> shift) | (word << (np.uint64(64) - shift) if shift else np.uint64(0))))]
-        for gap in range(1, NEAREST + 1):
-            if gap >= len(order):
-                break
-            left, right = order[:-gap], order[gap:]
-            k = near(codes[left], codes[right], radius) & (home[left] | home[right])
-            yield ids[left[k]], ids[right[k]]
+def best_within(left: np.ndarray, right: np.ndarray, left_ids: np.ndarray, right_ids: np.ndarray, left_own: np.ndarray, right_own: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The k most similar rows of ``right`` (sorted by id) for every row of ``left``, by exact cosine; pairs of which neither is ``own`` are left out."""
+    for i in range(0, len(left), 256):
+        s = left[i : i + 256] @ right.T
+        s[left_ids[i : i + 256, None] == right_ids] = -2
+        s[np.ix_(~left_own[i : i + 256], ~right_own)] = -2
+        s = np.round(s, 12)
+        if s.shape[1] > k:
+            floor = np.partition(s, -k, axis=1)[:, -k]
+            x, y = np.nonzero(s >= np.maximum(floor, least - 1e-9)[:, None])
+        else:
+            x, y = np.nonzero(s >= least - 1e-9)
+        order = np.lexsort((y, -s[x, y], x))
+        x, y = x[order], y[order]
+        x, y = (z[np.arange(len(x)) - np.searchsorted(x, x) < k] for z in (x, y))
+        yield left_ids[i + x], right_ids[y]
+
+
+def search_crowds(members: DataFrame, vectors: DataFrame, dim: int, k: int, least: float, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of crowded substring values: each row's k nearest among all rows that it meets there, by exact cosine.
+
+    ``members`` are (unit, id, own) as half_pairs makes them. Units of more than ``block`` rows are
+    divided into blocks, every two of which meet in a task.
+    """
+    sizes = members.groupBy("unit").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    rows = members.join(sizes, "unit").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("unit", F.least("mine", "with").alias("x"), F.greatest("mine", "with").alias("y"), "mine", "id", "own").join(vectors, "id")
+
+    def search(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, at = np.unique(table.column("id").to_numpy(), return_index=True)
+        mine, own = table.column("mine").to_numpy()[at], table.column("own").to_numpy()[at] == 1
+        m = matrix(table.column("v").chunk(0), dim)[at].astype(np.float64)
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        p = mine == table.column("x")[0].as_py()
+        q = mine == table.column("y")[0].as_py()
+        got = []
+        for f, g in [(p, q)] if (p == q).all() else [(p, q), (q, p)]:
+            got += best_within(m[f], m[g], ids[f], ids[g], own[f], own[g], k, least)
+        a, b = (np.concatenate(z) for z in zip(*got, strict=True)) if got else (np.empty(0, np.int64),) * 2
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return rows.groupBy("unit", "x", "y").applyInArrow(search, "a long, b long")
 
 
 def pieces(codes: np.ndarray, table: int, tables: int, width: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,11 +276,10 @@ def neighbours(
     share = min(1.0, 1.3 * sample / n)
     fit = good.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
     m = matrix(fit.column("v").combine_chunks(), dim)
-    centre = m.mean(axis=0)
     width, tables, words = layout(n, min_similarity, recall)
     need = math.ceil(words * 64 / dim)
     # rotations are drawn afresh for each block of bits
-    rotations = [learn_rotation(m - centre, 100 + r) for r in range(need)]
+    rotations = [learn_rotation(m, 100 + r) for r in range(need)]
     bits = words * 64
     p = flip_rate(min_similarity)
     radius = int(bits * p + 2.6 * math.sqrt(bits * p * (1 - p)))
@@ -252,7 +304,7 @@ def neighbours(
         counts = np.zeros((tables * 2, 1 << h), np.int64)
         for b in batches:
             if b.num_rows:
-                codes = encode(matrix(b.column(0), dim), rotations, centre)
+                codes = encode(matrix(b.column(0), dim), rotations)
                 for t in range(tables):
                     for half in (0, 1):
                         counts[2 * t + half] += np.bincount(half_values(codes, t, half), minlength=1 << h)
@@ -270,7 +322,7 @@ def neighbours(
             if not b.num_rows:
                 continue
             ids = b.column(0).to_numpy()
-            codes = encode(matrix(b.column(1), dim), rotations, centre)
+            codes = encode(matrix(b.column(1), dim), rotations)
             cells, blobs, sizes = [], [], []
 
             def put(cell: np.ndarray, rows: np.ndarray, home: np.ndarray) -> None:
@@ -302,13 +354,17 @@ def neighbours(
             codes.append(np.frombuffer(blob, np.uint64, n_rows * words, offset=8 * n_rows).reshape(n_rows, words))
             home.append(np.frombuffer(blob, np.bool_, n_rows, offset=8 * n_rows * (words + 1)))
         got = list(half_pairs(np.concatenate(ids), np.concatenate(codes), np.concatenate(home), cell // 2, cell % 2, width, radius, not crowded))
-        a = np.concatenate([x for x, _ in got]) if got else np.empty(0, np.int64)
-        b = np.concatenate([y for _, y in got]) if got else np.empty(0, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        a, b, unit = (np.concatenate(z).astype(np.int64) for z in zip(*got, strict=True))
+        pair = unit < 0
+        return pa.table({"a": np.where(pair, np.minimum(a, b), a), "b": np.where(pair, np.maximum(a, b), b), "unit": unit})
 
     cells = indexed.mapInArrow(spread, "cell long, n int, rows binary")
-    pairs = cells.groupBy("cell").applyInArrow(meet, "a long, b long").where("a <> b").distinct()
-    pairs = materialise(pairs, "candidates")
+    met = cells.groupBy("cell").applyInArrow(meet, "a long, b long, unit long").where("a <> b OR unit >= 0").distinct()
+    met = materialise(met, "candidates")
+    pairs = met.where("unit < 0").select("a", "b")
+    members = met.where("unit >= 0").select("unit", F.col("a").alias("id"), F.col("b").alias("own"))
+    if not members.isEmpty():
+        pairs = pairs.unionByName(materialise(search_crowds(members, indexed.select("id", "v"), dim, k, min_similarity), "crowds")).distinct()
     va, vb = good.select(F.col("id").alias("a"), F.col("v").alias("va")), good.select(F.col("id").alias("b"), F.col("v").alias("vb"))
     joined = pairs.join(va, "a").join(vb, "b").select("a", "b", "va", "vb")
 

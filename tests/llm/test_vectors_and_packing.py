@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -48,10 +49,23 @@ def test_neighbours_in_a_crowd(spark):
     df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], VEC)
     true = brute(x.astype(np.float64), list(range(len(x))), 5, 0.85)
     for crowd_rows in (1_000_000, 60):  # the second splits what many rows share
-        got = {(r.vec_id, r.neighbour) for r in neighbours.neighbours(df, crowd=crowd_rows).collect()}
+        got = {(r.vec_id, r.neighbour) for r in neighbours.neighbours(df).collect()}
         assert len(true) > 1500 and len(got & true) >= 0.9 * len(true)
 
 
+def test_neighbours_in_a_large_crowd(spark):
+    rnd = np.random.default_rng(12)
+    x = np.concatenate([rnd.standard_normal(64) + 0.3 * rnd.standard_normal((20_000, 64)), rnd.standard_normal((10_000, 64))]).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    got = {(r.vec_id, r.neighbour) for r in neighbours.neighbours(df).collect()}
+    m = x / np.linalg.norm(x, axis=1, keepdims=True)
+    some = range(0, 20_000, 40)
+    s = m[some] @ m.T
+    s[np.arange(len(some)), some] = -2
+    true = {(i, int(j)) for i, row in zip(some, np.argpartition(-s, 5, axis=1)[:, :5], strict=True) for j in row}
+    assert len(got & true) >= 0.9 * len(true)
+
+
 def test_neighbours_odd_rows(spark):
     a = [1.0] + [0.1] * 15
     rows = [(1, a, "x"), (1, a, "x"), (2, [2 * v for v in a], "y"), (3, None, "x"), (4, [0.0] * 16, "x"), (5, [float("nan")] * 16, "x"), (6, [float("inf")] + [0.0] * 15, None), (None, a, "x"), (7, [1.0], "x"), (8, [], "x"), (9, [-v for v in a], "x")]
