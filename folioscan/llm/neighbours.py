@@ -31,7 +31,7 @@ SAMPLE = 20_000
 WORDS = 2
 DENSE = 256  # vectors of one substring value from which they are compared by cosine at once, and only the nearest of each go on
 BLOCK = 16_384  # rows of such a value that a task compares with each other
-CROWD = 1_000_000  # rows of one half value that a task takes; beyond them the value is split by further bits
+CROWD = 1_000_000  # rows of one half value that a task takes; beyond them the value is split by bits of the other half
 
 
 def usable(v: Column) -> Column:
@@ -107,12 +107,12 @@ def ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n), who
 
 
-def half_pairs(ids: np.ndarray, codes: np.ndarray, home: np.ndarray, table: int, half: int, width: int, radius: int, once: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def half_pairs(ids: np.ndarray, codes: np.ndarray, home: np.ndarray, table: int, half: int, width: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs among rows grouped by one half of a substring, whose other half differs in at most one bit: (a, b, -1).
 
     Pairs with a row of a crowded substring value are left to an exact search: (id, whether it has the
     value itself, unit) says that the id takes part in the search of this value. Pairs of two visitors
-    (not ``home``) are left to other tasks; with ``once``, so are those that an earlier table finds.
+    (not ``home``) are left to other tasks, and those that an earlier table finds to it.
     """
     h = width // 2
     sub = substring(codes, table, width)
@@ -156,9 +156,8 @@ def half_pairs(ids: np.ndarray, codes: np.ndarray, home: np.ndarray, table: int,
             left = rows[i:j][who]
             k = near(codes[left], codes[right], radius) & (home[left] | home[right])
             left, right = left[k], right[k]
-            if once:
-                k = ~earlier(codes[left], codes[right], table, half, width)
-                left, right = left[k], right[k]
+            k = ~earlier(codes[left], codes[right], table, half, width)
+            left, right = left[k], right[k]
             yield ids[left], ids[right], np.full(len(left), -1)
             i = j
     unit = table << 32 | sub[first]
@@ -224,14 +223,14 @@ def search_crowds(members: DataFrame, vectors: DataFrame, dim: int, k: int, leas
     return rows.groupBy("unit", "x", "y").applyInArrow(search, "a long, b long")
 
 
-def pieces(codes: np.ndarray, table: int, tables: int, width: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where rows of split half values go: (row, piece, home). Pieces are low bits of the next substring, ``bits`` of them for each row.
+def pieces(rest: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where rows of split half values go: (row, piece, home). Pieces are low bits of the other half ``rest``, ``bits`` of them for each row.
 
     A row is at home in the piece of its own bits and visits those with one of its set bits cleared, so
-    two rows whose bits differ in at most one place meet in exactly one piece.
+    two rows whose other halves differ in at most one place, as it takes to meet, meet in exactly one piece.
     """
-    sub = substring(codes, (table + 1) % tables, width) & ((1 << bits) - 1)
-    rows, where, home = [np.arange(len(codes))], [sub], [np.ones(len(codes), bool)]
+    sub = rest & ((1 << bits) - 1)
+    rows, where, home = [np.arange(len(rest))], [sub], [np.ones(len(rest), bool)]
     for b in range(int(bits.max(initial=0))):
         at = np.flatnonzero(((sub >> b) & 1) == 1)
         rows.append(at)
@@ -260,7 +259,7 @@ def neighbours(
     lowest) give no rows and are nobody's neighbour; repeated keys count once. Vectors with equal values
     form one group, which is indexed by one representative; each member still gets its own k rows.
     The fit uses at most ``sample`` vectors, those with the lowest key hashes; all vectors are indexed.
-    A half value that more than ``crowd`` rows share is split by further bits of the code, within one bit.
+    A half value that more than ``crowd`` rows share is split by bits of the other half, without loss.
     """
     if k < 1 or not 0 < min_similarity <= 1:
         raise ValueError("k must be at least 1 and min_similarity in (0, 1]")
@@ -312,7 +311,7 @@ def neighbours(
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at])], names=["slot", "n"])
 
     slots = indexed.select("v").mapInArrow(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    crowded = {r["slot"]: min(12, width, math.ceil(math.log2(r["n"] / crowd)) + 1) for r in slots.where(F.col("n") > crowd).collect()}  # tables * 2 * 2**(width / 2) slots at most
+    crowded = {r["slot"]: min(h, math.ceil(math.log2(r["n"] / crowd)) + 1) for r in slots.where(F.col("n") > crowd).collect()}  # tables * 2 * 2**(width / 2) slots at most
     split = np.zeros((tables * 2, 1 << h), np.int64)
     for slot, bits_ in crowded.items():
         split[slot >> h, slot & ((1 << h) - 1)] = bits_
@@ -342,7 +341,7 @@ def neighbours(
                     put(base | (value[plain] & (parts - 1)), plain, np.ones(len(plain), bool))
                     some = np.flatnonzero(hot)
                     if len(some):
-                        r, where, home = pieces(codes[some], t, tables, width, hot[some])
+                        r, where, home = pieces(half_values(codes[some], t, 1 - half), hot[some])
                         put(base | 1 << 39 | value[some[r]] << 13 | where, some[r], home)
             yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())], names=["cell", "n", "rows"])
 
@@ -353,7 +352,7 @@ def neighbours(
             ids.append(np.frombuffer(blob, np.int64, n_rows))
             codes.append(np.frombuffer(blob, np.uint64, n_rows * words, offset=8 * n_rows).reshape(n_rows, words))
             home.append(np.frombuffer(blob, np.bool_, n_rows, offset=8 * n_rows * (words + 1)))
-        got = list(half_pairs(np.concatenate(ids), np.concatenate(codes), np.concatenate(home), cell // 2, cell % 2, width, radius, not crowded))
+        got = list(half_pairs(np.concatenate(ids), np.concatenate(codes), np.concatenate(home), cell // 2, cell % 2, width, radius))
         a, b, unit = (np.concatenate(z).astype(np.int64) for z in zip(*got, strict=True))
         pair = unit < 0
         return pa.table({"a": np.where(pair, np.minimum(a, b), a), "b": np.where(pair, np.maximum(a, b), b), "unit": unit})

@@ -66,6 +66,23 @@ def test_neighbours_in_a_large_crowd(spark):
     assert len(got & true) >= 0.9 * len(true)
 
 
+def test_split_half_values_lose_no_pair():
+    rest = np.arange(64)
+    for bits in (1, 3, 6):
+        rows, where, home = neighbours.pieces(rest, np.full(64, bits))
+        for a in range(64):
+            for b in range(a):
+                met = sum(bool(home[i] | home[j]) for i in np.flatnonzero(rows == a) for j in np.flatnonzero(rows == b) if where[i] == where[j])
+                assert met == 1 or (a ^ b).bit_count() > 1
+
+
+def test_neighbours_split_as_unsplit(spark):
+    x = crowd(9, 300, 64, 3, 0.35)
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], VEC)
+    plain, split = ({tuple(r) for r in neighbours.neighbours(df, crowd=c).collect()} for c in (1_000_000, 20))
+    assert plain == split
+
+
 def test_neighbours_odd_rows(spark):
     a = [1.0] + [0.1] * 15
     rows = [(1, a, "x"), (1, a, "x"), (2, [2 * v for v in a], "y"), (3, None, "x"), (4, [0.0] * 16, "x"), (5, [float("nan")] * 16, "x"), (6, [float("inf")] + [0.0] * 15, None), (None, a, "x"), (7, [1.0], "x"), (8, [], "x"), (9, [-v for v in a], "x")]
