@@ -285,8 +285,8 @@ def neighbours(
     h = width // 2
     parts = 1 << max(0, min(h, math.ceil(math.log2(max(n, 1) / 2_000_000)) if n > 2_000_000 else 0))
 
-    # groups of equal vectors that are larger than k are indexed by their k + 1 lowest keys
-    groups = good.select("id", copy.alias("copy")).groupBy("copy").agg(F.count("*").alias("n"), F.min("id").alias("rep")).where(F.col("n") > 8 * (k + 1))
+    # groups of equal vectors with many more than k distinct keys are indexed by their lowest key
+    groups = good.select("id", copy.alias("copy")).distinct().groupBy("copy").agg(F.count("*").alias("n"), F.min("id").alias("rep")).where(F.col("n") > 8 * (k + 1))
     groups = materialise(groups, "copies")
     heavy = groups.count()
     indexed = good

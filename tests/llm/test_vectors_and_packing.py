@@ -83,6 +83,14 @@ def test_neighbours_split_as_unsplit(spark):
     assert plain == split
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rnd = np.random.default_rng(6)
+    base = rnd.standard_normal(32)
+    rows = [(1, base.tolist(), "x")] * 60 + [(i, (base + 0.05 * rnd.standard_normal(32)).tolist(), "x") for i in range(2, 5)] + [(100 + i, rnd.standard_normal(32).tolist(), "x") for i in range(50)]
+    got = neighbours.neighbours(spark.createDataFrame(rows, VEC)).where("vec_id = 1").collect()
+    assert sorted(r.neighbour for r in got) == [2, 3, 4]
+
+
 def test_neighbours_odd_rows(spark):
     a = [1.0] + [0.1] * 15
     rows = [(1, a, "x"), (1, a, "x"), (2, [2 * v for v in a], "y"), (3, None, "x"), (4, [0.0] * 16, "x"), (5, [float("nan")] * 16, "x"), (6, [float("inf")] + [0.0] * 15, None), (None, a, "x"), (7, [1.0], "x"), (8, [], "x"), (9, [-v for v in a], "x")]
