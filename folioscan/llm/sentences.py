@@ -35,6 +35,7 @@ NEVER = frozenset("no nos fig figs ch chap sec sect ex eq eqs p pp vs cf e.g i.e
 # Abbreviations that may also be the last word.
 MAYBE = frozenset("etc a.m p.m am pm inc ltd co jr sr u.s".split())
 KEYS = 50_000
+LEAST = 5  # a word seen less often says nothing
 UNIT = T.StructType([T.StructField("section_id", T.LongType()), T.StructField("start_pos", T.LongType()), T.StructField("end_pos", T.LongType())])
 
 
@@ -63,7 +64,7 @@ class Scorer:
         if word is None:
             return 0.0
         s, i = self.start.get(word, 0), self.inner.get(word, 0)
-        if s + i < 5:
+        if s + i < LEAST:
             return 0.0
         return max(-3.0, min(3.0, math.log((s + 0.3) / self.starts) - math.log((i + 0.3) / self.inners)))
 
@@ -264,7 +265,7 @@ def opening_counts(texts: DataFrame, keys: int = KEYS) -> dict[tuple[str, str],
                     c["s", opening(text, at)] += 1
                     at = m.end()
                 c["s", opening(text, at)] += 1
-                inner = [m.end() for m in comma.finditer(text)][:: 4]
+                inner = [m.end() for m in comma.finditer(text)]
                 for e in inner:
                     m = OPENING.match(text, e)
                     if m:
@@ -274,7 +275,8 @@ def opening_counts(texts: DataFrame, keys: int = KEYS) -> dict[tuple[str, str],
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["kind", "key", "n"])
 
-    counts = texts.select("text").mapInArrow(run, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = texts.select("text").mapInArrow(run, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counts = counts.withColumn("both", F.sum("n").over(Window.partitionBy("key"))).where(F.col("both") >= LEAST).drop("both")
     rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "key"))
     kept = counts.withColumn("rank", rank).where(F.col("rank") <= keys).toArrow()
     return {(k, w): n for k, w, n in zip(*(kept.column(c).to_pylist() for c in ("kind", "key", "n")), strict=True)}

@@ -105,6 +105,12 @@ def test_sentences(scorer, units):
         assert [text[a:b] for a, b in sentences.sentences(text, scorer)] == units
 
 
+def test_every_inner_word_counts(spark):
+    df = spark.createDataFrame([("One two, three two, four two",)] * 5, "text string")
+    got = sentences.opening_counts(df)
+    assert got == {("s", "one"): 5, ("i", "two"): 15, ("i", "three"): 5, ("i", "four"): 5}
+
+
 def test_sentence_rows(spark, scorer):
     df = spark.createDataFrame([(1, "One. Two."), (1, "One. Two."), (2, None), (3, " \n\n "), (None, "x"), (4, "a" * 100_000 + ". B"), (5, "。。。" * 2000)], "section_id long, text string").withColumn("start_pos", F.lit("clash"))
     got = sorted(tuple(r) for r in sentences.split_sentences(df).where("section_id < 4").collect())
