@@ -50,23 +50,44 @@ def opening(text: str, at: int) -> str | None:
     return w.lower() if w[0] < "ɐ" else w[:2]
 
 
+def closing_word(text: str, at: int, base: int = 0) -> str | None:
+    """The word, or the last characters of text without spaces, that ends at or before signs at ``at``."""
+    while at > base and (text[at - 1] in CLOSERS or text[at - 1].isspace()):
+        at -= 1
+    if at <= base:
+        return None
+    if CASELESS.match(text[at - 1]):
+        return text[max(base, at - 2) : at]
+    k = at
+    while k > base and at - k < 24 and text[k - 1].isalnum():
+        k -= 1
+    return text[k:at].lower() or None
+
+
 class Scorer:
-    """Scores with the counts of opening words: at the start of paragraphs, and behind commas and blanks."""
+    """Scores with the counts of opening words (at the start of paragraphs, and behind commas and blanks) and closing words (at the end of paragraphs, and where a sentence goes on)."""
 
     def __init__(self, counts: dict[tuple[str, str], int]):
         self.start = {k: n for (kind, k), n in counts.items() if kind == "s"}
         self.inner = {k: n for (kind, k), n in counts.items() if kind == "i"}
         self.last = {k: n for (kind, k), n in counts.items() if kind == "l"}
+        self.middle = {k: n for (kind, k), n in counts.items() if kind == "m"}
         self.starts, self.inners = sum(self.start.values()) + 1, sum(self.inner.values()) + 1
+        self.lasts, self.middles = sum(self.last.values()) + 1, sum(self.middle.values()) + 1
 
     def opener(self, word: str | None) -> float:
         """Log odds, within bounds, that the word opens a sentence rather than goes on in one."""
-        if word is None:
-            return 0.0
-        s, i = self.start.get(word, 0), self.inner.get(word, 0)
-        if s + i < LEAST:
+        return self.odds(self.start.get(word, 0), self.starts, self.inner.get(word, 0), self.inners)
+
+    def closer(self, word: str | None) -> float:
+        """Log odds, within bounds, that the word ends a sentence rather than goes on in one."""
+        return self.odds(self.last.get(word, 0), self.lasts, self.middle.get(word, 0), self.middles)
+
+    @staticmethod
+    def odds(edge: int, edges: int, inner: int, inners: int) -> float:
+        if edge + inner < LEAST:
             return 0.0
-        return max(-3.0, min(3.0, math.log((s + 0.3) / self.starts) - math.log((i + 0.3) / self.inners)))
+        return max(-3.0, min(3.0, math.log((edge + 0.3) / edges) - math.log((inner + 0.3) / inners)))
 
     def closing(self, text: str, m: re.Match, base: int) -> float:
         """Score of ending at this run of marks: by the closing word, the mark and what follows."""
@@ -104,7 +125,7 @@ class Scorer:
                 score = 3.0
             else:
                 score += 1.5 * self.opener(opening(text, after))
-            return score
+            return score  # a text may trail off after any word
         if marks == ".":
             w = WORD_BEFORE.search(text, max(base, at - 24), at)
             word = w.group().lower() if w else ""
@@ -129,7 +150,7 @@ class Scorer:
         elif letter.isdigit():
             score -= 1.0
         score += 0.4 * self.opener(opening(text, after))
-        return score
+        return score + (0.8 if marks == "." else 0.4) * self.closer(closing_word(text, at, base))
 
 
 def split_paragraph(text: str, start: int, stop: int, hidden: list[tuple[int, int]], scorer: Scorer) -> list[tuple[int, int]]:
@@ -253,8 +274,17 @@ def sentences(text: str, scorer: Scorer) -> list[tuple[int, int]]:
 
 
 def opening_counts(texts: DataFrame, keys: int = KEYS) -> dict[tuple[str, str], int]:
-    """Counts of opening keys at paragraph starts (s) and behind commas and blanks (i), the most frequent ``keys`` of each."""
+    """Counts of opening keys at paragraph starts (s) and behind commas and blanks (i), and of closing keys before the marks at paragraph ends (l) and where a sentence goes on (m), the most frequent ``keys`` of each."""
     comma = re.compile(r"[,;，、；]\s?|(?<=[\w]) (?=[^\W\d])")
+    goes_on = re.compile(r"(?<=\w)\.(?=[,;]|\s[a-zß-öø-ÿ])")  # behind an abbreviation
+    ended = re.compile(rf"{END.pattern}\s*\Z")
+
+    def close(c: Counter, text: str, start: int, stop: int) -> None:
+        while stop > start and text[stop - 1].isspace():
+            stop -= 1
+        m = ended.search(text[max(start, stop - 12) : stop])
+        if m:
+            c["l", closing_word(text, max(start, stop - 12) + m.start(), start)] += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -263,10 +293,14 @@ def opening_counts(texts: DataFrame, keys: int = KEYS) -> dict[tuple[str, str],
                 at = 0
                 for m in BLANK_LINE.finditer(text):
                     c["s", opening(text, at)] += 1
+                    close(c, text, at, m.start())
                     at = m.end()
                 c["s", opening(text, at)] += 1
-                inner = [m.end() for m in comma.finditer(text)]
-                for e in inner:
+                close(c, text, at, len(text))
+                for m in goes_on.finditer(text):
+                    c["m", closing_word(text, m.start())] += 1
+                for f, e in [m.span() for m in comma.finditer(text)]:
+                    c["m", closing_word(text, f)] += 1
                     m = OPENING.match(text, e)
                     if m:
                         w = m.group()
@@ -276,7 +310,7 @@ def opening_counts(texts: DataFrame, keys: int = KEYS) -> dict[tuple[str, str],
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["kind", "key", "n"])
 
     counts = texts.select("text").mapInArrow(run, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counts = counts.withColumn("both", F.sum("n").over(Window.partitionBy("key"))).where(F.col("both") >= LEAST).drop("both")
+    counts = counts.withColumn("both", F.sum("n").over(Window.partitionBy("key", F.col("kind").isin("l", "m")))).where(F.col("both") >= LEAST).drop("both")
     rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "key"))
     kept = counts.withColumn("rank", rank).where(F.col("rank") <= keys).toArrow()
     return {(k, w): n for k, w, n in zip(*(kept.column(c).to_pylist() for c in ("kind", "key", "n")), strict=True)}
@@ -286,11 +320,11 @@ def split_sentences(sections: DataFrame, *, keys: int = KEYS) -> DataFrame:
     """Sentence units of (section_id, text): section_id, start_pos, end_pos in code points, end exclusive.
 
     Null ids and texts, and texts of blanks only, give no rows; repeated rows count once. The counts of
-    opening words come from all rows; the model keeps the ``keys`` most frequent.
+    opening and closing words come from all rows; the model keeps the ``keys`` most frequent of each.
     """
     spark = sections.sparkSession
     rows = sections.select(F.col("section_id").cast("long").alias("section_id"), "text").where(F.col("section_id").isNotNull() & F.col("text").isNotNull())
-    counts = spark.sparkContext.broadcast(opening_counts(rows, keys))  # twice ``keys`` rows at most
+    counts = spark.sparkContext.broadcast(opening_counts(rows, keys))  # four times ``keys`` rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(counts.value)
