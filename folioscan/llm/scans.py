@@ -147,6 +147,7 @@ class Reader:
         self.khmer = {w: n for w, n in counts["k"].items() if n >= max(2, top / 2000)} | {"ទំព័រ": 1}
         self.longest = max(map(len, self.khmer), default=1)
         self.prefixes = {w[:i] for w in self.khmer for i in range(1, len(w) + 1)}
+        self.words_of_two = {w for w in self.khmer if len(w) > 1}  # single letters stand anywhere
         self.auto = ahocorasick.Automaton()
         for w in self.khmer:
             self.auto.add_word(w, len(w))
@@ -230,16 +231,14 @@ class Reader:
         return got == len(run)
 
     def khmer_run(self, run: str) -> str:
-        """The run with its misread characters undone, as far as known words cover more of it then."""
+        """The run with its misread characters undone where known words cover more of it then; unknown words are passed over."""
         if not self.khmer or self.covered(run):
             return run
         n = len(run)
         ok = bytearray(n + 1)
         ok[0] = 1
         far = self.ends(run, ok, 0)
-        for _ in range(6):
-            if far == n:
-                break
+        while far < n:
             best = (far, None, None)
             for i in range(max(0, far - 3), min(n, far + self.longest + 1)):
                 c = run[i]
@@ -261,11 +260,29 @@ class Reader:
                         break
                 if best[0] == n:
                     break
-            if best[1] is None:
+            if best[1] is not None:
+                far, run, ok = best
+                continue
+            # no change carries on: an unknown word, behind which the nearest known words go on
+            start = next((i for i in range(far + 1, n) if self.known_from(run, i)), n)
+            if start == n:
                 break
-            far, run, ok = best
+            ok[start] = 1
+            far = self.ends(run, ok, start)
         return run
 
+    def known_from(self, run: str, at: int) -> bool:
+        """Whether two known words, or one up to the end, stand at this place."""
+        for j in self.word_ends(run, at):
+            if j == len(run) or any(True for _ in self.word_ends(run, j)):
+                return True
+        return False
+
+    def word_ends(self, run: str, at: int) -> Iterator[int]:
+        for j in range(at + 1, min(len(run), at + self.longest) + 1):
+            if run[at:j] in self.words_of_two:
+                yield j
+
     def khmer_line(self, line: str) -> tuple[str, bool]:
         wrong = False
 

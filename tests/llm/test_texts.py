@@ -150,6 +150,12 @@ def page(n, body):
     return f"Common title of the book\n{body}\n- {n + 4} -"
 
 
+def test_khmer_runs_are_read_to_the_end():
+    r = scans.Reader({"w": {}, "p": {}, "k": {"នរណា": 10, "ភាសា": 10, "តម្លៃ": 10}})
+    assert r.khmer_run("ឆរណា" * 9) == "នរណា" * 9  # more than six misread characters
+    assert r.khmer_run("ភាសា" + "ហ្វូហ្វូ" + "ភាសាតម្លៃ" + "ឆរណា") == "ភាសា" + "ហ្វូហ្វូ" + "ភាសាតម្លៃ" + "នរណា"  # behind an unknown word
+
+
 def test_scans(spark):
     clean = "The common function converges under every condition because another determinant follows. A well-defined value equals one. "
     rows = [(100 + i, "c", 1, False, clean * 3) for i in range(20)]
