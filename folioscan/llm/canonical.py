@@ -13,10 +13,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscan.runtime import materialise
+
 # Characters without any ink or width.
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿︀︁︂︃︄︅︆︇︈︉︊︋︌︍︎️"
 # Blanks as wide as a space.
@@ -25,13 +27,20 @@ BLANKS = "      "
 LOOK_ALIKES = (
     "аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ЅS ІI ЈJ ԚQ ԜW "
     "οo νv ιi ϲc ϳj ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC "
+    "օo ՕO ոn սu հh ՏS ⲟo ⲣp ⲥc ⲞO ⲢP ⲤC ⲘM ⲎH ⲚN ⲔK ⲦT ⲬX ⲒI ԌG ӏl ҮY үy "
+    "ᎠD ᎡR ᎢT ᎪA ᎫJ ᎬE ᎳW ᎷM ᎻH ᏀG ᏃZ ᏚS ᏙV ᏞL ᏟC ᏢP ᏦK ᏴB "
+    "ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU "
     "ıi ɑa ɡg ‐- ‑- ∆Δ µμ ∑Σ ∏Π ∙· ⋅· ‚, ∕/ ⁄/ ʼ’ ˈ' ʹ′ ∣| ǀ| ։: ∶: ឣអ"
 )
 # Sequences drawn alike.
 SEQUENCES = {"េី": "ើ", "េា": "ោ", "្ដ": "្ត", "ំា": "ាំ", "ំុ": "ុំ"}
 #: Compatibility characters that look like what they stand for: ligatures, digraphs, Roman numerals, full-width forms.
 COMPATIBLE = ((0x0132, 0x0134), (0x01C7, 0x01CD), (0x01F1, 0x01F4), (0x2160, 0x2180), (0xFB00, 0xFB07), (0xFF01, 0xFF5F), (0xFFE0, 0xFFE7))
+#: Arabic letters that join the next one, and those that join the one before only.
+ARABIC_BOTH = "ئبتثجحخسشصضطظعغـفقكلمنهىيپچڤکگی"
+ARABIC_BEFORE = "آأؤإاةدذرزوژۀۆ"
 VIRAMA = (0x094D, 0x09CD, 0x0A4D, 0x0ACD, 0x0B4D, 0x0BCD, 0x0C4D, 0x0CCD, 0x0D4D)
+HANGUL, LEADS, VOWELS, TAILS = 0xAC00, 0x1100, 0x1161, 0x11A7  # 19 leading letters, 21 vowels, 27 final ones
 BREAK = 0x10FFFF  # between rows
 LIMIT = 0x110000
 
@@ -47,7 +56,7 @@ def tables() -> dict[str, np.ndarray]:
     order = np.zeros(LIMIT, np.uint8)
     pool: list[int] = []
     pairs: dict[tuple[int, int], int] = {}
-    for c in range(0xA0, 0x30000):
+    for c in range(0x80, 0x30000):
         if 0xD800 <= c < 0xE000 or 0x3400 <= c < 0xA000 or 0xAC00 <= c < 0xD7A4 or 0x20000 <= c < 0x2F800:
             continue
         ch = chr(c)
@@ -80,9 +89,27 @@ def tables() -> dict[str, np.ndarray]:
         "keys": keys[by],
         "composed": np.array(list(pairs.values()), np.uint32)[by],
         "second": second,
+        "joins": _marked(ARABIC_BOTH),
+        "arabic": _marked(ARABIC_BOTH + ARABIC_BEFORE),
     }
 
 
+def _marked(letters: str) -> np.ndarray:
+    out = np.zeros(LIMIT, bool)
+    out[[ord(c) for c in letters]] = True
+    return out
+
+
+def shows(points: np.ndarray, at: np.ndarray, t: dict[str, np.ndarray]) -> np.ndarray:
+    """Whether the joiners at these places change what is seen: behind a virama, between Arabic letters that would join, in an emoji sequence."""
+    before, after, zwnj = points[np.maximum(at - 1, 0)], points[np.minimum(at + 1, len(points) - 1)], points[at] == 0x200C
+    virama = np.isin(before, VIRAMA)
+    parted = zwnj & t["joins"][before] & t["arabic"][after]
+    shaped = ~zwnj & (t["joins"][before] != t["arabic"][after])
+    emoji = ~zwnj & ((before >= 0x1F000) | (before == 0xFE0F)) & (before != BREAK) & (((after >= 0x2600) & (after < 0x2800)) | ((after >= 0x1F000) & (after != BREAK)))
+    return (at > 0) & (virama | parted | shaped | emoji)
+
+
 def flatten(column: pa.Array) -> np.ndarray:
     """Code points of all strings, a BREAK behind each; nulls are empty."""
     column = column.cast(pa.large_string()) if column.type != pa.large_string() else column
@@ -109,10 +136,13 @@ def gather(points: np.ndarray, t: dict[str, np.ndarray]) -> np.ndarray:
     """Replace every code point by the characters it stands for."""
     n = t["length"][points]
     joiner = (points == 0x200C) | (points == 0x200D)
-    if joiner.any():  # a joiner behind a virama changes the letters' shape
+    if joiner.any():
         at = np.flatnonzero(joiner)
-        at = at[(at > 0) & np.isin(points[at - 1], VIRAMA)]
-        n[at] = 1
+        n[at[shows(points, at, t)]] = 1
+    variant = (points >= 0x180B) & (points <= 0x180D)
+    if variant.any():  # they choose the shape of the Mongolian letter before them
+        at = np.flatnonzero(variant)
+        n[at[(points[at - 1] >= 0x1820) & (points[at - 1] <= 0x18AA)]] = 1
     if (n == 1).all():
         return t["single"][points]
     ends = np.cumsum(n, dtype=np.int64)
@@ -144,6 +174,7 @@ def reorder(points: np.ndarray, t: dict[str, np.ndarray]) -> np.ndarray:
 
 def compose(points: np.ndarray, t: dict[str, np.ndarray]) -> np.ndarray:
     """Compose neighbouring pairs, leftmost first, until none is left."""
+    points = compose_hangul(points)
     keys, composed = t["keys"], t["composed"]
     while True:
         at = np.flatnonzero(t["second"][points[1:]])
@@ -161,6 +192,19 @@ def compose(points: np.ndarray, t: dict[str, np.ndarray]) -> np.ndarray:
         points = np.delete(points, at + 1)
 
 
+def compose_hangul(points: np.ndarray) -> np.ndarray:
+    """Hangul letters as syllables, by the arithmetic of the script."""
+    if not ((points >= VOWELS) & (points <= TAILS + 27)).any():
+        return points
+    x = points.astype(np.int64)
+    at = np.flatnonzero((x[:-1] >= LEADS) & (x[:-1] < LEADS + 19) & (x[1:] >= VOWELS) & (x[1:] < VOWELS + 21))
+    x[at] = HANGUL + ((x[at] - LEADS) * 21 + x[at + 1] - VOWELS) * 28
+    x = np.delete(x, at + 1)
+    at = np.flatnonzero((x[:-1] >= HANGUL) & (x[:-1] < HANGUL + 11172) & ((x[:-1] - HANGUL) % 28 == 0) & (x[1:] > TAILS) & (x[1:] <= TAILS + 27))
+    x[at] += x[at + 1] - TAILS
+    return np.delete(x, at + 1).astype(np.uint32)
+
+
 def normalise(column: pa.Array) -> pa.Array:
     """The consistent form of every string; null stays null, empty stays empty."""
     t = tables()
@@ -199,28 +243,42 @@ def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical(items(spark, sf_dir)).select("item_kind", "item_id", "canonical").distinct()
 
 
+def classes(texts: DataFrame) -> DataFrame:
+    """Classes of items (item_kind, item_id, text) whose texts look the same but are stored in several ways.
+
+    Result: item_kind, item_id, class_1, class_2 (hashes of the common form), text_1, text_2 (hashes of the
+    stored text), one row for each different stored text of an item. Null texts and ids are in no class.
+    """
+    form = canonical(texts.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_kind", "item_id", "text"))
+
+    def twice(name: str, to: str) -> list[Column]:
+        return [F.xxhash64(name).alias(f"{to}_1"), F.xxhash64(F.lit("c"), F.col(name)).alias(f"{to}_2")]
+
+    h = materialise(form.select("item_kind", "item_id", *twice("canonical", "class"), *twice("text", "text")).distinct(), "forms")
+    # only forms with several stored variants go on; popular texts without variants never meet
+    stored = F.struct("text_1", "text_2")
+    mixed = h.groupBy("item_kind", "class_1", "class_2").agg(F.min(stored).alias("low"), F.max(stored).alias("high")).where("low <> high").select("item_kind", "class_1", "class_2")
+    return h.join(mixed, ["item_kind", "class_1", "class_2"], "left_semi")
+
+
 def alike(texts: DataFrame) -> DataFrame:
     """Pairs of items (item_kind, item_id, text) whose texts look the same but are stored differently.
 
     Result: item_kind, id_a, id_b with id_a < id_b. Equal texts are no pair. Null texts and ids give none.
-    Texts are compared by two 64-bit hashes each.
+    The pairs are the classes written out, which comes last; texts are compared by two 64-bit hashes each.
     """
-    form = canonical(texts.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_kind", "item_id", "text"))
-    h = form.select(
-        "item_kind",
-        "item_id",
-        F.xxhash64("canonical").alias("c1"),
-        F.xxhash64(F.lit("c"), F.col("canonical")).alias("c2"),
-        F.xxhash64("text").alias("t1"),
-    ).distinct()
-    from folioscan.runtime import materialise
-
-    h = materialise(h, "forms")
-    # only forms with several stored variants are joined; popular texts without variants never meet
-    mixed = h.groupBy("item_kind", "c1", "c2").agg(F.min("t1").alias("low"), F.max("t1").alias("high")).where("low <> high").select("item_kind", "c1", "c2")
-    some = h.join(mixed, ["item_kind", "c1", "c2"], "left_semi")
-    a, b = some.withColumnRenamed("item_id", "id_a").withColumnRenamed("t1", "ta"), some.withColumnRenamed("item_id", "id_b").withColumnRenamed("t1", "tb")
-    return a.join(b, ["item_kind", "c1", "c2"]).where((F.col("id_a") < F.col("id_b")) & (F.col("ta") != F.col("tb"))).select("item_kind", "id_a", "id_b").distinct()
+    some = classes(texts)
+    keys = ["item_kind", "class_1", "class_2"]
+    a = some.select(*keys, F.col("item_id").alias("id_a"), F.struct("text_1", "text_2").alias("ta"))
+    b = some.select(*keys, F.col("item_id").alias("id_b"), F.struct("text_1", "text_2").alias("tb"))
+    return a.join(b, keys).where((F.col("id_a") < F.col("id_b")) & (F.col("ta") != F.col("tb"))).select("item_kind", "id_a", "id_b").distinct()
+
+
+def classed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p6_classes: the class of every item that has look-alikes stored differently; class_id is the lowest item of the class."""
+    c = classes(items(spark, sf_dir))
+    low = c.groupBy("item_kind", "class_1", "class_2").agg(F.min("item_id").alias("class_id"))
+    return c.select("item_kind", "item_id", "class_1", "class_2").distinct().join(low, ["item_kind", "class_1", "class_2"]).select("item_kind", "item_id", "class_id")
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

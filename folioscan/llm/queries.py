@@ -16,6 +16,7 @@ QUERIES = {
     "p5_text": scans.texts,
     "p6_found": canonical.found,
     "p6_canonical": canonical.normalised,
+    "p6_classes": canonical.classed,
     "p7_found": markup.found,
     "p7_text": markup.texts,
     "p7_headings": markup.headings,
