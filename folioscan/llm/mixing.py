@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Every source gets a share of the total, limited by how often it may repeat; what limited sources leave
-over goes to the others in proportion to their shares. A document's expected number of copies is the
-source's quota divided by the source's size: the whole part is certain, the rest is the inclusion
-probability p of one more copy. Documents are ranked by odds(u) / odds(p) with u uniform, and the
-lowest ranks are taken until the quota is filled, so each source's total is fixed up to one document.
+over goes to the others in proportion to their shares. The whole copies of a source that its quota holds
+are certain. The rest is a sample with probabilities in proportion to size: a document is included with
+p = min(1, c * size), where c is such that the expected total is the rest; those of p = 1 are certain too.
+Documents are ranked by odds(u) / odds(p) with u uniform, and the lowest ranks are taken until the quota is
+filled, so each source's total is fixed up to half a document.
 
 Ranks are not sorted source by source. The ranking value is cut into fixed intervals; sums per source
 and interval decide all intervals but the one in which a quota ends, and only that one is sorted.
@@ -16,8 +17,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscan.llm.packing import token_size
+from folioscan.runtime import materialise
 
 INTERVALS = 4096
+STEPS = 16  # classes of size for each doubling
 
 
 def quotas(targets: list[tuple[str, float, int]], sizes: dict[str, int], total: int) -> list[tuple[str, float, int, float, int, bool]]:
@@ -39,6 +42,23 @@ def quotas(targets: list[tuple[str, float, int]], sizes: dict[str, int], total:
     return [(s, w, r, quota[s], limit[s], limit[s] < w * total) for s, w, r in targets]
 
 
+def inclusion(classes: list[tuple[float, float]], rest: float) -> float:
+    """The factor c for which documents taken with p = min(1, c * size) have the expected total ``rest``; from sums of sizes and of their squares by class of size."""
+    if rest <= 0 or not classes:
+        return 0.0
+
+    def expected(c: float) -> float:
+        return sum(s if c * q >= s else c * q for s, q in classes)
+
+    low, high = 0.0, max(s / q for s, q in classes)
+    if rest >= expected(high):
+        return high
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if expected(mid) < rest else (low, mid)
+    return high
+
+
 def mix(docs: DataFrame, targets: DataFrame, *, seed: int = 17, intervals: int = INTERVALS) -> tuple[DataFrame, DataFrame]:
     """Select a mix of documents whose total equals that of all documents.
 
@@ -51,11 +71,19 @@ def mix(docs: DataFrame, targets: DataFrame, *, seed: int = 17, intervals: int =
     source is used up to its limit.
     """
     spark = docs.sparkSession
-    d = docs.groupBy("doc_id").agg(F.min("source").alias("source"), F.max(F.coalesce(F.col("size"), F.lit(0)).cast("long")).alias("size"))
+    d = materialise(docs.groupBy("doc_id").agg(F.min("source").alias("source"), F.max(F.coalesce(F.col("size"), F.lit(0)).cast("long")).alias("size")), "sizes")
     wanted = [(r[0], float(r[1] or 0), int(r[2] or 0)) for r in targets.select("source", "target_share", "max_repeats").distinct().collect() if r[0] is not None]
     names = F.broadcast(spark.createDataFrame([(w[0], True) for w in wanted], "source string, wanted boolean"))  # as many rows as targets
-    sums = d.join(names, "source", "left").groupBy(F.when(F.col("wanted"), F.col("source")).alias("source")).agg(F.sum("size").alias("size")).collect()
-    sizes = {r["source"]: r["size"] for r in sums if r["source"] is not None}
+    level = F.when(F.col("size") > 0, F.floor(F.log2("size") * STEPS)).cast("int")
+    real = F.col("size").cast("double")
+    sums = d.join(names, "source", "left").groupBy(F.when(F.col("wanted"), F.col("source")).alias("source"), level.alias("level")).agg(F.sum("size").alias("size"), F.sum(real * real).alias("square")).collect()  # targets * STEPS * 63 rows at most
+    sizes: dict[str, int] = {}
+    classes: dict[str, list[tuple[float, float]]] = {}
+    for r in sums:
+        if r["source"] is not None:
+            sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+            if r["size"]:
+                classes.setdefault(r["source"], []).append((float(r["size"]), r["square"]))
     total = sum(r["size"] for r in sums)
     plan = quotas(wanted, sizes, total)
     rows = []
@@ -63,12 +91,13 @@ def mix(docs: DataFrame, targets: DataFrame, *, seed: int = 17, intervals: int =
         size = sizes.get(s, 0)
         whole = min(int(quota // size), r) if size else 0
         rest = max(0.0, quota - whole * size) if whole < r else 0.0
-        rows.append((s, w, r, size, limit, limited, quota, whole, rest, rest / size if size else 0.0))
+        rows.append((s, w, r, size, limit, limited, quota, whole, rest, inclusion(classes.get(s, []), rest)))
     quota_df = F.broadcast(
-        spark.createDataFrame(rows, "source string, target_share double, max_repeats int, source_size long, limit_size long, limited boolean, quota double, whole int, rest double, p double")
+        spark.createDataFrame(rows, "source string, target_share double, max_repeats int, source_size long, limit_size long, limited boolean, quota double, whole int, rest double, factor double")
     )  # one row a target source
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    odds = F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
+    p = F.least(F.lit(1.0), F.col("factor") * F.col("size"))
+    odds = F.when(p >= 1, F.lit(0.0)).when(p > 0, (u / (1 - u)) / (p / (1 - p)))
     ranked = d.join(quota_df, "source").withColumn("rank_value", odds).withColumn("cell", F.floor(F.col("rank_value") / (1 + F.col("rank_value")) * intervals).cast("int"))
     cells = ranked.where("rest > 0").groupBy("source", "cell").agg(F.sum("size").alias("cell_size"), F.max("rest").alias("rest"))
     up_to = F.sum("cell_size").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))

@@ -121,24 +121,46 @@ def test_layout_grows_with_the_table():
 SIZED = "doc_id long, size long, container string"
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.dictionaries(st.integers(1, 50), st.integers(1, 40), max_size=20))
-def test_best_fit_runs(counts):
-    runs, n = packing.best_fit_runs(counts, 50)
-    fill: dict = {}
-    placed: dict = {}
-    for size, a, b, first, offset in runs:
-        for r in range(a, b):
-            assert (size, r) not in placed
-            placed[size, r] = first + r - a
-            fill.setdefault(first + r - a, []).append((offset, size))
-    assert len(placed) == sum(counts.values())
-    for parts in fill.values():
-        parts.sort()
-        assert all(x[0] + x[1] <= y[0] for x, y in zip(parts, parts[1:], strict=False)) and parts[-1][0] + parts[-1][1] <= 50
-    assert set(fill) == set(range(n))
-    total = sum(s * c for s, c in counts.items())
-    assert n <= 11 / 9 * max(-(-total // 50), max((counts[s] for s in counts if s > 25), default=0)) + 25
+def swept(kind):
+    """Matches of one sweep by a plain stack: document -> slot."""
+    free, out = [], {}
+    for i, k in enumerate(kind):
+        if k == packing.SLOT:
+            free.append(i)
+        elif free:
+            out[i] = free.pop()
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 1), max_size=12), max_size=8))
+def test_sweeps_of_ranges_agree_with_one_sweep(ranges):
+    whole = np.array([k for r in ranges for k in r], np.int64)
+    docs, slots = packing.successors(whole)
+    assert dict(zip(docs.tolist(), slots.tolist(), strict=True)) == swept(whole)
+    got, counts, left, base = {}, [], {}, 0
+    for p, r in enumerate(ranges):
+        docs, slots = packing.successors(np.array(r, np.int64))
+        got |= dict(zip((base + docs).tolist(), (base + slots).tolist(), strict=True))
+        for kind in (packing.DOCUMENT, packing.SLOT):
+            taken = {*docs.tolist(), *slots.tolist()}
+            left[p, kind] = [base + i for i, k in enumerate(r) if k == kind and i not in taken]
+        counts.append((p, len(left[p, packing.DOCUMENT]), len(left[p, packing.SLOT])))
+        base += len(r)
+    for part, first, n, there, slot in packing.settle(counts):
+        for i in range(n):
+            got[left[part, packing.DOCUMENT][first + i]] = left[there, packing.SLOT][slot - i]
+    assert got == swept(whole)
+
+
+def test_fill(spark):
+    """Little room is wasted over several ranges, and equal sizes are no obstacle."""
+    rnd = random.Random(5)
+    sizes = [min(1000, int(rnd.lognormvariate(4.5, 1.2)) + 1) for _ in range(1500)] + [300] * 500
+    df = spark.createDataFrame([(i, s, "x") for i, s in enumerate(sizes)], SIZED)
+    got = packing.pack(df, 1000, ranges=4).groupBy("container").sum("piece_size").collect()
+    assert sum(r[1] for r in got) == sum(sizes)
+    assert len(got) <= -(-sum(sizes) // 1000) * 1.02 + 1
 
 
 def test_pack(spark):
@@ -189,6 +211,19 @@ def test_mix(spark):
     assert {x.actual_share for x in mixing.mix(df.limit(0), targets)[1].collect()} == {0.0}
 
 
+def test_inclusion_grows_with_size(spark):
+    rows = [(i, "s", 10 if i % 2 else 90, 0.0) for i in range(4000)] + [(9000 + i, "t", 50, 0.0) for i in range(4000)]
+    df = spark.createDataFrame(rows, DOCS)
+    targets = spark.createDataFrame([("s", 0.25, 1), ("t", 0.75, 2)], TARGETS)
+    picked, report = mixing.mix(df, targets)
+    got = [x for x in picked.collect() if x.source == "s"]
+    large, small = (sum(x.size == n for x in got) / 2000 for n in (90, 10))
+    assert abs(large / small - 9) < 2.5
+    assert all(abs(x.actual_size - x.quota) <= 45 for x in report.collect())
+    assert mixing.inclusion([(100.0, 1000.0)], 0) == 0 and mixing.inclusion([], 5) == 0
+    assert abs(mixing.inclusion([(100.0, 1000.0), (1000.0, 100_000.0)], 303) - 0.003) < 1e-9
+
+
 def test_quotas_fill_what_limits_leave():
     got = {q[0]: q[3] for q in mixing.quotas([("a", 0.5, 1), ("b", 0.25, 9), ("c", 0.25, 9)], {"a": 100, "b": 900, "c": 900}, 1000)}
     assert got == {"a": 100.0, "b": 450.0, "c": 450.0}
