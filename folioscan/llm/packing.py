@@ -149,14 +149,15 @@ def pack(docs: DataFrame, capacity: int, *, key: str = "doc_id", size: str = "si
         if not n:
             break
         fits = gaps.where(F.col("gap") >= least) if gaps is not None else None
-        if fits is None or fits.isEmpty():
+        free = fits.count() if fits is not None else 0
+        if not free:
             more = -(-total // capacity)
             new = spark.range(opened, opened + more).select(F.col("id").alias("bin"), cap.alias("gap"))
             opened += more
             gaps = new if gaps is None else gaps.unionByName(new)
-            fits = new
+            fits, free = new, more
         parts = ranges or max(-(-n // RANGE), min(cores, -(-n // 2_000)))
-        most = max(1, -(-4 * n // opened))
+        most = max(1, -(-4 * n // free))  # slots of a gap: not many more than there are documents
         turn += 1
         result = materialise(sweep(waiting, fits, largest, most, parts), "round")
         mine = result.where("bin IS NOT NULL")
