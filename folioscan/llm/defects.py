@@ -1,7 +1,7 @@
 """Broken prompt and response pairs: empty, truncated, refusal, echo, wrong_language.
 
-Copies of the prompt are found by compressing the answer with its prompt as a zstandard dictionary: an
-echo costs next to nothing then. Refusals and languages are judged with dictionaries. Whether an answer
+Copies of the prompt are found by compressing the answer with its prompt as a zstandard dictionary, and the
+prompt with the answer: an echo costs next to nothing either way. Refusals and languages are judged with dictionaries. Whether an answer
 breaks off is judged by a model of terminal contexts: how often answers that ended normally end in the
 answer's last two kinds of characters, against how often these stand anywhere.
 """
@@ -10,13 +10,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,23 +61,43 @@ ASKS = {
     "es": re.compile(r"(?:in|into|using)\s+spanish|ភាសាអេស្ប៉ាញ", re.I),
     "vi": re.compile(r"(?:in|into|using)\s+vietnamese|ភាសាវៀតណាម", re.I),
 }
-FORMULA = re.compile(r"\$\$.*?(?:\$\$|\Z)|\$[^$\n]*(?:\$|\Z)|\\\[.*?(?:\\\]|\Z)|\\\(.*?(?:\\\)|\Z)|```.*?(?:```|\Z)|`[^`\n]*`", re.S)
-LABEL = re.compile(rf"\*{{0,2}}#*\s*{LABELS}\s*\*{{0,2}}\s*[:៖]\s*\*{{0,2}}", re.I)
+FORMULA = re.compile(r"(?=[$\\`])(?:\$\$.*?(?:\$\$|\Z)|\$[^$\n]*(?:\$|\Z)|\\\[.*?(?:\\\]|\Z)|\\\(.*?(?:\\\)|\Z)|```.*?(?:```|\Z)|`[^`\n]*`)", re.S)
+LABEL = re.compile(rf"{LABELS}\s*\*{{0,2}}\s*[:៖]\s*\*{{0,2}}", re.I)
+#: Words that labels and placeholders consist of: any other word is content.
+FRAME = frozenset(re.findall(r"[a-z]+|[ក-៓]+", LABELS.lower().replace(r"\s", " ").replace(r"\d", " ") + " " + " ".join(PLACEHOLDERS)))
+WORD = re.compile(rf"(?:[^\W\d_ក-៿]|[{INVISIBLE}])+|[ក-៓ៗ៝{INVISIBLE}]+")
+LABEL_BEFORE = re.compile(rf"{LABELS}\s*\*{{0,2}}\s*\Z", re.I)
+#: One of these stands in every declining phrase.
+DECLINE = ("can", "able", "allowed", "permitted", "going to", "decline", "refuse", "appropriate", "guidelines", "polic", "giving", "blocked", "denied", "មិនអាច", "បដិសេធ", "មិនត្រូវបានអនុញ្ញាត", "មិនអនុញ្ញាត", "ហាមឃាត់")
+RUNS = re.compile("|".join(f"(?P<{k}>{v.pattern}+)" for k, v in SCRIPTS.items()))
 ENDS = 64
+ECHO = 0.36  # bytes that an echo costs for each of its own at most; texts on one subject cost 0.4 and more
+FILLER = b"\x00zq|7#K~w\x01vX^5jY_d\x02Gb!9uM"
+
+
+UNSEEN = dict.fromkeys(map(ord, INVISIBLE))
 
 
 def prose(text: str) -> str:
     """The text without formulas, code, labels and tags."""
-    return LABEL.sub(" ", re.sub(r"</?[A-Za-z][^<>]*>", " ", FORMULA.sub(" ", text)))
+    text = FORMULA.sub(" ", text)
+    if "<" in text:
+        text = re.sub(r"</?[A-Za-z][^<>]*>", " ", text)
+    parts = re.split("[:៖]", text)  # a label stands right before a colon
+    return " ".join([LABEL_BEFORE.sub(" ", p) if LABEL_BEFORE.search(p, max(0, len(p) - 60)) else p for p in parts[:-1]] + parts[-1:])
 
 
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
-    text = answer.translate({ord(c): None for c in INVISIBLE})
-    text = re.sub(r"<!--.*?-->|</?[A-Za-z][^<>]*>|&(?:nbsp|#160|zwnj|zwj);", " ", text, flags=re.S)
-    text = re.sub(r"\\begin\{\w+\*?\}\s*\\end\{\w+\*?\}", " ", text)
-    text = re.sub(r"```\w*[ \t]*\n?\s*```", " ", text)
+    framed = "<" in answer or "&" in answer or "\\begin" in answer or "```" in answer
+    if not framed and any((w := m.group().translate(UNSEEN).lower()) and w not in FRAME for m in WORD.finditer(answer)):
+        return False
+    text = answer.translate(UNSEEN)
+    if framed:
+        text = re.sub(r"<!--.*?-->|</?[A-Za-z][^<>]*>|&(?:nbsp|#160|zwnj|zwj);", " ", text, flags=re.S)
+        text = re.sub(r"\\begin\{\w+\*?\}\s*\\end\{\w+\*?\}", " ", text)
+        text = re.sub(r"```\w*[ \t]*\n?\s*```", " ", text)
     text = LABEL.sub(" ", text)
     text = re.sub(rf"^\W*{LABELS}\W*$", " ", text, flags=re.I)
     bare = " ".join(re.sub(r"[^\w/]+", " ", text).split()).strip("/_ ").lower()
@@ -87,17 +106,22 @@ def is_empty(answer: str | None) -> bool:
 
 def is_refusal(answer: str) -> bool:
     """Declines, and what is left beside the declining sentences is no solution."""
+    low = answer.lower()
+    if not any(x in low for x in DECLINE):
+        return False
     text = answer.replace("’", "'")
     if not REFUSALS.search(text):
         return False
     rest = [s for s in re.split(r"(?<=[.!?។៕])\s*|\n+", text) if s.strip() and not REFUSALS.search(s) and not COURTESY.search(s)]
     left = sum(c.isalnum() for s in rest for c in s)
-    return left < 12 and not LABEL.search(text)
+    return left < 12 and not any(LABEL_BEFORE.search(p) for p in re.split("[:៖]", text)[:-1])
 
 
 def written_in(text: str) -> tuple[str | None, float]:
     """The main language of the prose and its share of the letters."""
-    letters = {k: len(rx.findall(text)) for k, rx in SCRIPTS.items()}
+    letters = dict.fromkeys(SCRIPTS, 0)
+    for m in RUNS.finditer(text):
+        letters[m.lastgroup] += m.end() - m.start()
     total = sum(letters.values())
     if total < 4:
         return None, 0.0
@@ -127,27 +151,23 @@ def squeeze(text: str) -> str:
     return " ".join(text.strip("*_\"'“”‘’«»`()>.…!?។៕ ").split())
 
 
-def dictionary_cost(answer: str, prompt: str) -> float:
-    """Compressed size of the answer with the prompt as dictionary, less that of nothing, by its own length in bytes."""
-    words = zstandard.ZstdCompressionDict(prompt.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    made = zstandard.ZstdCompressor(level=3, dict_data=words, write_content_size=False, write_dict_id=False)
-    data = answer.encode()
-    return (len(made.compress(data)) - len(made.compress(b""))) / max(len(data), 1)
+def dictionary_cost(text: str, words: str) -> float:
+    """Bytes that zstandard needs for each byte of the text with ``words`` as dictionary.
+
+    A common beginning of both, whose own cost is taken off, lets texts of a few bytes be matched too.
+    """
+    data = text.encode()
+    known = zstandard.ZstdCompressionDict(FILLER + words.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    made = zstandard.ZstdCompressor(level=3, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
+    return (len(made.compress(FILLER + data)) - len(made.compress(FILLER))) / max(len(data), 1)
 
 
 def is_echo(answer: str, prompt: str) -> bool:
-    """``answer`` and ``prompt`` in canonical form."""
+    """Whether the answer costs next to nothing when the prompt is known and holds most of the prompt; both in canonical form."""
     a, p = squeeze(answer), squeeze(prompt)
-    if not a or not p or len(a) > 1.35 * len(p) + 12:
-        return False
-    if len(a.encode()) >= 24 and dictionary_cost(a, p) > 0.5:
-        return False
-    if a == p:
-        return True
-    if len(a) < 0.6 * len(p) or len(a) < 4:
+    if not a or not p or len(a) > 1.35 * len(p) + 12 or len(a) < 0.6 * len(p):  # much longer or shorter is something else
         return False
-    same = sum(m.size for m in SequenceMatcher(None, a, p, autojunk=False).get_matching_blocks() if m.size >= min(4, len(p)))
-    return same >= 0.8 * len(a)
+    return dictionary_cost(a, p) <= ECHO and dictionary_cost(p, a) <= 2 * ECHO
 
 
 @lru_cache(maxsize=1)
@@ -206,30 +226,38 @@ def terminal_model(answers: DataFrame) -> np.ndarray:
 def open_ended(text: str) -> bool:
     """A formula, emphasis, quotation or list label that is begun and not closed."""
     t = text.rstrip()
-    if t.count("$$") % 2 or re.sub(r"\$\$.*?\$\$", "", t, flags=re.S).replace("\\$", "").count("$") % 2:
+    if "$" in t and (t.count("$$") % 2 or re.sub(r"\$\$.*?\$\$", "", t, flags=re.S).replace("\\$", "").count("$") % 2):
         return True
     if t.count("**") % 2 or t.count("```") % 2 or t.count("\\[") > t.count("\\]"):
         return True
-    plain = FORMULA.sub("", t)
-    if any(plain.rfind(a) > plain.rfind(b) for a, b in ("“”", "«»", "「」", "『』")):
-        return True
+    if any(c in t for c in "“«「『"):
+        plain = FORMULA.sub("", t)
+        if any(plain.rfind(a) > plain.rfind(b) for a, b in ("“”", "«»", "「」", "『』")):
+            return True
+    if not t.endswith((":", "៖", "*")):
+        return False
     m = None
     for m in LABEL.finditer(t):
         pass
     return bool(m and m.end() == len(t))
 
 
-def label_pairs(pairs: DataFrame) -> DataFrame:
+def is_limited(stop_reason: str = "stop_reason") -> Column:
+    return F.coalesce(F.lower(stop_reason).isin(*LENGTH_STOPS), F.lit(False))
+
+
+def label_pairs(pairs: DataFrame, answers: DataFrame | None = None) -> DataFrame:
     """Add ``defects`` (array of the types in DEFECTS, perhaps empty) to answer pairs.
 
     ``pairs``: response_id, answer, language, stop_reason, prompt. A null answer is empty; a null prompt
     counts as empty text; a null language is never wrong; a null stop reason says nothing. An echo is not
-    also truncated. Response ids are not checked for repeats.
+    also truncated. Response ids are not checked for repeats. The terminal contexts are counted in
+    ``answers`` (answer, stop_reason), by default those of the pairs.
     """
     spark = pairs.sparkSession
-    limited = F.coalesce(F.lower("stop_reason").isin(*LENGTH_STOPS), F.lit(False))
-    p = pairs.select("response_id", "answer", "language", limited.alias("limited"), F.coalesce("prompt", F.lit("")).alias("prompt"))
-    model = spark.sparkContext.broadcast(terminal_model(p.where(F.col("answer").isNotNull()).select("answer", "limited")))  # ENDS * ENDS numbers
+    p = pairs.select("response_id", "answer", "language", is_limited().alias("limited"), F.coalesce("prompt", F.lit("")).alias("prompt"))
+    ends = (pairs if answers is None else answers).where(F.col("answer").isNotNull()).select("answer", is_limited().alias("limited"))
+    model = spark.sparkContext.broadcast(terminal_model(ends))  # ENDS * ENDS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chance = model.value
@@ -261,15 +289,15 @@ def label_pairs(pairs: DataFrame) -> DataFrame:
     return p.mapInArrow(run, T.StructType([T.StructField("response_id", T.LongType()), T.StructField("defects", T.ArrayType(T.StringType()))]))
 
 
-def answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Responses with the prompts they answer, of requests with generate true."""
-    q = spark.read.parquet(f"{sf_dir}/query_requests.parquet").where("generate").select("request_id", "prompt").dropDuplicates(["request_id"])
-    r = spark.read.parquet(f"{sf_dir}/query_responses.parquet").select("response_id", "request_id", "answer", "language", "stop_reason").where(F.col("response_id").isNotNull()).dropDuplicates(["response_id"])
-    return r.join(q, "request_id")
-
-
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label_pairs(answer_pairs(spark, sf_dir))
+    """Responses with the prompts they answer, of requests with generate true, labelled.
+
+    Repeated rows are dropped behind the join, where they lie together already; the contexts are counted
+    where the responses are read, which takes no shuffle.
+    """
+    q = spark.read.parquet(f"{sf_dir}/query_requests.parquet").where("generate").select("request_id", "prompt")
+    r = spark.read.parquet(f"{sf_dir}/query_responses.parquet").select("response_id", "request_id", "answer", "language", "stop_reason").where(F.col("response_id").isNotNull())
+    return label_pairs(r.join(q, "request_id").dropDuplicates(["request_id", "response_id"]), r)
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

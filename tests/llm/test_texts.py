@@ -248,3 +248,19 @@ def test_headings(spark):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, data, name):
     assert queries.QUERIES[name](spark, data).count() >= 0
+
+
+def test_echo_costs_next_to_nothing():
+    p = "Find the derivative of f(x) = 3x^2 + 5x at x = 2."
+    for a in (p, p.upper(), f"You asked: {p}", p[:-12], "x = 2?"):
+        assert defects.is_echo(a, "x = 2" if len(a) < 9 else p)
+    for a in ("The derivative of f(x) is 6x + 5, so at x = 2 it is 17.", "17", "Find", p + " Its derivative is 6x + 5, and that gives the slope 17 at the place asked for."):
+        assert not defects.is_echo(a, p)
+    assert not defects.is_echo("", p) and not defects.is_echo(p, "")
+
+
+def test_frames_without_content():
+    for a in ("**ចម្លើយ៖**", "Answer:", "Solution: \u200b", "<p>&nbsp;</p>", "Step 1: Answer:", "…", "n/a"):
+        assert defects.is_empty(a)
+    for a in ("Answer: x", "4", "**ចម្លើយ៖** ៥", "none of these"):
+        assert not defects.is_empty(a)
