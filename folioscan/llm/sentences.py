@@ -2,7 +2,9 @@
 
 Every run of end marks outside formulas may end a sentence. A paragraph is divided into the spans of
 greatest total score: each span is scored as a whole by its length, its opening word, its closing
-word and mark with what follows, and whether its quotations and brackets are balanced or stand alone.
+word and mark with what follows, and whether its quotations and brackets are balanced, stand alone or
+belong to a sentence around them. No candidate is dropped before, and spans may be of any length: the
+search for a span's beginning ends where no earlier one can score higher.
 How likely words open or close sentences is counted over all texts at the edges of paragraphs.
 """
 
@@ -10,14 +12,17 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscan.llm.counting import most_frequent
+
 BLANK_LINE = re.compile(r"\n[^\S\n]*\n\s*")
 FORMULA = re.compile(r"\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)|\\begin\{(\w+\*?)\}.*?\\end\{\1\}|(?<!\\)\$[^$\n]*(?:\n[^$\n]+)?\$|⟦MATH_[0-9a-f]{32}⟧", re.S)
 CLOSERS = "\"'”’»)]」』】》〉）］}"
@@ -153,6 +158,31 @@ class Scorer:
         return score + (0.8 if marks == "." else 0.4) * self.closer(closing_word(text, at, base))
 
 
+def balanced(text: str, start: int, stop: int, hidden: list[tuple[int, int]]) -> list[tuple[int, int, bool]]:
+    """Quotations and brackets of text[start:stop] that open and close: (begin, end, whether it belongs to a sentence around it)."""
+    out: list[tuple[int, int, bool]] = []
+    opened: list[tuple[str, int]] = []
+    h = 0
+    for m in SIGNS.finditer(text, start, stop):
+        while h < len(hidden) and hidden[h][1] <= m.start():
+            h += 1
+        if h < len(hidden) and hidden[h][0] <= m.start():
+            continue
+        c = m.group()
+        opener = CLOSING.get(c, c)
+        if c in PAIRS or (c == '"' and all(x != c for x, _ in opened)):
+            opened.append((c, m.start()))
+        elif any(x == opener for x, _ in opened):
+            while opened[-1][0] != opener:
+                opened.pop()
+            p = opened.pop()[1]
+            before = text[start:p].rstrip() if p - start < 80 else text[p - 80 : p].rstrip()
+            after = text[m.end() : m.end() + 80].lstrip()
+            leads = bool(before) and before[-1] not in ".!?…។៕॥।。！？" + CLOSERS
+            out.append((p, m.end(), leads or bool(after) and (after[0].islower() or after[0] in ",;:、，；：")))
+    return out
+
+
 def split_paragraph(text: str, start: int, stop: int, hidden: list[tuple[int, int]], scorer: Scorer) -> list[tuple[int, int]]:
     """Sentence spans of text[start:stop], which holds no blank line."""
     cuts: list[int] = []
@@ -164,87 +194,56 @@ def split_paragraph(text: str, start: int, stop: int, hidden: list[tuple[int, in
             h += 1
         if h < len(hidden) and hidden[h][0] <= m.start():
             continue
-        if m.end() >= stop:
-            continue
-        s = scorer.closing(part, m, start)
-        if s > -7.0:
+        if m.end() < stop:
             cuts.append(m.end())
-            scores.append(s)
+            scores.append(scorer.closing(part, m, start))
     if not cuts:
         return [(start, stop)]
     points = [start, *cuts, stop]
-    # what is open at each point, and where the last closed quotation began
-    state: list[tuple[int, ...]] = []
-    began: list[int | None] = []
-    depth: Counter = Counter()
-    opened: list[tuple[str, int]] = []
-    closed: tuple[int, int] | None = None
-    k, h = 0, 0
-    kinds = [*PAIRS, '"']
-
-    def mark(upto: int) -> None:
-        nonlocal k
-        while k < len(points) and points[k] <= upto:
-            state.append(tuple(depth[x] for x in kinds))
-            began.append(closed[0] if closed and points[k] - closed[1] <= 1 else None)
-            k += 1
-
-    for m in SIGNS.finditer(text, start, stop):
-        while h < len(hidden) and hidden[h][1] <= m.start():
-            h += 1
-        if h < len(hidden) and hidden[h][0] <= m.start():
-            continue
-        mark(m.start())
-        c = m.group()
-        if c == '"':
-            if depth[c]:
-                depth[c] = 0
-                if opened and opened[-1][0] == c:
-                    closed = (opened.pop()[1], m.end())
-            else:
-                depth[c] = 1
-                opened.append((c, m.start()))
-        elif c in PAIRS:
-            depth[c] += 1
-            opened.append((c, m.start()))
-        else:
-            o = CLOSING[c]
-            if depth[o]:
-                depth[o] -= 1
-                while opened:
-                    x, p = opened.pop()
-                    if x == o:
-                        closed = (p, m.end())
-                        break
-    mark(stop)
     n = len(points)
+    # what is open at each point, where the last closed quotation began, and how many signs around it are part of a sentence
+    pairs = balanced(text, start, stop, hidden)
+    state: list[tuple[int, ...]] = [()] * n
+    began: list[int | None] = [None] * n
+    within = [0] * n
+    for p, q, embedded in pairs:
+        for k in range(bisect_right(points, p), bisect_left(points, q)):
+            state[k] += (p,)
+            within[k] += embedded
+        for k in range(bisect_left(points, q), min(n, bisect_right(points, q + 1))):
+            began[k] = p
+    first = [a + len(text[a:b]) - len(text[a:b].lstrip()) for a, b in zip(points, points[1:], strict=False)]
     best = [0.0] + [-1e9] * (n - 1)
+    top = best[:]  # the best of all up to here
     back = [0] * n
     for j in range(1, n):
-        for i in range(max(0, j - 40), j):
-            a, b = points[i], points[j]
-            while a < b and text[a].isspace():
-                a += 1
-            s = best[i]
-            if j < n - 1:
-                s += scores[j - 1]
-                if began[j] is not None:
-                    follow = b
-                    while follow < stop and text[follow].isspace():
-                        follow += 1
-                    if began[j] <= a:
-                        s += 2.0  # it stands alone
-                    elif CASELESS.match(text[follow]) and text[b - 1] not in ")）]":
-                        s -= 9.0  # the sentence around it goes on
+        b = points[j]
+        gain, alone, carried = 0.0, 0.0, 0.0
+        if j < n - 1:
+            gain = scores[j - 1] - 7.0 * within[j]
+            if began[j] is not None:
+                alone = 2.0
+                follow = b
+                while follow < stop and text[follow].isspace():
+                    follow += 1
+                if CASELESS.match(text[follow]) and text[b - 1] not in ")）]":
+                    carried = -9.0  # the sentence around it goes on
+        for i in range(j - 1, -1, -1):
+            a = first[i]
+            size = b - a
+            excess = (size - 400) / 400 if size > 400 else 0.0
+            if top[i] + gain + alone - excess < best[j]:
+                break
+            s = best[i] + gain - excess
+            if began[j] is not None:
+                s += alone if began[j] <= a else carried
             if state[i] != state[j]:
                 s -= 7.0
-            size = b - a
             if size < 4:
                 s -= 3.0 if not any(c.isalpha() for c in text[a:b]) else 1.5
-            elif size > 400:
-                s -= (size - 400) / 400
-            if s > best[j]:
+            if s >= best[j]:  # among equals the longest
                 best[j], back[j] = s, i
+        top[j] = max(top[j - 1], best[j])
     out = []
     j = n - 1
     while j > 0:
@@ -310,9 +309,9 @@ def opening_counts(texts: DataFrame, keys: int = KEYS) -> dict[tuple[str, str],
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["kind", "key", "n"])
 
     counts = texts.select("text").mapInArrow(run, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counts = counts.withColumn("both", F.sum("n").over(Window.partitionBy("key", F.col("kind").isin("l", "m")))).where(F.col("both") >= LEAST).drop("both")
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "key"))
-    kept = counts.withColumn("rank", rank).where(F.col("rank") <= keys).toArrow()
+    pair = F.when(F.col("kind").isin("l", "m"), F.lit("end")).otherwise(F.lit("start"))
+    known = counts.groupBy("key", pair.alias("pair")).agg(F.collect_list(F.struct("kind", "n")).alias("rows"), F.sum("n").alias("both")).where(F.col("both") >= LEAST)  # two rows a group
+    kept = most_frequent(known.select("key", F.explode("rows").alias("r")).select(F.col("r.kind").alias("kind"), "key", F.col("r.n").alias("n")), dict.fromkeys("silm", keys)).toArrow()
     return {(k, w): n for k, w, n in zip(*(kept.column(c).to_pylist() for c in ("kind", "key", "n")), strict=True)}
 
 

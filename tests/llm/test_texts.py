@@ -264,3 +264,20 @@ def test_frames_without_content():
         assert defects.is_empty(a)
     for a in ("Answer: x", "4", "**ចម្លើយ៖** ៥", "none of these"):
         assert not defects.is_empty(a)
+
+
+@pytest.mark.parametrize(
+    ("text", "units"),
+    [
+        ("The teacher said «A. B. C. D.» and left the room.", 1),
+        ("The teacher said «It is so. We know it. They agree. You do.» and left the room.", 1),
+        ('He wrote "First we add. Then we divide. Last we check." and went on.', 1),
+        ("The sum (We add. We carry. We check.) is right. It holds.", 2),
+        ("It is so. «We know it.» They agree.", 3),
+        ("He said: «no and went home. She stayed. They met.", 3),
+        ("Let x = 3.14 and y = 2.71. Then x > y.", 2),
+        ("One. " + "Two words here. " * 300 + "End.", 302),
+    ],
+)
+def test_quotations_within_sentences(text, units):
+    assert len(sentences.sentences(text, sentences.Scorer({}))) == units
