@@ -52,14 +52,16 @@ def sub_vault(text: Column, vault: Column) -> Column:
 
 
 def strip_delimiters(formula: Column) -> Column:
-    """The body of a formula; environments stay as they are."""
-    f = F.regexp_replace(formula, r"(?sU)^\s+|\s+$", "")
+    """What stands between the delimiters, blanks included; environments stay as they are.
+
+    A formula that opens with a bracket is cut at both ends even where the closing one is missing.
+    """
 
     def inner(n: int) -> Column:
-        return F.regexp_replace(F.substring(f, F.lit(n + 1), F.length(f) - 2 * n), r"(?sU)^\s+|\s+$", "")
+        return F.substring(formula, F.lit(n + 1), F.greatest(F.length(formula) - 2 * n, F.lit(0)))
 
-    two = (f.startswith("$$") & f.endswith("$$") & (F.length(f) >= 4)) | (f.startswith("\\[") & f.endswith("\\]")) | (f.startswith("\\(") & f.endswith("\\)"))
-    return F.when(two, inner(2)).when(f.startswith("$") & f.endswith("$") & (F.length(f) >= 2), inner(1)).otherwise(f)
+    brackets = formula.startswith("\\[") | formula.startswith("\\(")
+    return F.when((formula.startswith("$$") & formula.endswith("$$")) | brackets, inner(2)).when(formula.startswith("$") & formula.endswith("$"), inner(1)).otherwise(formula)
 
 
 def is_display_formula(formula: Column) -> Column:

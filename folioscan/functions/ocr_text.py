@@ -2,37 +2,30 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Runs of Khmer script, and what may stand at their edges.
-RUN = re.compile(r"[ក-៝០-៩៰-៹᧠-᧿‌‍]+")
-BASE = re.compile(r"[ក-ឳ០-៩]")
-LEADING = re.compile(r"^[឴-៓៝‌‍]+")
-MARKS = re.compile(r"[។-៚]+")
-COLON = re.compile(r"(?<=[ក-៓]):(?=[ក-ឳ])")
-
+# Letters and digits that a word is built on, signs that cannot begin one, sentence marks, joiners.
+_BASES, _MARKS, _STOPS, _JOINERS = "ក-ឳ០-៩", "឴-៓៝", "។-៚", "\u200c\u200d"
+_nfc = F.pandas_udf(lambda s: s.str.normalize("NFC"), T.StringType())
 
-def khmer_words(line: str) -> str:
-    """The Khmer words of a line and the sentence marks behind them, single-spaced."""
-    kept: list[str] = []
-    for run in RUN.findall(COLON.sub("ៈ", unicodedata.normalize("NFC", line))):
-        run = LEADING.sub("", run).rstrip("‌‍")
-        if BASE.search(run) or (kept and MARKS.fullmatch(run)):
-            kept.append(run)
-    return " ".join(kept)
 
+def khmer_words_only(text: Column) -> Column:
+    """The Khmer words of a line and the sentence marks behind them, single-spaced.
 
-def _khmer_words(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else khmer_words(t))
+    A colon between Khmer letters is a sign misread. Marks at the beginning of a word belong to a letter
+    that was lost; sentence marks before the first word are dropped. Only NFC leaves the JVM.
+    """
+    return F.element_at(F.transform(F.array(_nfc(text)), _words_of), 1)
 
 
-khmer_words_only = F.pandas_udf(_khmer_words, T.StringType())
+def _words_of(text: Column) -> Column:
+    line = F.regexp_replace(text, "(?<=[ក-៓]):(?=[ក-ឳ])", "ៈ")
+    words = F.regexp_extract_all(line, F.lit(f"[{_BASES}{_MARKS}{_STOPS}៰-៹᧠-᧿{_JOINERS}ៗ៛ៜ]+"), F.lit(0))
+    words = F.transform(words, lambda w: F.regexp_replace(w, f"^[{_MARKS}{_JOINERS}]+|[{_JOINERS}]+$", ""))
+    first = F.array_position(F.transform(words, lambda w: w.rlike(f"[{_BASES}]")), True)
+    return F.array_join(F.filter(words, lambda w, i: w.rlike(f"[{_BASES}]") | ((first > 0) & (i >= first) & w.rlike(f"^[{_STOPS}]+$"))), " ")
 
 
 def unwrap_khmer_text(text: Column) -> Column:

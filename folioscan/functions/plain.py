@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+from folioscan.functions import markdown
 from folioscan.functions import patterns as P
 
 _SPLIT = re.compile(f"({P.TOKEN})|({P.KHMER_RUN.pattern})")
@@ -75,37 +76,39 @@ def search_tokens(text: str) -> list[str]:
     out: list[str] = []
     text = normalise(text)
     at = 0
-    for m in [*P.FORMULA.finditer(text), None]:
-        for p in pieces(text[at : m.start() if m else len(text)]):
+    for start, end in [*markdown.formula_spans(text), (len(text), len(text))]:
+        for p in pieces(text[at:start]):
             if not has_khmer(p):
                 out += (w.lower() for w in P.SEARCH_WORD.findall(p))
             elif p.strip("។៕៖"):
                 out.append(p)
-        if m:
-            out += (w.lower() for w in P.SEARCH_WORD.findall(m.group()))
-            at = m.end()
+        out += (w.lower() for w in P.SEARCH_WORD.findall(text[start:end]))
+        at = end
     return out
 
 
 def clean_markdown(text: str) -> str:
-    """Text without Markdown syntax; formulas are set aside meanwhile."""
-    kept: list[str] = []
-
-    def aside(m: re.Match) -> str:
-        kept.append(m.group())
-        return f"⟦MATH_{len(kept) - 1:032x}⟧"
-
-    text = P.FORMULA.sub(aside, text)
-    for rx, group in P.MARKDOWN:
-        text = rx.sub((lambda m, g=group: m.group(g)) if group else "", text)
-    return P.TOKEN_RE.sub(lambda m: kept[int(m.group()[6:-1], 16)] if int(m.group()[6:-1], 16) < len(kept) else m.group(), text)
+    """Text without Markdown signs; formulas are set aside meanwhile."""
+    kept = [text[a:b] for a, b in markdown.formula_spans(text)]
+    masked = markdown.cut(text, ((a, b, f"⟦MATH_{i:032x}⟧") for i, (a, b) in enumerate(markdown.formula_spans(text)))) if kept else text
+    clean = markdown.clean(masked)
+    return P.TOKEN_RE.sub(lambda m: kept[int(m.group()[6:-1], 16)] if int(m.group()[6:-1], 16) < len(kept) else m.group(), clean) if kept else clean
 
 
 def heading_title(raw: str, most: int = 120) -> str:
-    title = P.HEADING_DECORATION.sub("", clean_markdown(raw)).strip()
+    title = _outer(clean_markdown(raw))
     return title if len(title) <= most else title[:most].rstrip() + "…"
 
 
+def _outer(title: str) -> str:
+    """The title without blanks and decoration around it."""
+    while title and (title[0].isspace() or title[0] in P.BEFORE_TITLE):
+        title = title[1:]
+    while title and (title[-1].isspace() or title[-1] in P.BEHIND_TITLE):
+        title = title[:-1]
+    return title
+
+
 Path = list[tuple[int, str]]
 
 
@@ -121,12 +124,12 @@ def _sections(text: str, path: Path) -> tuple[list[dict], Path]:
             out.append({"text": clean, "heading": P.HEADING_SEPARATOR.join(t for _, t in path), "starts_heading": starts})
 
     for line in text.split("\n"):
-        fenced ^= bool(P.FENCE.match(line))
-        m = None if fenced else P.ATX_HEADING.match(line)
-        title = heading_title(m.group(2)) if m else ""
+        fenced ^= markdown.opens_fence(line)
+        head = None if fenced else markdown.atx(line)
+        title = heading_title(head[1]) if head else ""
         if title:
             close()
-            level = len(m.group(1))
+            level = head[0]
             path = [*(x for x in path if x[0] < level), (level, title)]
             lines, starts = [line], True
         else:

@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from folioscan.functions import formulas, khmer, ocr_text, plain, vectors
-from folioscan.functions.patterns import FORMULA
+from folioscan.functions.markdown import formula_spans
 
 
 def one(spark, column, **values):
@@ -39,7 +39,7 @@ def test_mask_round_trip_and_stable_tokens(spark):
     rows = m.select("t", "m.*", formulas.unmask_latex(F.col("m.masked"), F.col("m.vault"), strict=True).alias("back"), formulas.extract_formulas(F.col("t")).alias("f")).collect()
     for r in rows:
         assert r["back"] == r["t"]
-        assert r["f"] == [x.group() for x in FORMULA.finditer(r["t"])]
+        assert r["f"] == [r["t"][a:b] for a, b in formula_spans(r["t"])]
     again = df.repartition(7).select("t", formulas.mask_latex(F.col("t"), F.col("i").cast("string")).alias("m")).select("m.masked").collect()
     assert sorted(r[0] for r in again) == sorted(r["masked"] for r in rows)
     same = next(r for r in rows if r["t"] == "$x$ and $x$")
@@ -59,7 +59,7 @@ def test_braces(spark, text, ok):
     assert one(spark, formulas.has_balanced_braces(F.col("t")), t=text) is ok
 
 
-@pytest.mark.parametrize(("f", "body", "display"), [("$$ a $$", "a", True), ("$b$", "b", False), ("\\[c\\]", "c", True), ("\\(d\\)", "d", False), ("\\begin{align}e\\end{align}", "\\begin{align}e\\end{align}", True)])
+@pytest.mark.parametrize(("f", "body", "display"), [("$$ a $$", " a ", True), ("\\[ b", "", True), ("\\( bcd", " b", False), ("$", "", False), ("$b$", "b", False), ("\\[c\\]", "c", True), ("\\(d\\)", "d", False), ("\\begin{align}e\\end{align}", "\\begin{align}e\\end{align}", True)])
 def test_delimiters(spark, f, body, display):
     assert one(spark, formulas.strip_delimiters(F.col("t")), t=f) == body
     assert one(spark, formulas.is_display_formula(F.col("t")), t=f) is display
@@ -107,8 +107,8 @@ def test_garbled(spark):
 
 
 @pytest.mark.parametrize(("line", "words"), [("គណនា lim x→0 នៃ sin(3x)/x ។", "គណនា នៃ ។"), ("Exercise 1: (a) 2x + 3 = 0", ""), ("។ x = 1", ""), ("xាក្យ", "ក្យ"), ("រយ:ពេល ១៥០ នាទី", "រយៈពេល ១៥០ នាទី")])
-def test_khmer_words(line, words):
-    assert ocr_text.khmer_words(line) == words
+def test_khmer_words(spark, line, words):
+    assert one(spark, ocr_text.khmer_words_only(F.col("t")), t=line) == words
 
 
 def test_small_text_columns(spark):
