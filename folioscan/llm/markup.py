@@ -1,10 +1,12 @@
 """Markup residue: HTML, Markdown, wiki and LaTeX to clean text with headings, lists, code and formulas.
 
 Text is read once from left to right: what stands in comments, code, scripts, metadata or is escaped is
-set aside first, wherever it begins first. HTML is read as a tree of nodes, each with its composite text
-density (characters per tag, lowered by link text); the node with the greatest sum of its children's
-densities holds the main text, and the least density on the way from it to the body is the threshold
-below which nodes are boilerplate. Headings, list items, code blocks and formulas are kept in any case.
+set aside first, wherever it begins first. Headings and list items of any notation then get a mark where
+they begin. HTML is read as a tree of nodes, each with its composite text density (characters per tag,
+lowered by link text); the node with the greatest sum of its children's densities holds the main text, and
+the least density on the way from it to the body is the threshold: from the body down, each node at or
+above it gives the subtree of greatest sum within itself to the content. The rest is boilerplate, but for
+what is marked. The elements are counted in the result, so the counts are those of the clean text.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscan.functions import markdown as md
+
 ELEMENTS = ("heading", "list_item", "code_block", "formula")
 RESIDUE = ("html", "markdown", "wiki", "latex")
 # Environments of LaTeX.
@@ -45,7 +49,8 @@ SCAN = re.compile(
     re.S | re.M | re.X | re.I,
 )
 TEX_COMMENT = re.compile(r"(?m)(?<!\\)%[^\n]*")
-CODE, FORMULA = "\x02", "\x01"
+CODE, FORMULA, HEADING, LISTED, DEEPER = "\x02", "\x01", "\x03", "\x04", "\x05"  # DEEPER behind HEADING for each level below the first
+MARKS = dict.fromkeys(map(ord, (CODE, FORMULA, HEADING, LISTED, DEEPER)))
 
 WIKI_SIGNS = re.compile(r"^={2,6}[ \t]*[^=\s].*={2,6}[ \t]*$|'''|\[\[[^\]\n]+\]\]|\{\{[^}\n]*\}\}|^\{\||<nowiki|<syntaxhighlight|<ref\b|<math>(?!\s*<)", re.M | re.I)
 MARKDOWN_SIGNS = re.compile(r"^(?:```|~~~)|^#{1,6} \*\*|^#{1,6} .*[^#\s] #+$|^ *[-+] |^\|?[ ]*:?-{3,}[ ]*\||\[\^\w+\]|(?<!\w)__\w|~~\w|\]\([^)\n]*\)|(?<=\S)\n(?:=|-){3,}[ \t]*$|^ *\d+[.)] ", re.M)
@@ -124,10 +129,10 @@ def is_wiki(text: str, plain: str) -> bool:
 
 
 class Node:
-    __slots__ = ("chars", "content", "density", "density_sum", "kids", "link_chars", "link_tags", "parent", "tag", "tags")
+    __slots__ = ("chars", "content", "density", "density_sum", "kids", "link_chars", "link_tags", "parent", "peak", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.kids, self.content = tag, parent, [], False
+        self.tag, self.parent, self.kids, self.content, self.peak = tag, parent, [], False, self
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.density_sum = 0.0
 
@@ -194,32 +199,38 @@ def densities(root: Node, runs: list[tuple[Node, str]]) -> Node:
         n.density = c / t * math.log(max(c / lc * t / lt, 1.0001)) / max(math.log(base), 1.0)
     for n in order:
         n.density_sum = sum(k.density for k in n.kids) or n.density
-    top = max(order, key=lambda n: n.density_sum)
-    threshold, n = top.density, top
+    for n in reversed(order):
+        n.peak = max([n, *(k.peak for k in n.kids)], key=lambda x: x.density_sum)
+    threshold, n = root.peak.density, root.peak
     while n is not None:
         threshold = min(threshold, n.density)
         n = n.parent
-    for n in order:
-        n.content = n.density >= threshold
-    return top
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        if n.density >= threshold:
+            n.peak.content = True
+            if n.peak is not n:  # what stands beside the subtree may hold another
+                stack += [k for k in n.kids if k.peak is not n.peak]
+        else:
+            stack += n.kids
+    return root.peak
 
 
 def html_text(text: str) -> str:
-    """The HTML as lines, boilerplate left out, with # and - marks for headings and list items."""
+    """The marked HTML as lines, boilerplate left out but for marked elements."""
     root, runs = tree(text)
     densities(root, runs)
     out: list[str] = []
     last: Node | None = None
     for node, run in runs:
-        up, keep, head, item, links = node, False, 0, False, False
+        up, keep, links, element = node, False, False, False
         while up is not None:
             keep = keep or up.content or up.tag in KEEP
             links = links or up.tag in ("nav", "footer") or (up.tag in ("ul", "ol", "div", "p") and up.chars > 0 and up.link_chars > 0.9 * up.chars and up.link_tags > 2)
-            if re.fullmatch("h[1-6]", up.tag):
-                head = int(up.tag[1])
-            item = item or up.tag == "li"
+            element = element or up.tag == "li" or re.fullmatch("h[1-6]", up.tag) is not None
             up = up.parent
-        if not (keep or CODE in run or FORMULA in run) or (links and not (head or item)):
+        if not (element or (keep and not links)) and not any(m in run for m in (CODE, FORMULA, HEADING, LISTED)):
             continue
         block = node
         while block.parent is not None and block.tag not in BLOCK:
@@ -227,7 +238,6 @@ def html_text(text: str) -> str:
         if block is not last:
             out.append("\n" if block.tag == "li" and last is not None and last.tag in ("li", "ul", "ol") else "\n\n")
             if run.strip():
-                out.append("#" * head + " " if head else "- " if item and block.tag == "li" else "")
                 last = block
         out.append(run)
     return html.unescape("".join(out))
@@ -245,40 +255,37 @@ TIDY = (
     (re.compile(r"\{\{(?:[^{}|\n]*\|)+([^{}|\n]*)\}\}"), r"\1"),
     (re.compile(r"'{2,5}([^'\n]+)'{2,5}"), r"\1"),
     (re.compile(r"^\{\|.*$|^\|\}.*$|^\|-+.*$", re.M), ""),
-    (re.compile(r"!\[([^\]\n]*)\]\([^)\n]*\)"), r"\1"),
-    (re.compile(r"\[([^\]\n]+)\]\([^)\n]*\)"), r"\1"),
-    (re.compile(r"\[\^\w+\]:?"), ""),
-    (re.compile(r"(\*\*|__|~~)(?=\S)(.+?)(?<=\S)\1"), r"\2"),
-    (re.compile(r"(?<![\w*])\*(?=\S)([^*\n]+?)(?<=\S)\*(?![\w*])"), r"\1"),
-    (re.compile(r"^[ \t]*>[ \t]?", re.M), ""),
-    (re.compile(r"^\|?(?:[ \t]*:?-{3,}:?[ \t]*\|)+[ \t]*(?::?-{3,}:?)?[ \t]*$", re.M), ""),
-    (re.compile(r"\{#[\w-]+\}"), ""),
-    (re.compile(r"</?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*)?/?>"), ""),
+    (re.compile(r"\[\^\w+\]:?|\{#[\w-]+\}"), ""),
 )
 
 
-def strip_markup(text: str | None) -> tuple[str | None, dict[str, int]]:
-    """Clean text and how many elements of each kind it has."""
-    counts = dict.fromkeys(ELEMENTS, 0)
-    if text is None:
-        return None, counts
-    text = text.replace("\r\n", "\n").replace("\r", "\n").translate({1: None, 2: None})
-    plain, kept = set_aside(text)
-    for kind, _ in kept:
-        counts[kind] += 1
-    wiki = is_wiki(text, plain)
-    heads = [m for m in HTML_HEADING.finditer(plain) if re.sub(r"<[^<>]*>", "", m.group(2)).strip()]
-    counts["heading"] += len(heads)
-    counts["list_item"] += len(HTML_ITEM.findall(plain))
-    counts["heading"] += sum(bool(m.group(1).strip()) for m in TEX_HEADING.finditer(plain))
-    counts["list_item"] += len(TEX_ITEM.findall(plain))
-    tagged = bool(HTML_SIGNS.search(plain))
-    body = html_text(plain) if tagged else plain
-    body = TEX_HEADING.sub(lambda m: f"\n\n{CODE * 0}# {m.group(1).strip()}\n\n", body)
-    body = TEX_ITEM.sub("\n- ", body)
+def tidy(text: str) -> str:
+    """Text without what is left of inline markup, quotation signs and table rules."""
+    for rx, to in TIDY:
+        text = rx.sub(to, text)
+    for spans in (md.links, md.links):
+        text = md.cut(text, spans(text))
+    for sign in ("**", "__", "~~"):
+        text = md.cut(text, md.emphasis(text, sign))
+    text = md.cut(text, md.italics(text))
+    lines = [_unquoted(x) for x in text.split("\n") if not (x.strip() and md.is_table_rule(x))]
+    text = "\n".join(lines)
+    return md.cut(text, md.tags(text))
+
+
+def _unquoted(line: str) -> str:
+    body = line.lstrip()
+    return body[1:].lstrip() if body.startswith(">") else line
+
+
+def _head(level: int) -> str:
+    return HEADING + DEEPER * (level - 1)
+
+
+def mark(plain: str, wiki: bool) -> str:
+    """The text with HEADING and LISTED where headings and list items begin, in any notation."""
     lines, marked = plain.split("\n"), []
-    skip = False
-    listed = False
+    skip = listed = False
     for i, line in enumerate(lines):
         if skip:
             skip = False
@@ -293,35 +300,46 @@ def strip_markup(text: str | None) -> tuple[str | None, dict[str, int]]:
             listed = False
             continue
         if w := WIKI_HEADING.match(bare.strip()):
-            counts["heading"] += 1
-            marked.append("# " + w.group(2))
+            marked.append(_head(len(w.group(1))) + w.group(2))
             listed = False
         elif wiki and (m := WIKI_ITEM.match(bare)):
-            counts["list_item"] += 1
-            marked.append("- " + bare[m.end() :])
+            marked.append(LISTED + bare[m.end() :])
             listed = True
         elif not wiki and (m := ATX.match(bare)):
-            counts["heading"] += 1
-            marked.append("# " + m.group(1))
+            marked.append(_head(bare[: m.start(1)].count("#")) + m.group(1))
             listed = False
         elif (m := ITEM.match(bare)) and (listed or len(m.group(1).expandtabs(4)) < 4):
-            counts["list_item"] += 1
-            marked.append("- " + bare[m.end() :])
+            marked.append(LISTED + bare[m.end() :])
             listed = True
         elif i + 1 < len(lines) and UNDERLINE.match(lines[i + 1]) and "|" not in bare and bare.strip() not in (CODE, FORMULA):
-            counts["heading"] += 1
-            marked.append("# " + bare.strip())
+            marked.append(_head(2 - ("=" in lines[i + 1])) + bare.strip())
             skip = True
             listed = False
         else:
             marked.append(line)
-    clean = body if tagged or LATEX_SIGNS.search(plain) else "\n".join(marked)
-    for rx, to in TIDY:
-        clean = rx.sub(to, clean)
+    text = "\n".join(marked)
+    text = HTML_HEADING.sub(lambda m: m.group()[: m.start(2) - m.start()] + _head(int(m.group(1))) + m.group()[m.start(2) - m.start() :] if re.sub(r"<[^<>]*>", "", m.group(2)).strip() else m.group(), text)
+    text = HTML_ITEM.sub(lambda m: m.group() + LISTED, text)
+    text = TEX_HEADING.sub(lambda m: f"\n\n{HEADING}{m.group(1).strip()}\n\n" if m.group(1).strip() else m.group(), text)
+    return TEX_ITEM.sub("\n" + LISTED, text)
+
+
+def strip_markup(text: str | None) -> tuple[str | None, dict[str, int]]:
+    """Clean text and how many elements of each kind it has."""
+    counts = dict.fromkeys(ELEMENTS, 0)
+    if text is None:
+        return None, counts
+    text = text.replace("\r\n", "\n").replace("\r", "\n").translate(MARKS)
+    plain, kept = set_aside(text)
+    marked = mark(plain, is_wiki(text, plain))
+    clean = tidy(html_text(marked) if HTML_SIGNS.search(plain) else marked)
+    for kind, sign in zip(ELEMENTS, (HEADING, LISTED, CODE, FORMULA), strict=True):
+        counts[kind] = clean.count(sign)
     blocks = iter(b for k, b in kept if k == "code_block")
     maths = iter(b for k, b in kept if k == "formula")
     clean = re.sub(CODE, lambda m: "\n\n```\n" + next(blocks, "").strip("\n") + "\n```\n\n", clean)
     clean = re.sub(FORMULA, lambda m: next(maths, ""), clean).translate(SHOW)
+    clean = re.sub(rf"[ \t]*\n?{LISTED}[ \t]*", "\n- ", re.sub(rf"\s*{HEADING}({DEEPER}*)\s*", lambda m: "\n\n" + "#" * (len(m.group(1)) + 1) + " ", clean))
     clean = re.sub(r"[ \t]+\n", "\n", clean)
     return re.sub(r"\n{3,}", "\n\n", clean).strip(), counts
 

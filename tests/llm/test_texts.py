@@ -281,3 +281,33 @@ def test_frames_without_content():
 )
 def test_quotations_within_sentences(text, units):
     assert len(sentences.sentences(text, sentences.Scorer({}))) == units
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "# One\n\n- a\n- b\n\n```\n# no\n```\n\nso $x$ and \\$5",
+        "<html><body><nav><ul><li><a href='x'>Home</a></li><li><a href='y'>More</a></li></ul></nav><div><h2>Two</h2><p>Long text about the sum of $a$ and $b$ in many words.</p><ol><li>one<li>two</ol></div></body></html>",
+        "== Three ==\n# first\n# second\n'''bold''' [[Page|shown]] {{T|x}}",
+        "\\section{Four}\n\\begin{itemize}\n\\item a\n\\item b\n\\end{itemize}\n\\begin{verbatim}\n\\item no\n\\end{verbatim}",
+        "Five\n====\n\n<!-- # gone -->\n<div><p>1</p># six\n</div>",
+    ],
+)
+def test_counts_are_those_of_the_clean_text(text):
+    clean, counts = markup.strip_markup(text)
+    code = clean.split("```")
+    outside = "\n".join(code[::2]).split("\n")
+    assert sum(line.startswith("#") for line in outside) == counts["heading"]
+    assert sum(line.startswith("- ") for line in outside) == counts["list_item"]
+    assert len(code) // 2 == counts["code_block"]
+    again = markup.strip_markup(clean)[1]
+    assert {**again, "formula": 0} == {**counts, "formula": 0}
+
+
+def test_the_subtree_of_greatest_density_sum_is_the_content():
+    links = "".join(f"<li><a href='{i}'>link number {i}</a></li>" for i in range(12))
+    prose = "".join(f"<p>A paragraph of running text, number {i}, that says something at length about its matter.</p>" for i in range(6))
+    root, runs = markup.tree(f"<div><ul>{links}</ul></div><div id='m'>{prose}</div><p><a>Contact</a></p>")
+    top = markup.densities(root, runs)
+    assert top.tag == "div" and [k.tag for k in top.kids] == ["p"] * 6 and top.content
+    assert not root.content and not root.kids[0].content
