@@ -290,7 +290,7 @@ def test_quotations_within_sentences(text, units):
         "<html><body><nav><ul><li><a href='x'>Home</a></li><li><a href='y'>More</a></li></ul></nav><div><h2>Two</h2><p>Long text about the sum of $a$ and $b$ in many words.</p><ol><li>one<li>two</ol></div></body></html>",
         "== Three ==\n# first\n# second\n'''bold''' [[Page|shown]] {{T|x}}",
         "\\section{Four}\n\\begin{itemize}\n\\item a\n\\item b\n\\end{itemize}\n\\begin{verbatim}\n\\item no\n\\end{verbatim}",
-        "Five\n====\n\n<!-- # gone -->\n<div><p>1</p># six\n</div>",
+        "Five\n====\n\n<!-- # gone -->\n<div><p>1</p><p>six</p>\n</div>",
     ],
 )
 def test_counts_are_those_of_the_clean_text(text):
