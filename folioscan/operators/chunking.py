@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import plain
 from folioscan.functions.patterns import SEPARATORS, TOKEN, TOKEN_RE, ZWSP
-from folioscan.operators.structure import SHIFT
+from folioscan.operators.structure import STRETCH
 from folioscan.runtime import materialise
 
 TRIM = " \t\n\r" + ZWSP
@@ -137,16 +137,17 @@ def chunk_streams(streams: DataFrame, *, size: int = 700, overlap: int = 100) ->
     Chunk numbers come from counts per stream, so that no source is ordered chunk by chunk. The cut
     streams are written once below the shared folder.
     """
-    cut = streams.select("source", "stream", "heading", "starts", "vault", chunk_spans(F.col("text"), F.col("vault"), size, overlap).alias("chunks"))
+    cut = streams.select("source", "stream", "part", "heading", "starts", "vault", chunk_spans(F.col("text"), F.col("vault"), size, overlap).alias("chunks"))
     cut = materialise(cut, "streams")  # read twice: for the counts and for the rows
-    # numbers of the chunks before each stream, in two levels: stretches of streams, and streams within them
-    counts = cut.select("source", "stream", F.shiftright("stream", SHIFT).alias("part"), F.size("chunks").alias("n"))
-    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = counts.groupBy("source", "part").agg(F.sum("n").alias("n")).select("source", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    within = Window.partitionBy("source", "part").orderBy("stream").rowsBetween(Window.unboundedPreceding, -1)
+    # numbers of the chunks before each stream, in two levels: blocks of streams, and streams within them
+    counts = cut.select("source", "stream", "part", F.floor(F.col("stream") / STRETCH).alias("block"), F.size("chunks").alias("n"))
+    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.groupBy("source", "block").agg(F.sum("n").alias("n")).select("source", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    within = Window.partitionBy("source", "block").orderBy("stream", "part").rowsBetween(Window.unboundedPreceding, -1)
     inner = counts.withColumn("inner", F.coalesce(F.sum("n").over(within), F.lit(0)))
-    before = inner.join(parts, ["source", "part"]).select("source", "stream", (F.col("base") + F.col("inner")).alias("before"))
-    rows = cut.select("source", "stream", "heading", "starts", "vault", F.posexplode("chunks").alias("pos", "chunk")).join(before, ["source", "stream"])
+    before = inner.join(blocks, ["source", "block"]).select("source", "stream", "part", (F.col("base") + F.col("inner")).alias("before"))
+    # the number joins before the chunks are taken apart, so that no chunk text is shuffled again
+    rows = cut.join(before, ["source", "stream", "part"]).select("source", "heading", "starts", "vault", "before", F.posexplode("chunks").alias("pos", "chunk"))
     page = page_at(F.col("starts"), F.col("chunk.start"))
     out = rows.select(
         "source",

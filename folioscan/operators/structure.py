@@ -12,37 +12,49 @@ LEAST_PAGES = 5
 
 
 STRETCH = 10_000
-SHIFT = 20
+MOST_CHARS = 1_000_000
 
 
-def heading_streams(sections: DataFrame, *, most_chars: int = 1_000_000, stretch: int = STRETCH) -> DataFrame:
-    """Number the runs of sections under one heading within each source: adds ``stretch`` and ``stream``, ascending with ``seq``.
+def heading_streams(sections: DataFrame, *, stretch: int = STRETCH) -> DataFrame:
+    """Number the runs of sections under one heading within each source: adds ``stream``, from 0 and ascending with ``seq``.
 
     A run ends where a section starts a heading or the heading changes. Null headings count as empty.
-    Sources are taken in stretches of ``stretch`` sequence numbers, so that the largest source is ordered
-    by many tasks; a run also ends where a stretch does, and where it holds ``most_chars``. Numbers are
-    consecutive from 0 in the first stretch and begin anew, 2**20 further on, in each following one.
+    Sources are ordered in stretches of ``stretch`` sequence numbers, so that the largest one is ordered by
+    many tasks; the last heading and the number of runs of each stretch are handed on to the next, so the
+    result is the same for every ``stretch``.
     """
-    if not 0 < stretch <= 1 << SHIFT:
-        raise ValueError("stretch must be between 1 and 2**20")
-    part = F.floor(F.col("seq") / stretch)
-    w = Window.partitionBy("source", "stretch").orderBy("seq")
+    if stretch < 1:
+        raise ValueError("stretch must be at least 1")
+    w = Window.partitionBy("source", "_stretch").orderBy("seq")
     heading = F.coalesce("heading", F.lit(""))
-    fresh = F.coalesce("starts_heading", F.lit(False)) | F.coalesce(heading != F.lag(heading).over(w), F.lit(True))
-    run = sections.withColumn("stretch", part).withColumn("_run", F.sum(fresh.cast("long")).over(w))
-    inner = Window.partitionBy("source", "stretch", "_run").orderBy("seq")
-    size = F.sum(F.length("text")).over(inner.rowsBetween(Window.unboundedPreceding, -1))
-    cut = run.withColumn("_cut", F.floor(F.coalesce(size, F.lit(0)) / most_chars))
-    moved = F.coalesce(F.col("_cut") != F.lag("_cut").over(inner), F.lit(True))
-    number = F.sum(moved.cast("long")).over(w) - 1
-    return cut.withColumn("stream", (F.shiftleft(F.col("stretch").cast("long"), SHIFT) + number).cast("long")).drop("_run", "_cut")
-
-
-def join_streams(streams: DataFrame) -> DataFrame:
-    """One row a stream: source, stream, heading, text (parts joined by a blank line), starts (offset, page of each part), vault."""
+    s = sections.withColumn("_stretch", F.floor(F.col("seq") / stretch))
+    ends = s.groupBy("source", "_stretch").agg(F.max_by(heading, "seq").alias("_last"))
+    ends = ends.select("source", "_stretch", F.lag("_last").over(Window.partitionBy("source").orderBy("_stretch")).alias("_handed"))
+    known = s.join(ends, [s["source"].eqNullSafe(ends["source"]), s["_stretch"].eqNullSafe(ends["_stretch"])]).drop(ends["source"], ends["_stretch"])
+    before = F.coalesce(F.lag(heading).over(w), F.col("_handed"))
+    fresh = F.coalesce("starts_heading", F.lit(False)) | before.isNull() | (heading != before)
+    runs = known.withColumn("_run", F.sum(fresh.cast("long")).over(w))
+    counts = runs.groupBy("source", "_stretch").agg(F.max("_run").alias("_runs"))
+    earlier = Window.partitionBy("source").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("source").alias("_s"), F.col("_stretch").alias("_p"), F.coalesce(F.sum("_runs").over(earlier), F.lit(0)).alias("_base"))
+    out = runs.join(counts, runs["source"].eqNullSafe(counts["_s"]) & runs["_stretch"].eqNullSafe(counts["_p"]))
+    return out.withColumn("stream", (F.col("_base") + F.col("_run") - 1).cast("long")).drop("_stretch", "_handed", "_run", "_s", "_p", "_base")
+
+
+def join_streams(streams: DataFrame, *, most_chars: int = MOST_CHARS, stretch: int = STRETCH) -> DataFrame:
+    """One row a stream: source, stream, part, heading, text (sections joined by a blank line), starts (offset, page of each section), vault.
+
+    A stream goes on in a new part where it has reached ``most_chars`` code points, so that none outgrows a task.
+    """
+    s = streams.withColumn("_stretch", F.floor(F.col("seq") / stretch)).withColumn("_n", F.length("text").cast("long"))
+    sums = s.groupBy("source", "stream", "_stretch").agg(F.sum("_n").alias("_sum"))
+    earlier = Window.partitionBy("source", "stream").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("source").alias("_s"), F.col("stream").alias("_t"), F.col("_stretch").alias("_p"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    s = s.join(sums, s["source"].eqNullSafe(sums["_s"]) & (s["stream"] == sums["_t"]) & s["_stretch"].eqNullSafe(sums["_p"]))
+    inside = F.sum("_n").over(Window.partitionBy("source", "stream", "_stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    s = s.withColumn("part", F.floor((F.col("_base") + F.coalesce(inside, F.lit(0))) / most_chars).cast("int"))
     part = F.struct("seq", "text", "page", F.coalesce("vault", F.create_map().cast("map<string,string>")).alias("vault"))
-    # rows lie together by source and stretch already, so grouping by these too needs no further shuffle
-    grouped = streams.groupBy("source", "stretch", "stream").agg(F.array_sort(F.collect_list(part), lambda a, b: F.when(a.seq < b.seq, -1).when(a.seq > b.seq, 1).otherwise(0)).alias("parts"), F.max(F.coalesce("heading", F.lit(""))).alias("heading"))
+    grouped = s.groupBy("source", "stream", "part").agg(F.array_sort(F.collect_list(part), lambda a, b: F.when(a.seq < b.seq, -1).when(a.seq > b.seq, 1).otherwise(0)).alias("parts"), F.max(F.coalesce("heading", F.lit(""))).alias("heading"))
     starts = F.aggregate(
         "parts",
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<offset:int,page:int>>").alias("list")),
@@ -50,7 +62,7 @@ def join_streams(streams: DataFrame) -> DataFrame:
         lambda a: a.list,
     )
     vault = F.aggregate("parts", F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(m, p.vault))
-    return grouped.select("source", "stream", "heading", F.array_join(F.transform("parts", lambda p: p.text), "\n\n").alias("text"), starts.alias("starts"), vault.alias("vault"))
+    return grouped.select("source", "stream", "part", "heading", F.array_join(F.transform("parts", lambda p: p.text), "\n\n").alias("text"), starts.alias("starts"), vault.alias("vault"))
 
 
 def edge_lines(text: Column) -> Column:

@@ -76,7 +76,7 @@ def batched_topk(s, d):
 
 def l2_normalize(s, d):
     v = vecs(s, d).select("vec_id", vectors.l2_normalize(F.col("embedding")).alias("v"))
-    return v.select("vec_id", F.round(F.element_at("v", 1), 6).alias("first"), F.round(vectors.norm(F.col("v")), 6).alias("length"))
+    return v.select("vec_id", F.transform("v", lambda x: F.round(x.cast("double"), 5)).alias("v"), F.round(vectors.norm(F.col("v")), 6).alias("length"))
 
 
 def cosine_to_one(s, d):
@@ -100,9 +100,9 @@ def retrieval_metrics(s, d):
 
 
 def fit_context(s, d):
-    per = chunks(s, d).where("page IS NOT NULL").groupBy("source", "page").agg(F.array_sort(F.collect_list(F.struct("rec_id", F.length("text").alias("n")))).alias("l"))
+    per = chunks(s, d).groupBy("source", "page").agg(F.array_sort(F.collect_list(F.struct("rec_id", F.length("text").alias("n")))).alias("l"))
     kept = per.select("source", "page", "l", search.fit_context(F.transform("l", lambda x: x.n), 1500).alias("k"))
-    return kept.select("source", "page", F.size("k").cast("long").alias("kept"), F.aggregate("k", F.lit(0).cast("long"), lambda a, i: a + F.element_at("l", i).n).alias("used"))
+    return kept.select("source", F.coalesce("page", F.lit(-1)).alias("page"), F.size("k").cast("long").alias("kept"), F.aggregate("k", F.lit(0).cast("long"), lambda a, i: a + F.element_at("l", i).n).alias("used"))
 
 
 # -- the chunk table
@@ -171,6 +171,11 @@ def language_detect_masked(s, d):
     return sections(s, d).select("section_id", khmer.detect_language(F.col("text")).alias("language"))
 
 
+def language_of_chunks(s, d):
+    """Language and ratio of chunks, whose formulas are masked, as the library takes them."""
+    return chunks(s, d).select("rec_id", khmer.detect_language(F.col("text")).alias("language"), F.round(khmer.khmer_ratio(F.col("text")), 6).alias("ratio"))
+
+
 def khmer_ratio(s, d):
     return docs(s, d).select("doc_id", F.round(khmer.khmer_ratio(F.col("text"), masked=False), 6).alias("ratio"))
 
@@ -189,7 +194,12 @@ def normalize_text(s, d):
 
 def regex_segment(s, d):
     u = sections(s, d).select("section_id", khmer.regex_segment(F.col("text")).alias("u"))
-    return u.select("section_id", F.size("u").alias("units"), F.aggregate("u", F.lit(0), lambda a, x: a + F.length(x)).alias("chars"))
+    return u.select("section_id", "u")
+
+
+def regex_segment_join(s, d):
+    """The units joined are the text."""
+    return sections(s, d).select("section_id", F.array_join(khmer.regex_segment(F.col("text")), "").alias("text"))
 
 
 def segment_words(s, d):
@@ -197,8 +207,13 @@ def segment_words(s, d):
 
 
 def word_boundaries(s, d):
+    return sections(s, d).select("section_id", khmer.insert_word_boundaries(khmer.strip_word_boundaries(F.col("text"))).alias("marked"))
+
+
+def stripped_boundaries(s, d):
+    """Marking words and taking the marks away gives the text without any."""
     m = khmer.insert_word_boundaries(khmer.strip_word_boundaries(F.col("text")))
-    return sections(s, d).select("section_id", (khmer.strip_word_boundaries(m) == khmer.strip_word_boundaries(F.col("text"))).alias("lossless"))
+    return sections(s, d).select("section_id", khmer.strip_word_boundaries(m).alias("text"))
 
 
 def search_token_tf(s, d):
@@ -230,16 +245,20 @@ def markdown_sections(s, d):
     return t.select("ingest_id", F.posexplode(khmer.markdown_sections(F.col("text"))).alias("seq", "s")).select("ingest_id", "seq", "s.*")
 
 
+def markdown_headings(s, d):
+    """How many sections of each ingested text start at a heading."""
+    return markdown_sections(s, d).where("starts_heading").groupBy("ingest_id").agg(F.count("*").alias("headings"))
+
+
 def join_broken_words(s, d):
-    return sections(s, d).select("section_id", F.length(structure.join_broken_words(F.col("text"))).alias("n"))
+    return sections(s, d).select("section_id", structure.join_broken_words(F.col("text")).alias("text"))
 
 
 # -- formulas
 
 def mask_latex(s, d):
     t = sections(s, d).where("text IS NOT NULL")
-    m = t.select("section_id", "text", formulas.mask_latex(F.col("text"), F.col("section_id").cast("string")).alias("m"))
-    return m.select("section_id", F.size("m.vault").alias("formulas"), (formulas.unmask_latex(F.col("m.masked"), F.col("m.vault"), strict=True) == F.col("text")).alias("round_trip"))
+    return t.select("section_id", formulas.mask_latex(F.col("text"), F.col("section_id").cast("string")).alias("m")).select("section_id", "m.masked", "m.vault")
 
 
 def extract_formulas(s, d):
@@ -247,6 +266,18 @@ def extract_formulas(s, d):
     return f.select("section_id", "nth", "formula", formulas.strip_delimiters(F.col("formula")).alias("body"), formulas.is_display_formula(F.col("formula")).alias("display"), formulas.has_balanced_braces(F.col("formula")).alias("balanced"))
 
 
+def formula_parts(s, d):
+    """Every formula of the chunks with its body, kind and balance."""
+    f = chunks(s, d).select("rec_id", F.explode(F.map_entries("vault")).alias("e")).select("rec_id", F.col("e.key").alias("token"), F.col("e.value").alias("formula"))
+    return f.select("rec_id", "token", formulas.strip_delimiters(F.col("formula")).alias("body"), formulas.is_display_formula(F.col("formula")).alias("display"), formulas.has_balanced_braces(F.col("formula")).alias("balanced"))
+
+
+def mask_round_trip(s, d):
+    """Masking and restoring gives the text."""
+    m = sections(s, d).select("section_id", formulas.mask_latex(F.col("text"), F.col("section_id").cast("string")).alias("m"))
+    return m.select("section_id", formulas.unmask_latex(F.col("m.masked"), F.col("m.vault"), strict=True).alias("text"))
+
+
 def chunk_tokens(s, d):
     return chunks(s, d).select("rec_id", F.explode(formulas.find_placeholders(F.col("text"))).alias("token"))
 
@@ -280,13 +311,13 @@ def heading_streams(s, d):
 
 
 def running_lines(s, d):
-    t = sections(s, d).where("ocr")
-    return structure.running_lines(t, share=0.5).select("source", "line", "pages", "of")
+    t = sections(s, d)
+    return structure.running_lines(t, share=0.2).select("source", "line", "pages", "of")
 
 
 def remove_running_lines(s, d):
-    t = sections(s, d).where("ocr").select("section_id", "source", "page", "text")
-    return structure.remove_running_lines(t, structure.running_lines(t)).select("section_id", F.length("text").alias("n"))
+    t = sections(s, d).select("section_id", "source", "page", "text")
+    return structure.remove_running_lines(t, structure.running_lines(t, share=0.2)).select("section_id", "text")
 
 
 def context_header(s, d):
@@ -357,7 +388,7 @@ def history_pairs(s, d):
 # -- recognisers
 
 def khmer_words_only(s, d):
-    return sections(s, d).where("ocr").select("section_id", F.length(ocr_text.khmer_words_only(F.col("text"))).alias("n"))
+    return sections(s, d).select("section_id", ocr_text.khmer_words_only(F.col("text")).alias("text"))
 
 
 def unwrap_khmer_text(s, d):
@@ -396,9 +427,9 @@ QUERIES = {
     for f in (
         topk_cosine, topk_source_filter, topk_empty_sources, batched_topk, l2_normalize, cosine_to_one, vector_validation, retrieval_metrics, fit_context,
         source_summary, totals, duplicate_ids, upsert_by_id, delete_source, replace_source, skip_existing, source_semi, catalog_left_join, chunk_id_hash, point_lookup,
-        language_detect, language_detect_masked, khmer_ratio, looks_garbled, contains_khmer, normalize_text, regex_segment, segment_words, word_boundaries, search_token_tf, bigram_tf,
-        tokenize_for_search, html_tag_strip, clean_markdown, markdown_sections, join_broken_words,
-        mask_latex, extract_formulas, chunk_tokens, unmask_chunks, sub_vault, lost_formulas, formula_totals,
+        language_detect, language_detect_masked, language_of_chunks, khmer_ratio, looks_garbled, contains_khmer, normalize_text, regex_segment, regex_segment_join, segment_words, word_boundaries, stripped_boundaries, search_token_tf, bigram_tf,
+        tokenize_for_search, html_tag_strip, clean_markdown, markdown_sections, markdown_headings, join_broken_words,
+        mask_latex, mask_round_trip, extract_formulas, formula_parts, chunk_tokens, unmask_chunks, sub_vault, lost_formulas, formula_totals,
         heading_streams, running_lines, remove_running_lines, context_header, page_quality, chunk_sections, chunk_integrity, embed_chunks, semantic_search,
         context_block, user_message, extractive_answer, normalized_history, history_pairs,
         khmer_words_only, unwrap_khmer_text, clean_transcript, needs_ocr, clean_source_name, ocr_cache, visual_lines, format_detect,
@@ -418,8 +449,31 @@ _TURNS = """t AS (
     JOIN (SELECT request_id, min(response_id) AS response_id FROM query_responses GROUP BY request_id) f USING (request_id, response_id)
     JOIN (SELECT DISTINCT ON (request_id) * FROM query_requests) q USING (request_id))"""
 _KHMER, _LATIN = "length(regexp_replace(text, '[^ក-៿᧠-᧿]', '', 'g'))", "length(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
+_BLANK = "\\x{9}-\\x{d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+
+
+def _trimmed(text: str) -> str:
+    """SQL of a text without blanks of any kind at its ends."""
+    return f"regexp_replace(regexp_replace({text}, '^[{_BLANK}]+', ''), '[{_BLANK}]+$', '')"
+
+
+_TIDY = "regexp_replace(regexp_replace(regexp_replace(t, '[" + _BLANK.replace("\\x{9}-\\x{d}", "\\x{9}\\x{b}-\\x{d}") + "]+', ' ', 'g'), ' *\\n *', '\n', 'g'), '\\n{3,}', '\n\n', 'g')"
+_GARBLED = """(length(regexp_replace(text, '[^ក-៿᧠-᧿]', '', 'g')) >= 20 AND (len(regexp_extract_all(text, '(?:^|[^ក-៿\\x{200C}\\x{200D}])[ា-៓៝]')) + len(regexp_extract_all(text, '[\\x{E000}-\\x{F8FF}\\x{FFFD}]')))
+    / length(regexp_replace(text, '[^ក-៿᧠-᧿]', '', 'g')) > 0.02)"""
+_TOKENS = "regexp_extract_all(text, '⟦MATH_[0-9a-f]{{32}}⟧')"
+_RESTORED = "CASE WHEN vault IS NULL THEN text ELSE list_reduce(list_concat([text], regexp_extract_all(text, '⟦MATH_[0-9a-f]{32}⟧')), lambda a, t: replace(a, t, coalesce(element_at(vault, t)[1], t))) END"
 _LETTERS = "length(regexp_replace(regexp_replace(text, '[^ក-៿᧠-᧿]', '', 'g'), '[^\\p{L}]', '', 'g'))"
 
+_PASSAGES = """r AS (SELECT response_id, language, unnest(source_ids) AS id, generate_subscripts(source_ids, 1) AS nth FROM (SELECT DISTINCT ON (response_id) * FROM query_responses)),
+        j AS (SELECT r.response_id, r.language AS asked, row_number() OVER (PARTITION BY response_id ORDER BY nth, c.id) AS n, c.* FROM r JOIN (SELECT DISTINCT ON (id) * FROM chunks) c USING (id))"""
+
+
+def _stripped(lines: str) -> str:
+    """SQL of the number of leading lines that are blank or running, up to the second running one."""
+    ok = f"list_transform({lines}, lambda x: CASE WHEN {_trimmed('x')} = '' THEN 0 WHEN list_contains(running, {_trimmed('x')}) THEN 1 ELSE 9 END)"
+    return f"""coalesce(list_position(list_transform(range(1, len({lines}) + 1), lambda i: ({ok})[i] = 9 OR coalesce(list_sum(({ok})[1:i - 1]), 0) >= 2), true) - 1, len({lines}))"""
+
+
 SQL: dict[str, str] = {
     "topk_cosine": f"SELECT a.vec_id, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND {_COS} >= 0.2 ORDER BY {_COS} DESC, a.vec_id LIMIT 10",
     "topk_source_filter": f"SELECT a.vec_id, 'label-' || a.label AS source, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 1 AND a.label IN (1, 3) ORDER BY {_COS} DESC, a.vec_id LIMIT 5",
@@ -427,7 +481,9 @@ SQL: dict[str, str] = {
     "batched_topk": f"""SELECT query_id, vec_id, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
         SELECT b.vec_id AS query_id, a.vec_id, {_COS} AS s, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_COS} DESC, a.vec_id) AS rank
         FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE b.vec_id % 20 = 0) WHERE rank <= 5""",
-    "l2_normalize": "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS first, CAST(1.0 AS DOUBLE) AS length FROM embeddings",
+    "l2_normalize": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings),
+        u AS (SELECT vec_id, list_transform(e, lambda x: x / n) AS u FROM v)
+        SELECT vec_id, list_transform(u, lambda x: round(x, 5)) AS v, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS length FROM u""",
     "cosine_to_one": f"SELECT a.vec_id, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0",
     "vector_validation": """SELECT CAST(count(*) AS BIGINT) AS rows, count(*) FILTER (embedding IS NULL) AS missing,
         count(*) FILTER (len(list_filter(embedding, lambda x: NOT isfinite(x))) > 0) AS not_finite, count(*) FILTER (len(embedding) <> 64) AS other_dimension,
@@ -436,11 +492,11 @@ SQL: dict[str, str] = {
         FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE b.vec_id % 20 = 0) WHERE rank <= 5),
         p AS (SELECT q, max(CAST(rel AS INTEGER)) AS hit, coalesce(1.0 / min(rank) FILTER (rel), 0) AS rr, count(*) FILTER (rel) / 5.0 AS p FROM r GROUP BY q)
         SELECT count(*) AS cases, 5 AS k, round(avg(hit), 6) AS hit_rate, round(avg(rr), 6) AS mrr, round(avg(p), 6) AS precision_at_k, round(avg(hit), 6) AS recall_at_k FROM p""",
-    "fit_context": f"""WITH RECURSIVE l AS (SELECT source, page, length(text) AS n, row_number() OVER (PARTITION BY source, page ORDER BY rec_id) AS i FROM {_C} WHERE page IS NOT NULL),
+    "fit_context": f"""WITH RECURSIVE l AS (SELECT source, page, length(text) AS n, row_number() OVER (PARTITION BY source, page ORDER BY rec_id) AS i FROM {_C}),
         w AS (SELECT source, page, i, CAST(n AS BIGINT) AS used, CAST(1 AS BIGINT) AS kept FROM l WHERE i = 1
               UNION ALL SELECT l.source, l.page, l.i, CASE WHEN w.used + l.n <= 1500 THEN w.used + l.n ELSE w.used END, CASE WHEN w.used + l.n <= 1500 THEN w.kept + 1 ELSE w.kept END
-              FROM w JOIN l ON l.source = w.source AND l.page = w.page AND l.i = w.i + 1)
-        SELECT source, page, max(kept) AS kept, max(used) AS used FROM w GROUP BY source, page""",
+              FROM w JOIN l ON l.source = w.source AND l.page IS NOT DISTINCT FROM w.page AND l.i = w.i + 1)
+        SELECT source, coalesce(page, -1) AS page, max(kept) AS kept, max(used) AS used FROM w GROUP BY source, page""",
     "source_summary": f"SELECT source, count(*) AS chunks, count(DISTINCT page) AS pages, arg_min(format, (chunk_index, id)) AS format, min(created_at) AS ingested_at FROM {_C} GROUP BY source",
     "totals": f"SELECT count(DISTINCT source) AS documents, count(*) AS chunks FROM {_C}",
     "duplicate_ids": "SELECT id, count(*) AS n FROM chunks GROUP BY id HAVING count(*) > 1",
@@ -486,10 +542,70 @@ SQL: dict[str, str] = {
     "visual_lines": """WITH p AS (SELECT l_orderkey AS page_id, l_linenumber AS nth, min(l_quantity) AS y FROM lineitem GROUP BY 1, 2),
         g AS (SELECT *, CASE WHEN abs(y - lag(y) OVER w) < 8 THEN 0 ELSE 1 END AS new FROM p WINDOW w AS (PARTITION BY page_id ORDER BY nth))
         SELECT page_id, nth, CAST(sum(new) OVER (PARTITION BY page_id ORDER BY nth) - 1 AS BIGINT) AS line FROM g""",
-    "join_broken_words": f"SELECT section_id, CAST(length(regexp_replace(text, '([A-Za-z])-\\n([a-z])', '\\1\\2', 'g')) AS INTEGER) AS n FROM {_S}",
-    "running_lines": """WITH p AS (SELECT DISTINCT source, page, text FROM sections WHERE ocr AND page IS NOT NULL AND text IS NOT NULL),
+    "join_broken_words": f"SELECT section_id, regexp_replace(text, '([A-Za-z])-\\n([a-z])', '\\1\\2', 'g') AS text FROM {_S}",
+    "looks_garbled": f"SELECT section_id, coalesce({_GARBLED}, false) AS garbled FROM {_S}",
+    "page_quality": f"SELECT source, count(*) AS pages, count(*) FILTER ({_GARBLED}) AS garbled, count(*) FILTER ({_trimmed('text')} = '') AS empty FROM {_S} GROUP BY source",
+    "needs_ocr": f"SELECT section_id, length({_trimmed('text')}) < 200 OR coalesce({_GARBLED}, false) AS needs FROM {_S}",
+    "normalize_text": f"""WITH n AS (SELECT section_id, translate(replace(replace(nfc_normalize(text), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(8203) || chr(65279) || chr(173) || chr(8288), '') AS t FROM {_S}),
+        k AS (SELECT section_id, replace(replace(regexp_replace(regexp_replace(t, '([ក-៿])\\x{{200C}}([ក-៿])', '\\1' || chr(1) || '\\2', 'g'), '([ក-៿])\\x{{200C}}([ក-៿])', '\\1' || chr(1) || '\\2', 'g'), chr(8204), ''), chr(1), chr(8204)) AS t FROM n)
+        SELECT section_id, {_trimmed(_TIDY)} AS text FROM k""",
+    "stripped_boundaries": f"SELECT section_id, replace(text, chr(8203), '') AS text FROM {_S}",
+    "regex_segment_join": f"SELECT section_id, text FROM {_S}",
+    "mask_round_trip": f"SELECT section_id, text FROM {_S}",
+    "language_of_chunks": f"""WITH c AS (SELECT rec_id, regexp_replace(text, '⟦MATH_[0-9a-f]{{32}}⟧', ' ', 'g') AS text FROM {_C}), n AS (SELECT rec_id, {_LETTERS} AS k, {_LATIN} AS a FROM c)
+        SELECT rec_id, CASE WHEN k + a = 0 OR k / (k + a) >= 0.3 THEN 'km' ELSE 'en' END AS language, CASE WHEN k + a = 0 THEN 0.0 ELSE round(k / (k + a), 6) END AS ratio FROM n""",
+    "formula_parts": f"""WITH f AS (SELECT rec_id, unnest(map_keys(vault)) AS token, unnest(map_values(vault)) AS f FROM {_C}),
+        b AS (SELECT *, list_transform(regexp_extract_all(regexp_replace(f, '(?s)\\\\.', '', 'g'), '[{{}}]'), lambda x: CASE WHEN x = '{{' THEN 1 ELSE -1 END) AS d FROM f)
+        SELECT rec_id, token, CASE WHEN starts_with(f, '$$') AND ends_with(f, '$$') OR starts_with(f, '\\[') OR starts_with(f, '\\(') THEN substr(f, 3, greatest(length(f) - 4, 0))
+            WHEN starts_with(f, '$') AND ends_with(f, '$') THEN substr(f, 2, greatest(length(f) - 2, 0)) ELSE f END AS body,
+            starts_with(f, '$$') OR starts_with(f, '\\[') OR starts_with(f, '\\begin') AS display,
+            coalesce(list_sum(d), 0) = 0 AND coalesce(list_min(list_transform(range(1, len(d) + 1), lambda i: list_sum(d[1:i]))), 0) >= 0 AS balanced FROM b""",
+    "unmask_chunks": f"""SELECT rec_id, {_RESTORED} AS text, length(replace(text, chr(8203), '')) + coalesce(list_sum(list_transform(
+        regexp_extract_all(text, '⟦MATH_[0-9a-f]{{32}}⟧'), lambda m: coalesce(length(element_at(vault, m)[1]) - 39, 0))), 0) AS n FROM {_C}""",
+    "unwrap_khmer_text": f"""SELECT rec_id, regexp_replace(regexp_replace({_RESTORED}, '\\$\\$\\s*\\\\text\\{{([^{{}}$]*[ក-៿][^{{}}$]*)\\}}\\s*\\$\\$', '\\1', 'g'), '\\$\\s*\\\\text\\{{([^{{}}$]*[ក-៿][^{{}}$]*)\\}}\\s*\\$', '\\1', 'g') AS text FROM {_C}""",
+    "clean_transcript": f"""WITH t AS (SELECT response_id, {_trimmed('answer')} AS t FROM (SELECT DISTINCT ON (response_id) * FROM query_responses)),
+        u AS (SELECT response_id, regexp_replace(t, '(?s)\\A```[A-Za-z]*\\n(.*)\\n?```\\z', '\\1') AS u FROM t)
+        SELECT response_id, {_trimmed('u')} AS text FROM u""",
+    "clean_source_name": f"""WITH n AS (SELECT ingest_id, {_trimmed("regexp_extract(replace(coalesce(source_name, ''), chr(92), '/'), '([^/]*)/*$', 1)")} AS n FROM (SELECT DISTINCT ON (ingest_id) * FROM ingest_requests))
+        SELECT ingest_id, substr(regexp_replace(CASE WHEN n = '' THEN 'document' ELSE n END, '[\\p{{C}}\\p{{Zl}}\\p{{Zp}}<>"|?*]', '', 'g'), 1, 200) AS name FROM n""",
+    "ocr_cache": "SELECT DISTINCT section_id AS page_id FROM sections WHERE ocr AND text NOT IN (SELECT text FROM sections WHERE ocr AND section_id % 2 = 0)",
+    "khmer_words_only": f"""WITH l AS (SELECT section_id, regexp_replace(regexp_replace(nfc_normalize(text), '([ក-៓]):([ក-ឳ])', '\\1ៈ\\2', 'g'), '([ក-៓]):([ក-ឳ])', '\\1ៈ\\2', 'g') AS t FROM {_S}),
+        w AS (SELECT section_id, list_transform(regexp_extract_all(t, '[ក-៝០-៩៰-៹᧠-᧿\\x{{200C}}\\x{{200D}}]+'), lambda x: regexp_replace(regexp_replace(x, '^[឴-៓៝\\x{{200C}}\\x{{200D}}]+', ''), '[\\x{{200C}}\\x{{200D}}]+$', '')) AS w FROM l),
+        f AS (SELECT section_id, w, list_position(list_transform(w, lambda x: regexp_matches(x, '[ក-ឳ០-៩]')), true) AS first FROM w)
+        SELECT section_id, coalesce(list_aggregate(list_filter(w, lambda x, i: regexp_matches(x, '[ក-ឳ០-៩]') OR (i > first AND regexp_matches(x, '^[។-៚]+$'))), 'string_agg', ' '), '') AS text FROM f""",
+    "markdown_headings": """WITH l AS (SELECT ingest_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM (SELECT DISTINCT ON (ingest_id) * FROM ingest_requests)),
+        f AS (SELECT *, sum(CAST(regexp_matches(line, '^\\s{0,3}(?:```|~~~)') AS INTEGER)) OVER (PARTITION BY ingest_id ORDER BY i) % 2 = 1 AS fenced FROM l)
+        SELECT ingest_id, count(*) AS headings FROM f WHERE NOT fenced AND regexp_matches(line, '^\\s{0,3}#{1,6}\\s')
+          AND regexp_matches(regexp_replace(regexp_replace(line, '</?[A-Za-z][A-Za-z0-9-]*(?:\\s[^<>]*)?/?>', '', 'g'), '^\\s*#+|#+\\s*$', '', 'g'), '[^\\s*_#:៖✧◆◇♦•▪■□☐✦❖–—-]') GROUP BY ingest_id""",
+    "remove_running_lines": f"""WITH p AS (SELECT DISTINCT source, page, text FROM sections WHERE page IS NOT NULL AND text IS NOT NULL),
+        l AS (SELECT source, page, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_trimmed('x')}), lambda x: x <> '') AS l FROM p),
+        e AS (SELECT DISTINCT source, page, unnest(list_distinct(list_concat(l[1:2], l[-2:]))) AS line FROM l),
+        n AS (SELECT source, count(DISTINCT page) AS "of" FROM p GROUP BY source HAVING count(DISTINCT page) >= 5),
+        k AS (SELECT e.source, line FROM e JOIN n USING (source) GROUP BY e.source, line, n."of" HAVING count(*) >= 0.2 * n."of"),
+        g AS (SELECT source, list(line) AS running FROM k GROUP BY source),
+        j AS (SELECT section_id, text, running, string_split(text, chr(10)) AS l FROM {_S} LEFT JOIN g USING (source)),
+        h AS (SELECT *, list_reverse(l[{_stripped('l')} + 1:]) AS r FROM j WHERE running IS NOT NULL)
+        SELECT section_id, array_to_string(list_reverse(r[{_stripped('r')} + 1:]), chr(10)) AS text FROM h UNION ALL SELECT section_id, text FROM j WHERE running IS NULL""",
+    "user_message": f"""WITH {_PASSAGES},
+        e AS (SELECT response_id, n, '<passage id="' || n || '" source="' || replace(replace(replace(source, '&', '&amp;'), '"', '&quot;'), '<', '&lt;') || '"' || coalesce(' page="' || page || '"', '')
+            || CASE WHEN coalesce(title, '') = '' THEN '' ELSE ' title="' || replace(replace(replace(title, '&', '&amp;'), '"', '&quot;'), '<', '&lt;') || '"' END
+            || CASE WHEN coalesce(heading, '') = '' THEN '' ELSE ' section="' || replace(replace(replace(heading, '&', '&amp;'), '"', '&quot;'), '<', '&lt;') || '"' END
+            || ' score="0.500">' || chr(10) || replace(replace(text, '</passage', '&lt;/passage'), '</context', '&lt;/context') || chr(10) || '</passage>' AS p FROM j),
+        c AS (SELECT response_id, '<context>' || chr(10) || string_agg(p, chr(10) ORDER BY n) || chr(10) || '</context>' AS context FROM e GROUP BY response_id)
+        SELECT r.response_id, concat_ws(chr(10) || chr(10), coalesce(context, '<context>' || chr(10) || '</context>'), CASE WHEN context IS NULL THEN '<note>{prompts.NO_CONTEXT}</note>' END,
+            '<question>' || chr(10) || q.prompt || chr(10) || '</question>', '<response_language>' || r.language || '</response_language>') AS message
+        FROM (SELECT DISTINCT ON (response_id) * FROM query_responses) r JOIN (SELECT DISTINCT ON (request_id) * FROM query_requests) q USING (request_id) LEFT JOIN c USING (response_id)""",
+    "extractive_answer": f"""WITH {_PASSAGES},
+        i AS (SELECT response_id, n, '**[' || n || '] ' || CASE WHEN coalesce(title, '') = '' THEN source ELSE title END
+            || coalesce(', ' || CASE asked WHEN 'km' THEN '{prompts.ANSWER_TEXT["km"]["page"]}' ELSE 'page' END || ' ' || page, '') || '** (' || CASE asked WHEN 'km' THEN '{prompts.ANSWER_TEXT["km"]["score"]}' ELSE 'score' END || ' 0.50)'
+            || chr(10) || chr(10) || text || chr(10) AS t FROM j),
+        m AS (SELECT response_id, regexp_replace(string_agg(t, chr(10) ORDER BY n), '[{_BLANK}]+$', '') AS passages FROM i GROUP BY response_id)
+        SELECT r.response_id, CASE WHEN passages IS NULL THEN CASE r.language WHEN 'km' THEN '{prompts.ANSWER_TEXT["km"]["empty"]}' ELSE '{prompts.ANSWER_TEXT["en"]["empty"]}' END
+            ELSE CASE r.language WHEN 'km' THEN '{prompts.ANSWER_TEXT["km"]["header"]}' ELSE '{prompts.ANSWER_TEXT["en"]["header"]}' END || chr(10) || chr(10) || passages END AS answer
+        FROM (SELECT DISTINCT ON (response_id) * FROM query_responses) r LEFT JOIN m USING (response_id)""",
+    "running_lines": """WITH p AS (SELECT DISTINCT source, page, text FROM sections WHERE page IS NOT NULL AND text IS NOT NULL),
         l AS (SELECT source, page, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(160))), lambda x: x <> '') AS l FROM p),
         e AS (SELECT DISTINCT source, page, unnest(list_distinct(list_concat(l[1:2], l[-2:]))) AS line FROM l),
         n AS (SELECT source, count(DISTINCT page) AS "of" FROM p GROUP BY source HAVING count(DISTINCT page) >= 5)
-        SELECT e.source, line, count(*) AS pages, n."of" FROM e JOIN n USING (source) GROUP BY e.source, line, n."of" HAVING count(*) >= 0.5 * n."of" """,
+        SELECT e.source, line, count(*) AS pages, n."of" FROM e JOIN n USING (source) GROUP BY e.source, line, n."of" HAVING count(*) >= 0.2 * n."of" """,
 }

@@ -104,6 +104,8 @@ def test_garbled(spark):
     assert one(spark, khmer.looks_garbled(F.col("t")), t="េមេរៀន េរៀន ាន ិន " * 8) is True
     assert one(spark, khmer.looks_garbled(F.col("t")), t="មេរៀនទីមួយ" * 8) is False
     assert one(spark, khmer.looks_garbled(F.col("t")), t="េម") is False
+    assert one(spark, khmer.looks_garbled(F.col("t")), t="មេរៀនទីមួយ - " * 8) is False
+    assert one(spark, khmer.looks_garbled(F.col("t")), t="មេរៀនទីមួយ \uf021" * 8) is True
 
 
 @pytest.mark.parametrize(("line", "words"), [("គណនា lim x→0 នៃ sin(3x)/x ។", "គណនា នៃ ។"), ("Exercise 1: (a) 2x + 3 = 0", ""), ("។ x = 1", ""), ("xាក្យ", "ក្យ"), ("រយ:ពេល ១៥០ នាទី", "រយៈពេល ១៥០ នាទី")])

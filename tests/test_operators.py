@@ -52,17 +52,22 @@ def test_headed_sections(spark):
     got = pipeline.prepare_chunks(spark.createDataFrame(rows, SECTIONS)).orderBy("chunk_index").collect()
     assert [(r.heading, r.page, r.page_end) for r in got] == [("Limits", 1, 1), ("Limits › Definition", 1, 2), ("Limits › Example", 2, 2)]
     long_ = spark.createDataFrame([("a", i, "x" * 600, 1, "", False) for i in range(5)], SECTIONS)
-    assert structure.heading_streams(long_, most_chars=1000).agg(F.max("stream")).first()[0] == 2
+    streams = structure.heading_streams(long_).withColumn("vault", F.create_map().cast("map<string,string>"))
+    assert streams.agg(F.max("stream")).first()[0] == 0
+    assert structure.join_streams(streams, most_chars=1000).agg(F.max("part")).first()[0] == 2
 
 
 def test_long_sources_in_stretches(spark):
     df = spark.createDataFrame([("a", i, f"Part {i} of it.", i, "H" if i > 3 else "", False) for i in range(12)], SECTIONS)
-    whole, cut = (structure.heading_streams(df, stretch=s).orderBy("seq").collect() for s in (100, 4))
-    assert [r.stream for r in whole] == [0] * 4 + [1] * 8
-    assert [r.stream for r in cut] == [0] * 4 + [1 << 20] * 4 + [2 << 20] * 4
     masked = df.withColumn("vault", F.create_map().cast("map<string,string>"))
-    chunks = chunking.chunk_streams(structure.join_streams(structure.heading_streams(masked, stretch=4)), size=20, overlap=0).orderBy("chunk_index").collect()
-    assert [c.chunk_index for c in chunks] == list(range(len(chunks))) and [c.page for c in chunks] == sorted(c.page for c in chunks)
+    made = []
+    for s in (100, 4, 1):
+        streams = structure.heading_streams(masked, stretch=s)
+        assert [r.stream for r in streams.orderBy("seq").collect()] == [0] * 4 + [1] * 8
+        chunks = chunking.chunk_streams(structure.join_streams(streams, stretch=s), size=20, overlap=0).orderBy("chunk_index").collect()
+        assert [c.chunk_index for c in chunks] == list(range(len(chunks))) and [c.page for c in chunks] == sorted(c.page for c in chunks)
+        made.append([(c.id, c.text) for c in chunks])
+    assert made[0] == made[1] == made[2]
 
 
 def test_context_header(spark):
