@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,9 +30,18 @@ segment = F.pandas_udf(_each(plain.words), T.ArrayType(T.StringType()))
 segment_pieces = F.pandas_udf(_each(plain.pieces), T.ArrayType(T.StringType()))
 tokenize_for_search = F.pandas_udf(_each(plain.search_tokens), T.ArrayType(T.StringType()))
 clean_markdown = F.pandas_udf(_each(plain.clean_markdown), T.StringType())
+PARTS = T.ArrayType(
+    T.StructType([T.StructField("text", T.StringType()), T.StructField("starts_heading", T.BooleanType()), T.StructField("path", T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()), T.StructField("title", T.StringType())])))])
+)
+page_parts = F.pandas_udf(_each(plain.page_parts), PARTS)
 markdown_sections = F.pandas_udf(_each(plain.markdown_sections), SECTIONS)
 
 
+def segment_with(segmenter: Callable[[str], list[str]]):
+    """A column function that cuts text into pieces with a word segmenter; it is sent to the executors."""
+    return F.pandas_udf(_each(lambda t: plain.pieces(t, segmenter)), T.ArrayType(T.StringType()))
+
+
 def regex_segment(text: Column) -> Column:
     """Orthographic clusters of Khmer text without leaving the JVM; a stray mark joins the cluster before it."""
     units = F.regexp_extract_all(text, F.lit(r"(?s)[ក-ឳ](?:្[ក-ឳ]|[឴-៑៓៝]++|[\x{200C}\x{200D}](?=[ក-៝]))*+[឴-៓៝]*+|[០-៩៰-៹]++|.[឴-៓៝]*+"), F.lit(0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 from folioscan.functions import markdown
 from folioscan.functions import patterns as P
@@ -38,14 +39,26 @@ def clusters(run: str) -> list[str]:
     return P.KHMER_UNIT.findall(run)
 
 
-def pieces(text: str) -> list[str]:
-    """Tokens, Khmer clusters and stretches of other text; joined they give the text again."""
+def units(run: str, segmenter: Callable[[str], list[str]] | None) -> list[str]:
+    """Words of a Khmer run by a segmenter that is plugged in; clusters without one, or where its words don't join to the run."""
+    if segmenter is not None:
+        try:
+            got = [w for w in segmenter(run) if w]
+        except Exception:  # noqa: BLE001
+            got = []
+        if "".join(got) == run:
+            return got
+    return clusters(run)
+
+
+def pieces(text: str, segmenter: Callable[[str], list[str]] | None = None) -> list[str]:
+    """Tokens, Khmer words or clusters and stretches of other text; joined they give the text again."""
     out: list[str] = []
     at = 0
     for m in _SPLIT.finditer(text):
         if m.start() > at:
             out.append(text[at : m.start()])
-        out += [m.group()] if m.group(1) else clusters(m.group())
+        out += [m.group()] if m.group(1) else units(m.group(), segmenter)
         at = m.end()
     return out + ([text[at:]] if at < len(text) else [])
 
@@ -109,19 +122,17 @@ def _outer(title: str) -> str:
     return title
 
 
-Path = list[tuple[int, str]]
-
-
-def _sections(text: str, path: Path) -> tuple[list[dict], Path]:
-    """Sections of a text that begins under a heading path, and the path at its end."""
+def page_parts(text: str) -> list[dict]:
+    """Sections at ATX headings outside code fences: text, starts_heading, path (level and title of each heading above, within this text)."""
     out: list[dict] = []
+    path: list[dict] = []
     lines: list[str] = []
     starts, fenced = False, False
 
     def close() -> None:
         clean = clean_markdown("\n".join(lines))
-        if clean.strip():
-            out.append({"text": clean, "heading": P.HEADING_SEPARATOR.join(t for _, t in path), "starts_heading": starts})
+        if clean.strip() or path:
+            out.append({"text": clean, "starts_heading": starts, "path": path})
 
     for line in text.split("\n"):
         fenced ^= markdown.opens_fence(line)
@@ -129,25 +140,16 @@ def _sections(text: str, path: Path) -> tuple[list[dict], Path]:
         title = heading_title(head[1]) if head else ""
         if title:
             close()
-            level = head[0]
-            path = [*(x for x in path if x[0] < level), (level, title)]
+            path = [*(x for x in path if x["level"] < head[0]), {"level": head[0], "title": title}]
             lines, starts = [line], True
         else:
             lines.append(line)
     close()
-    return out, path
+    return out
 
 
 def markdown_sections(text: str) -> list[dict]:
     """Sections at ATX headings outside code fences: text, heading path, starts_heading."""
-    return _sections(text, [])[0]
-
-
-def paged_sections(pages: list[tuple[int, str]]) -> list[dict]:
-    """Sections of a document's pages in order; the heading path carries over from page to page."""
-    out: list[dict] = []
-    path: Path = []
-    for page, text in pages:
-        got, path = _sections(text, path)
-        out += [s | {"page": page} for s in got]
-    return out
+    return [
+        {"text": p["text"], "heading": P.HEADING_SEPARATOR.join(x["title"] for x in p["path"]), "starts_heading": p["starts_heading"]} for p in page_parts(text) if p["text"].strip()
+    ]

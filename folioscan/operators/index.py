@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscan.functions.vectors import l2_normalize
+from folioscan.runtime import materialise
 
-FORMAT_VERSION = 1
+FORMAT_VERSION = 2
 _TYPES = {
     "string": T.StringType(), "int": T.IntegerType(), "timestamp": T.TimestampType(), "boolean": T.BooleanType(),
     "map": T.MapType(T.StringType(), T.StringType()), "vector": T.ArrayType(T.FloatType()),
@@ -113,11 +115,20 @@ def normalised(table: DataFrame) -> DataFrame:
     return table.withColumn("embedding", l2_normalize(F.col("embedding")).cast("array<float>"))
 
 
+BUCKETS = 64
+MANIFEST = "number long, parts map<string,string>, counts map<string,long>, format_version int, embedding_model string, dimension int, count long, saved_at timestamp"
+
+
+def bucket_of(source: Column) -> Column:
+    return F.pmod(F.xxhash64(source), F.lit(BUCKETS)).cast("int")
+
+
 class ChunkIndex:
-    """Snapshots below one folder and a manifest that names the current one.
+    """Snapshots below one folder, in buckets of sources, and a manifest that names the folder of each bucket.
 
-    A write makes a new snapshot, sorted by source so that a source filter skips files, and then points
-    the manifest to it; what is being read is never overwritten. One writer at a time.
+    A write makes new folders for those buckets only that hold one of its sources, sorted by source so that
+    a source filter skips files, and then adds a manifest; what is being read is never overwritten. One
+    writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, embedding_model: str, dimension: int):
@@ -128,14 +139,18 @@ class ChunkIndex:
         folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests")
         if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
             return None
-        return self.spark.read.schema("number long, snapshot string, format_version int, embedding_model string, dimension int, count long, saved_at timestamp").json(f"{self.path}/manifests")
+        return self.spark.read.schema(MANIFEST).json(f"{self.path}/manifests")
 
     def manifest(self):
+        """The current manifest; its maps have the bucket numbers as text."""
         m = self._manifests()
         return m.orderBy(F.desc("number")).first() if m is not None else None
 
-    def load(self, *, allow_model_change: bool = False) -> DataFrame:
-        """The current table; empty where there is none, or where its model may change and did."""
+    def load(self, *, allow_model_change: bool = False, check: bool = True) -> DataFrame:
+        """The current table; empty where there is none, or where its model may change and did.
+
+        ``check`` compares the number of rows with the manifest, which reads the files' footers only.
+        """
         m = self.manifest()
         empty = self.spark.createDataFrame([], CHUNK_SCHEMA)
         if m is None:
@@ -146,48 +161,83 @@ class ChunkIndex:
             if allow_model_change:
                 return empty
             raise ChunkIndexError(f"the index was made with {m['embedding_model']} of dimension {m['dimension']}")
-        return self.spark.read.schema(CHUNK_SCHEMA).parquet(f"{self.path}/{m['snapshot']}")
+        table = self._read(m["parts"])
+        if check and (n := table.count()) != m["count"]:
+            raise ChunkIndexError(f"the snapshot has {n} rows, its manifest says {m['count']}")
+        return table
 
-    def save(self, table: DataFrame) -> int:
-        """Write a snapshot and point the manifest to it; returns the number of rows."""
+    def _read(self, parts: dict[str, str]) -> DataFrame:
+        paths = [f"{self.path}/{parts[b]}" for b in sorted(parts)]
+        return self.spark.read.schema(CHUNK_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], CHUNK_SCHEMA)
+
+    def _write(self, rows: DataFrame, buckets: list[int]) -> int:
+        """Write these buckets anew from ``rows`` and add a manifest; returns the number of rows of the index."""
         old = self.manifest()
         name = f"snapshot-{uuid.uuid4().hex}"
-        columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in table.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA]
-        table.select(columns).repartitionByRange("source", "chunk_index").sortWithinPartitions("source", "chunk_index").write.parquet(f"{self.path}/{name}")
-        count = self.spark.read.parquet(f"{self.path}/{name}").count()
-        row = [((old["number"] + 1) if old else 1, name, FORMAT_VERSION, self.model, self.dimension, count, datetime.now(UTC).replace(microsecond=0))]
-        self.spark.createDataFrame(row, "number long, snapshot string, format_version int, embedding_model string, dimension int, count long, saved_at timestamp").coalesce(1).write.mode("append").json(f"{self.path}/manifests")
-        return count
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA]
+        out = rows.select(columns).withColumn("bucket", bucket_of(F.col("source")))
+        out.repartitionByRange("bucket", "source", "chunk_index").sortWithinPartitions("bucket", "source", "chunk_index").write.partitionBy("bucket").parquet(f"{self.path}/{name}")
+        same = old is not None and (old["embedding_model"], old["dimension"], old["format_version"]) == (self.model, self.dimension, FORMAT_VERSION)
+        parts, counts = (dict(old["parts"]), dict(old["counts"])) if same else ({}, {})
+        for b in buckets:
+            parts.pop(str(b), None)
+            counts.pop(str(b), None)
+        written = self.spark.read.schema(T.StructType([*CHUNK_SCHEMA.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{self.path}/{name}") if buckets else None
+        for r in written.groupBy("bucket").count().collect() if written is not None else []:  # BUCKETS rows at most
+            parts[str(r["bucket"])], counts[str(r["bucket"])] = f"{name}/bucket={r['bucket']}", r["count"]
+        total = sum(counts.values())
+        row = [((old["number"] + 1) if old else 1, parts, counts, FORMAT_VERSION, self.model, self.dimension, total, datetime.now(UTC).replace(microsecond=0))]
+        self.spark.createDataFrame(row, MANIFEST).coalesce(1).write.mode("append").json(f"{self.path}/manifests")
+        return total
 
-    def add(self, batch: DataFrame) -> int:
+    def save(self, table: DataFrame) -> int:
+        """Write the whole table anew; returns the number of rows."""
+        return self._write(table, list(range(BUCKETS)))
+
+    def _change(self, batch: DataFrame, touched: list[int], keep: Callable[[DataFrame], DataFrame]) -> int:
+        """New folders for the touched buckets: what is kept of their rows, and the batch."""
+        m = self.manifest()
+        rest = keep(self._read({b: p for b, p in m["parts"].items() if int(b) in touched})) if m is not None else batch.limit(0)
+        return self._write(rest.unionByName(batch, allowMissingColumns=True), touched)
+
+    def _checked(self, batch: DataFrame) -> tuple[DataFrame, list[int]]:
+        """The batch with vectors of length one, written once, and its buckets."""
+        batch = materialise(batch, "batch")
         validate(batch, self.dimension)
-        return self.save(upsert(self.load(), normalised(batch)))
+        self.load(check=False)  # the model must be that of the index
+        buckets = [r[0] for r in batch.select(bucket_of(F.col("source"))).distinct().collect()]  # BUCKETS rows at most
+        return normalised(batch), buckets
+
+    def add(self, batch: DataFrame) -> int:
+        """Insert rows, or replace those with the same id wherever they are."""
+        batch, touched = self._checked(batch)
+        held = self.load().select("id", bucket_of(F.col("source")).alias("b")).join(batch.select("id"), "id", "left_semi").select("b").distinct().collect()
+        return self._change(batch, sorted({*touched, *(r["b"] for r in held)}), lambda t: t.join(batch.select("id").distinct(), "id", "left_anti"))
 
     def replace_source(self, batch: DataFrame, *, replace: bool = True) -> tuple[int, int]:
         """(removed, added); the batch is checked before anything is replaced."""
-        validate(batch, self.dimension)
-        table = self.load()
+        batch, touched = self._checked(batch)
         names = [r[0] for r in batch.select("source").distinct().limit(2).collect()]
         if len(names) > 1:
             raise ChunkIndexError("all rows must have the same source")
         if not names:
             return 0, 0
-        removed = table.where(F.col("source") == names[0]).count()
+        removed = self.load().where(F.col("source") == names[0]).count()
         if removed and not replace:
             raise DuplicateSourceError(names[0])
-        self.save(replace_sources(table, normalised(batch)))
+        self._change(batch, touched, lambda t: delete_source(t, names[0]))
         return removed, batch.count()
 
     def replace_all(self, batch: DataFrame) -> int:
         """Replace every source of the batch at once: one snapshot for a whole bulk run."""
-        validate(batch, self.dimension)
-        return self.save(replace_sources(self.load(), normalised(batch)))
+        batch, touched = self._checked(batch)
+        return self._change(batch, touched, lambda t: t.join(batch.select("source").distinct(), "source", "left_anti"))
 
     def delete_source(self, source: str) -> int:
-        table = self.load()
-        removed = table.where(F.col("source") == source).count()
+        removed = self.load().where(F.col("source") == source).count()
         if removed:
-            self.save(delete_source(table, source))
+            touched = [r[0] for r in self.spark.range(1).select(bucket_of(F.lit(source))).collect()]
+            self._change(self.spark.createDataFrame([], CHUNK_SCHEMA), touched, lambda t: delete_source(t, source))
         return removed
 
     def clear(self) -> None:

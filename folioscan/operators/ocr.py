@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions.ocr_text import clean_transcript
+from folioscan.runtime import materialise
 
 
 class PageOCR(Protocol):
@@ -82,6 +84,90 @@ def to_cache(done: DataFrame, keys: DataFrame) -> DataFrame:
     return ok.join(keys, "page_id").select(F.element_at("keys", 1).alias("key"), clean_transcript(F.col("text")).alias("transcript"))
 
 
+class TranscriptCache:
+    """Transcripts by key as a Parquet table that only grows; a key that is there twice has equal transcripts."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def read(self) -> DataFrame:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+            return self.spark.createDataFrame([], "key string, transcript string")
+        return self.spark.read.schema("key string, transcript string").parquet(self.path).dropDuplicates(["key"])
+
+    def append(self, rows: DataFrame) -> None:
+        rows.select("key", "transcript").write.mode("append").parquet(self.path)
+
+
+def transcribe_cached(pages: DataFrame, engine: Callable[[bytes, str], tuple[str, bool]], cache: TranscriptCache) -> DataFrame:
+    """Transcripts of pages (page_id, data, mime_type, keys from the newest to the oldest): page_id, transcript, truncated, error.
+
+    What any of a page's keys has is used; the rest goes through the engine, and its complete transcripts
+    are kept under the newest key. Truncated and failed ones never are.
+    """
+    hits, rest = lookup(pages, cache.read())
+    done = materialise(transcribe_pages(rest, engine), "transcribed")
+    cache.append(to_cache(done, rest))
+    old = hits.select("page_id", "transcript", F.lit(False).alias("truncated"), F.lit(None).cast("string").alias("error"))
+    return old.unionByName(done.select("page_id", clean_transcript(F.col("text")).alias("transcript"), "truncated", "error"))
+
+
+def patient(engine: Callable[[bytes, str], tuple[str, bool]], *, attempts: int = 3, pause: float = 1.0, pace: float = 0.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[bytes, str], tuple[str, bool]]:
+    """The engine with ``pace`` seconds between calls of a task, and up to ``attempts`` tries with doubling pauses."""
+    if attempts < 1:
+        raise ValueError("attempts must be at least 1")
+    last = [0.0]
+
+    def call(data: bytes, mime_type: str) -> tuple[str, bool]:
+        for n in range(attempts):
+            wait = last[0] + pace - time.monotonic()
+            if pace and wait > 0:
+                sleep(wait)
+            last[0] = time.monotonic()
+            try:
+                return engine(data, mime_type)
+            except Exception:  # noqa: BLE001
+                if n + 1 == attempts:
+                    raise
+                sleep(pause * 2**n)
+        raise AssertionError
+
+    return call
+
+
+def hybrid_engine(line: Callable[[bytes, str], tuple[str, bool]], vision: Callable[[bytes, str, str], tuple[str, bool]]) -> Callable[[bytes, str], tuple[str, bool]]:
+    """The line recogniser's text guides the vision model; without any Khmer in it, or if the model gives nothing, it is the result."""
+
+    def call(data: bytes, mime_type: str) -> tuple[str, bool]:
+        read, _ = line(data, mime_type)
+        if not any("\u1780" <= c <= "\u17ff" or "\u19e0" <= c <= "\u19ff" for c in read):
+            return read, False
+        text, cut = vision(data, mime_type, read)
+        return (text, cut) if text.strip() else (read, False)
+
+    return call
+
+
+#: Image suffixes and their MIME types.
+IMAGES = {".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".webp": "image/webp"}
+
+
+def page_payload(images: list[tuple[str, bytes]], pdf: bytes, render: Callable[[bytes], bytes] | None = None) -> tuple[bytes, str]:
+    """What is sent of a page (data, MIME type): its single image of a known kind, else the page rendered as PNG, else the page itself."""
+    if len(images) == 1:
+        name, data = images[0]
+        kind = IMAGES.get("." + name.rsplit(".", 1)[-1].lower())
+        if kind and data:
+            return data, kind
+    if render is not None:
+        try:
+            return render(pdf), "image/png"
+        except Exception:  # noqa: BLE001
+            pass
+    return pdf, "application/pdf"
+
+
 def merge_transcripts(pages: DataFrame, transcripts: DataFrame) -> DataFrame:
     """Pages (page_id, text) with the transcript instead of the text where there is one; adds ``ocr``."""
     return pages.join(transcripts.select("page_id", "transcript"), "page_id", "left").select(

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions import plain
 from folioscan.functions.formulas import mask_latex, restored_length, unmask_latex
-from folioscan.functions.khmer import detect_language, looks_garbled, normalize_and_mark
+from folioscan.functions.khmer import detect_language, looks_garbled, normalize_and_mark, page_parts
 from folioscan.functions.vectors import Embedder
 from folioscan.operators.chunking import chunk_streams
 from folioscan.operators.ocr import merge_transcripts
 from folioscan.operators.search import batched_top_k, fit_results, restored_columns
 from folioscan.operators.structure import embedding_text, heading_streams, join_broken_words, join_streams, page_quality, remove_running_lines, running_lines
 from folioscan.plans.settings import Settings
+from folioscan.runtime import materialise
 
 
 def prepare_streams(sections: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def pages_to_sections(pages: DataFrame, transcripts: DataFrame | None = None) ->
 
     Pages whose text layer is garbled or blank and that have no transcript are dropped and counted in
     the warnings. Running lines are removed from the text layers; transcripts are Markdown, whose
-    heading path carries over from page to page. A document bounds its group.
+    heading path carries over from page to page; only page numbers and headings of a source are ordered.
     """
     merged = merge_transcripts(pages, transcripts) if transcripts is not None else pages.withColumn("ocr", F.lit(False))
     layers = merged.where(~F.col("ocr"))
@@ -44,19 +44,29 @@ def pages_to_sections(pages: DataFrame, transcripts: DataFrame | None = None) ->
     clean = remove_running_lines(kept, running_lines(kept)).withColumn("text", join_broken_words(F.col("text")))
     every = clean.select("source", "page", "text", "ocr").unionByName(merged.where("ocr").select("source", "page", "text", "ocr"))
 
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("page")
-        path: plain.Path = []
-        rows = []
-        for r in table.itertuples():
-            if r.ocr:
-                got, path = plain._sections(r.text, path)
-            else:
-                got = [{"text": r.text, "heading": plain.P.HEADING_SEPARATOR.join(t for _, t in path), "starts_heading": False}] if r.text.strip() else []
-            rows += [(r.source, g["text"], r.page, bool(r.ocr), g["heading"], g["starts_heading"]) for g in got]
-        return pd.DataFrame([(s, i, *rest) for i, (s, *rest) in enumerate(rows)], columns=["source", "seq", "text", "page", "ocr", "heading", "starts_heading"])
-
-    sections = every.groupBy("source").applyInPandas(run, "source string, seq int, text string, page int, ocr boolean, heading string, starts_heading boolean")
+    # each page is read by itself; the heading path at its beginning follows from the last headings of the pages before
+    parsed = every.select("source", "page", "ocr", F.when(F.col("ocr"), page_parts(F.col("text"))).otherwise(F.array(F.struct(F.col("text").alias("text"), F.lit(False).alias("starts_heading"), F.array().cast("array<struct<level:int,title:string>>").alias("path")))).alias("parts"))
+    parsed = materialise(parsed, "pages")
+    heads = parsed.select("source", "page", F.element_at("parts", -1).path.alias("path")).where(F.size("path") > 0)
+    before = Window.partitionBy("source").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    levels = parsed.select("source", "page").distinct().join(heads, ["source", "page"], "left")
+    top = F.array_min(F.transform("path", lambda x: x.level))
+
+    def standing(level: int) -> Column:
+        here = F.filter("path", lambda x: x.level == level)
+        # a heading of this level, or null where one of a lower level ends it
+        event = F.when(F.size(here) > 0, F.struct(F.lit(True).alias("on"), F.element_at(here, -1).title.alias("title"))).when(top < level, F.struct(F.lit(False).alias("on"), F.lit(None).cast("string").alias("title")))
+        return F.last(event, ignorenulls=True).over(before)
+
+    carried = levels.select("source", "page", *(standing(n).alias(f"h{n}") for n in range(1, 7)))
+    path = F.filter(F.array(*(F.when(F.col(f"h{n}.on"), F.struct(F.lit(n).alias("level"), F.col(f"h{n}.title").alias("title"))) for n in range(1, 7))), lambda x: x.isNotNull())
+    rows = parsed.join(carried.select("source", "page", path.alias("carried")), ["source", "page"]).select("source", "page", "ocr", "carried", F.posexplode("parts").alias("nth", "part"))
+    whole = F.concat(F.when(F.size("part.path") > 0, F.filter("carried", lambda x: x.level < F.array_min(F.transform("part.path", lambda y: y.level)))).otherwise(F.col("carried")), F.col("part.path"))
+    blank_part = F.regexp_replace("part.text", r"(?U)\s+", "") == ""
+    order = Window.partitionBy("source").orderBy("page", "nth")
+    sections = rows.where(~blank_part).select(
+        "source", (F.row_number().over(order) - 1).alias("seq"), F.col("part.text").alias("text"), "page", "ocr", F.array_join(F.transform(whole, lambda x: x.title), plain.P.HEADING_SEPARATOR).alias("heading"), F.col("part.starts_heading").alias("starts_heading")
+    )
     return sections, warnings
 
 

@@ -1,4 +1,4 @@
-"""Session helpers: shared checkpoint folder, written intermediate tables, unpartitioned counts."""
+"""Session helpers: shared checkpoint folder, written intermediate tables."""
 
 from __future__ import annotations
 
@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a private one is set only where that is unset (tests)."""
+    """Folder named by ``spark.checkpoint.dir``. Only a local session without one (tests) gets a private folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioscan-"))
     return spark.sparkContext.getCheckpointDir()
 

@@ -38,18 +38,23 @@ def detect_format(path: Column) -> Column:
     return F.element_at(known, F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)))
 
 
+def indexable(files: DataFrame, folder: str) -> DataFrame:
+    """Files of a folder with their relative path as source and their format, without hidden ones and unknown formats."""
+    root = re.sub(r"^file:/*", "/", folder).rstrip("/")
+    source = F.regexp_replace(F.col("path"), "^.*?" + re.escape(root) + "/+", "")
+    f = files.withColumn("source", source).where(~F.col("source").rlike(r"(^|/)\.")).withColumn("format", detect_format(F.col("source")))
+    return f.where(F.col("format").isNotNull())
+
+
 def discover_files(spark: SparkSession, folder: str, *, only: list[str] | None = None) -> DataFrame:
     """Files below a folder by relative path, without hidden ones: path, source, format, modificationTime, length, content.
 
-    ``only`` keeps paths that match any of the patterns. Contents are read by what uses them.
+    ``only`` keeps paths that match any of the patterns. Contents are read by what uses them, and nothing is sorted.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    root = re.sub(r"^file:/*", "/", folder).rstrip("/")
-    source = F.regexp_replace(F.col("path"), "^.*?" + re.escape(root) + "/+", "")
-    f = files.withColumn("source", source).where(~F.col("source").rlike(r"(^|/)\.")).withColumn("format", detect_format(F.col("source"))).where(F.col("format").isNotNull())
+    f = indexable(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder), folder)
     if only:
         f = f.where(F.exists(F.array(*(F.lit(glob_pattern(p)) for p in only)), lambda p: F.regexp_like(F.col("source"), p)))
-    return f.orderBy("source")
+    return f
 
 
 def decode_bytes(data: bytes) -> str:

@@ -12,27 +12,27 @@ from folioscan.functions.vectors import HashingEmbedder
 from folioscan.operators.index import ChunkIndex
 from folioscan.plans.pipeline import embedded_chunks, prepare_chunks
 from folioscan.plans.settings import Settings
-from folioscan.sources.files import detect_format, read_sections
+from folioscan.runtime import materialise
+from folioscan.sources.files import indexable, read_sections
 
 
 def file_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Files as they arrive: path, source, format, content."""
+    """Files as they arrive, by the rules of ``discover_files``: path, source (relative path), format, content."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
-    return files.withColumn("source", F.regexp_extract("path", r"([^/]+)$", 1)).withColumn("format", detect_format(F.col("source"))).where(F.col("format").isNotNull())
+    return indexable(spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder), folder)
 
 
 def ingest_batch(index: ChunkIndex, settings: Settings, errors: Callable[[DataFrame], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """Handler of one micro-batch. Replacing a source twice gives the same table, so a repeated batch does no harm."""
+    """Handler of one micro-batch. Replacing a source twice gives the same table, so a repeated batch does no harm. Sections and rows are written once."""
     embedder = HashingEmbedder(settings.hashing_dim)
 
     def handle(batch: DataFrame, _: int) -> None:
-        sections = read_sections(batch)
+        sections = materialise(read_sections(batch), "sections")
         if errors is not None:
             errors(sections.where(F.col("error").isNotNull()))
         good = sections.where(F.col("error").isNull())
         docs = good.groupBy("source").agg(F.first("format").alias("format"), F.lit("").alias("title"), F.collect_set(F.when(F.col("ocr"), F.col("page"))).alias("ocr_pages"))
-        rows = embedded_chunks(prepare_chunks(good, settings), docs, embedder)
+        rows = materialise(embedded_chunks(prepare_chunks(good, settings), docs, embedder), "rows")
         if not rows.isEmpty():
             index.replace_all(rows)
 

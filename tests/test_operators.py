@@ -220,7 +220,7 @@ def test_files(spark, tmp_path):
     (tmp_path / ".hidden/d.txt").write_text("no")
     (tmp_path / "e.xyz").write_text("no")
     found = files.discover_files(spark, str(tmp_path))
-    assert [(r.source, r.format) for r in found.select("source", "format").collect()] == [("a.md", "markdown"), ("sub/b.txt", "text"), ("sub/c.pdf", "pdf")]
+    assert [(r.source, r.format) for r in found.select("source", "format").orderBy("source").collect()] == [("a.md", "markdown"), ("sub/b.txt", "text"), ("sub/c.pdf", "pdf")]
     assert files.discover_files(spark, str(tmp_path), only=["s*.txt"]).count() == 1
     rows = {r.source: r for r in files.read_sections(found).collect()}
     assert rows["a.md"].heading == "T" and rows["sub/b.txt"].text == "សួស្តី" and "PDF" in rows["sub/c.pdf"].error
@@ -292,3 +292,89 @@ def test_sql_functions_and_models(spark):
     e = ModelEmbedder("multilingual-e5-small", 2, lambda: lambda texts: np.array([[len(t), 0] for t in texts]))
     got = spark.createDataFrame([("a",), (None,)], "t string").select(e.column(F.col("t"), query=True)).collect()
     assert got[0][0] == [1.0, 0.0] and got[1][0] is None
+
+
+def test_service(spark, tmp_path):
+    from folioscan.functions.vectors import HashingEmbedder
+    from folioscan.plans import generators
+    from folioscan.plans.service import NotFoundError, Service
+
+    settings = Settings(hashing_dim=64, score_threshold=0.05)
+    ix = index.ChunkIndex(spark, str(tmp_path / "ix"), "hashing-64", 64)
+    s = Service(spark, ix, generators.build_embedder("hashing", settings), generators.build_generator("auto"), settings)
+    assert s.ask("what is a limit?")["grounded"] is False
+    (tmp_path / "in/sub").mkdir(parents=True)
+    (tmp_path / "in/a.md").write_text("# Limits\nThe limit of $x^2$ is $0$.")
+    (tmp_path / "in/sub/a.md").write_text("# Vectors\nThe sum of vectors.")
+    (tmp_path / "in/.hidden.md").write_text("# No")
+    (tmp_path / "in/b.pdf").write_bytes(b"x")
+    r = s.ingest(str(tmp_path / "in"))
+    assert (r.sources, r.chunks, r.formulas, r.failed, r.skipped) == (2, 2, 2, 1, 0)
+    assert [x.source for x in s.list_sources().collect()] == ["a.md", "sub/a.md"]
+    before = ix.manifest()["parts"]
+    assert s.ingest_text("Matrices are tables of numbers.", "m.txt").chunks == 1
+    assert {b: p for b, p in ix.manifest()["parts"].items() if b in before and b not in ix.manifest()["counts"]} == {}
+    assert sum(p == before.get(b) for b, p in ix.manifest()["parts"].items()) >= 1  # other buckets stay
+    with pytest.raises(index.DuplicateSourceError):
+        s.ingest_text("again", "m.txt", replace=False)
+    assert s.ingest(str(tmp_path / "in"), skip_existing=True).skipped == 2
+    a = s.ask("the limit of $x^2$", sources=["a.md"])
+    assert a["grounded"] and a["provider"] == "extractive" and "$x^2$" in a["answer"] and a["results"][0].source == "a.md"
+    assert s.ask("the limit of $x^2$", generate=False)["answer"] is None
+    s.generator = generators.build_generator("echo", {"echo": lambda: generators.ModelGenerator("echo", "e1", lambda m: (m.upper(), "stop"))})
+    assert "<QUESTION>" in s.ask("the limit")["answer"]
+    assert s.delete_source("sub/a.md") == 1
+    with pytest.raises(NotFoundError):
+        s.delete_source("sub/a.md")
+    with pytest.raises(ValueError):
+        generators.build_generator("none")
+
+
+def test_index_count_is_checked(spark, tmp_path):
+    ix = index.ChunkIndex(spark, str(tmp_path / "ix"), "m", 2)
+    rows = [("i1", "a", [1.0, 0.0]), ("i2", "b", [0.0, 1.0])]
+    ix.add(spark.createDataFrame(rows, "id string, source string, embedding array<float>"))
+    assert ix.load().count() == 2
+    part = next(iter(ix.manifest()["parts"].values()))
+    for f in (tmp_path / "ix" / part).glob("*.parquet"):
+        f.unlink()
+    with pytest.raises(index.ChunkIndexError):
+        index.ChunkIndex(spark, str(tmp_path / "ix"), "m", 2).load()
+
+
+def test_transcription(spark, tmp_path):
+    calls = []
+
+    def flaky(data, mime):
+        calls.append(data)
+        if len(calls) < 3:
+            raise RuntimeError("busy")
+        return "ok", False
+
+    assert ocr.patient(flaky, attempts=3, pause=0, sleep=lambda s: None)(b"x", "image/png") == ("ok", False)
+    assert ocr.hybrid_engine(lambda d, m: ("plain", True), lambda d, m, t: ("never", False))(b"", "") == ("plain", False)
+    assert ocr.hybrid_engine(lambda d, m: ("ខ្មែរ", True), lambda d, m, t: (t + "!", True))(b"", "") == ("ខ្មែរ!", True)
+    assert ocr.page_payload([("p.PNG", b"i")], b"pdf") == (b"i", "image/png") and ocr.page_payload([], b"pdf") == (b"pdf", "application/pdf") and ocr.page_payload([], b"pdf", lambda p: b"r") == (b"r", "image/png")
+    cache = ocr.TranscriptCache(spark, str(tmp_path / "cache"))
+    pages = spark.createDataFrame([(1, bytearray(b"one"), "image/png"), (2, bytearray(b"two"), "image/png"), (3, bytearray(b"cut"), "image/png")], "page_id long, data binary, mime_type string")
+    pages = pages.withColumn("keys", ocr.vision_keys("2", ["1"], F.col("mime_type"), F.col("data")))
+
+    def engine(data, mime):
+        if data == b"two":
+            raise ValueError("bad")
+        return data.decode().upper(), data == b"cut"
+
+    first = {r.page_id: (r.transcript, r.truncated, r.error) for r in ocr.transcribe_cached(pages, engine, cache).collect()}
+    assert first[1] == ("ONE", False, None) and first[2][2] == "ValueError: bad" and first[3][:2] == ("CUT", True)
+    assert [r.transcript for r in cache.read().collect()] == ["ONE"]
+    again = {r.page_id: r.transcript for r in ocr.transcribe_cached(pages, lambda d, m: ("new", False), cache).collect()}
+    assert again == {1: "ONE", 2: "new", 3: "new"}
+
+
+def test_plugged_in_segmenter(spark):
+    from folioscan.functions import khmer, plain
+
+    assert plain.pieces("កខគ x", lambda run: [run[:2], run[2:]]) == ["កខ", "គ", " x"]
+    assert plain.pieces("កខ", lambda run: ["lost"]) == plain.pieces("កខ") == plain.pieces("កខ", lambda run: 1 / 0)
+    df = spark.createDataFrame([("កខគ",)], "t string")
+    assert df.select(khmer.segment_with(lambda run: [run])(F.col("t"))).first()[0] == ["កខគ"]
