@@ -4,8 +4,9 @@ Codes: two learned rotations of the vectors, each fitted on a bounded sample so
 with least error, give 128 sign bits. Tables: the code is split into substrings, each of which indexes
 all vectors. Two vectors meet in a table when their substrings differ in at most one bit. A substring has
 two halves, one of which must then be equal, so the rows of a table are shuffled by the value of either
-half and the other half is probed within one bit inside the task. Pairs that meet are kept if their whole
-codes are near enough, each pair by the first table that finds it, and are reranked by the exact cosine.
+half and the other half is probed within one bit inside the task. What is shuffled of a vector is its id,
+what the cell doesn't say of the substring, and a sketch: further bits of the code, which no table uses.
+Pairs that meet are kept if their sketches are near enough, and are reranked by the exact cosine.
 Rows of a substring value that many share, and those within one bit of it, are compared by the exact
 cosine in blocks, and each row's k nearest go on.
 
@@ -28,7 +29,7 @@ from folioscan.operators.search import batched_top_k
 from folioscan.runtime import materialise
 
 SAMPLE = 20_000
-WORDS = 2
+SKETCH = 80  # bits of the code that decide which pairs that meet are reranked
 DENSE = 256  # vectors of one substring value from which they are compared by cosine at once, and only the nearest of each go on
 BLOCK = 16_384  # rows of such a value that a task compares with each other
 CROWD = 1_000_000  # rows of one half value that a task takes; beyond them the value is split by bits of the other half
@@ -67,21 +68,34 @@ def meet_rate(width: int, similarity: float) -> float:
     return (1 - p) ** width + width * p * (1 - p) ** (width - 1)
 
 
-def layout(n: int, similarity: float, recall: float) -> tuple[int, int, int]:
-    """(width, tables, words of 64 bits). The width is even."""
+def layout(n: int, similarity: float, recall: float) -> tuple[int, int]:
+    """(width, tables). The width is even."""
     width = int(min(24, max(8, 2 * round((math.log2(max(n, 2)) - 4) / 2))))
     tables = math.ceil(math.log(1 - recall) / math.log(1 - meet_rate(width, similarity)))
-    return width, tables, max(WORDS, math.ceil(tables * width / 64))
+    return width, tables
 
 
-def encode(m: np.ndarray, rotations: list[np.ndarray]) -> np.ndarray:
-    """Codes as words of 64 bits; dimensions beyond the rotation are repeated by further rotations.
+def known_bits(n: int, width: int) -> int:
+    """How many bits of a half the cell of a row tells, so that a cell has some two million rows at most."""
+    return max(0, min(width // 2, math.ceil(math.log2(max(n, 1) / 2_000_000)))) if n > 2_000_000 else 0
+
+
+def shipped_bytes(n: int, similarity: float, recall: float) -> int:
+    """Bytes shuffled for each vector to find the candidates."""
+    width, tables = layout(n, similarity, recall)
+    rest = 2 if width - known_bits(n, width) <= 16 else 4
+    return 2 * tables * (4 + SKETCH // 8 + rest)
+
+
+def encode(m: np.ndarray, rotations: list[np.ndarray], used: int) -> tuple[np.ndarray, np.ndarray]:
+    """(code of ``used`` bits as words of 64 bits, sketch of the bits behind them as bytes); bits beyond the dimension come from further rotations.
 
     Not centred: a bit differs with the chance of flip_rate only if angles are taken from the origin.
     """
     bits = np.concatenate([(m @ r) > 0 for r in rotations], axis=1)
-    words = bits.shape[1] // 64
-    return np.packbits(bits[:, : words * 64], axis=1, bitorder="little").view(np.uint64)
+    code = np.zeros((len(m), -(-used // 64) * 64), bool)
+    code[:, :used] = bits[:, :used]
+    return np.packbits(code, axis=1, bitorder="little").view(np.uint64), np.packbits(bits[:, used : used + SKETCH], axis=1, bitorder="little")
 
 
 def substring(codes: np.ndarray, table: int, width: int) -> np.ndarray:
@@ -94,8 +108,9 @@ def substring(codes: np.ndarray, table: int, width: int) -> np.ndarray:
 
 
 def near(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
-    d = np.bitwise_count(x[:, 0] ^ y[:, 0]).astype(np.int16)
-    for w in range(1, x.shape[1]):
+    """Whether sketches, as columns of whole numbers, differ in at most ``radius`` bits."""
+    d = np.zeros(x.shape[0], np.int16)
+    for w in range(x.shape[1]):
         d += np.bitwise_count(x[:, w] ^ y[:, w])
     return d <= radius
 
@@ -107,15 +122,15 @@ def ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n), who
 
 
-def half_pairs(ids: np.ndarray, codes: np.ndarray, home: np.ndarray, table: int, half: int, width: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs among rows grouped by one half of a substring, whose other half differs in at most one bit: (a, b, -1).
+def half_pairs(ids: np.ndarray, sub: np.ndarray, sketch: np.ndarray, home: np.ndarray, table: int, half: int, width: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs among rows grouped by one half of their substrings ``sub``, whose other half differs in at most one bit: (a, b, -1).
 
     Pairs with a row of a crowded substring value are left to an exact search: (id, whether it has the
     value itself, unit) says that the id takes part in the search of this value. Pairs of two visitors
-    (not ``home``) are left to other tasks, and those that an earlier table finds to it.
+    (not ``home``) are left to other tasks, and those whose halves are both equal to the first half.
     """
     h = width // 2
-    sub = substring(codes, table, width)
+    codes = np.ascontiguousarray(np.pad(sketch, ((0, 0), (0, -sketch.shape[1] % 8)))).view(np.uint64)
     same, other = (sub & ((1 << h) - 1), sub >> h) if half == 0 else (sub >> h, sub & ((1 << h) - 1))
     key = (same << h) | other
     order = np.lexsort((codes[:, 0], ids, key))
@@ -156,8 +171,9 @@ def half_pairs(ids: np.ndarray, codes: np.ndarray, home: np.ndarray, table: int,
             left = rows[i:j][who]
             k = near(codes[left], codes[right], radius) & (home[left] | home[right])
             left, right = left[k], right[k]
-            k = ~earlier(codes[left], codes[right], table, half, width)
-            left, right = left[k], right[k]
+            if half == 1:
+                k = ((sub[left] ^ sub[right]) & ((1 << h) - 1)) != 0  # else the first half finds it
+                left, right = left[k], right[k]
             yield ids[left], ids[right], np.full(len(left), -1)
             i = j
     unit = table << 32 | sub[first]
@@ -167,16 +183,6 @@ def half_pairs(ids: np.ndarray, codes: np.ndarray, home: np.ndarray, table: int,
         yield ids[rows], np.full(len(rows), own), unit[whose][who]
 
 
-def earlier(x: np.ndarray, y: np.ndarray, table: int, half: int, width: int) -> np.ndarray:
-    """Whether an earlier table, or the other half of this one, finds the pair too."""
-    h, out = width // 2, np.zeros(len(x), bool)
-    for t in range(table):
-        out |= np.bitwise_count(substring(x, t, width) ^ substring(y, t, width)) <= 1
-    if half == 1:  # the first half finds it if it is equal
-        out |= ((substring(x, table, width) ^ substring(y, table, width)) & ((1 << h) - 1)) == 0
-    return out
-
-
 def best_within(left: np.ndarray, right: np.ndarray, left_ids: np.ndarray, right_ids: np.ndarray, left_own: np.ndarray, right_own: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The k most similar rows of ``right`` (sorted by id) for every row of ``left``, by exact cosine; pairs of which neither is ``own`` are left out."""
     for i in range(0, len(left), 256):
@@ -275,15 +281,14 @@ def neighbours(
     share = min(1.0, 1.3 * sample / n)
     fit = good.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
     m = matrix(fit.column("v").combine_chunks(), dim)
-    width, tables, words = layout(n, min_similarity, recall)
-    need = math.ceil(words * 64 / dim)
+    width, tables = layout(n, min_similarity, recall)
+    used = tables * width
     # rotations are drawn afresh for each block of bits
-    rotations = [learn_rotation(m, 100 + r) for r in range(need)]
-    bits = words * 64
+    rotations = [learn_rotation(m, 100 + r) for r in range(math.ceil((used + SKETCH) / dim))]
     p = flip_rate(min_similarity)
-    radius = int(bits * p + 2.6 * math.sqrt(bits * p * (1 - p)))
+    radius = int(SKETCH * p + 2.6 * math.sqrt(SKETCH * p * (1 - p)))
     h = width // 2
-    parts = 1 << max(0, min(h, math.ceil(math.log2(max(n, 1) / 2_000_000)) if n > 2_000_000 else 0))
+    known = known_bits(n, width)
 
     # groups of equal vectors with many more than k distinct keys are indexed by their lowest key
     groups = good.select("id", copy.alias("copy")).distinct().groupBy("copy").agg(F.count("*").alias("n"), F.min("id").alias("rep")).where(F.col("n") > 8 * (k + 1))
@@ -303,7 +308,7 @@ def neighbours(
         counts = np.zeros((tables * 2, 1 << h), np.int64)
         for b in batches:
             if b.num_rows:
-                codes = encode(matrix(b.column(0), dim), rotations)
+                codes, _ = encode(matrix(b.column(0), dim), rotations, used)
                 for t in range(tables):
                     for half in (0, 1):
                         counts[2 * t + half] += np.bincount(half_values(codes, t, half), minlength=1 << h)
@@ -316,48 +321,72 @@ def neighbours(
     for slot, bits_ in crowded.items():
         split[slot >> h, slot & ((1 << h) - 1)] = bits_
 
+    small = width - known <= 16
+
+    def rest_of(sub: np.ndarray, half: int) -> np.ndarray:
+        """The substring without the bits that the cell tells: the low ``known`` ones of the half."""
+        return sub >> known if half == 0 else (sub >> (h + known)) << h | (sub & ((1 << h) - 1))
+
+    def whole_of(rest: np.ndarray, half: int, told: int) -> np.ndarray:
+        return rest << known | told if half == 0 else ((rest >> h) << known | told) << h | (rest & ((1 << h) - 1))
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             ids = b.column(0).to_numpy()
-            codes = encode(matrix(b.column(1), dim), rotations)
-            cells, blobs, sizes = [], [], []
+            base_id = int(ids.min())
+            near_ids = int(ids.max()) - base_id < 1 << 32
+            ids = (ids - base_id).astype(np.uint32) if near_ids else ids
+            codes, sketch = encode(matrix(b.column(1), dim), rotations, used)
+            cells, blobs, sizes, bases = [], [], [], []
 
-            def put(cell: np.ndarray, rows: np.ndarray, home: np.ndarray) -> None:
+            def put(cell: np.ndarray, rows: np.ndarray, rest: np.ndarray, home: np.ndarray | None) -> None:
                 order = np.argsort(cell, kind="stable")
-                cell, rows, home = cell[order], rows[order], home[order]
+                cell, rows, rest = cell[order], rows[order], rest[order].astype(np.uint16 if small else np.uint32)
                 cuts = np.r_[np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]), len(cell)] if len(cell) else [0]
                 for a, z in zip(cuts[:-1], cuts[1:], strict=True):
                     cells.append(int(cell[a]))
                     sizes.append(int(z - a))
-                    blobs.append(ids[rows[a:z]].astype(np.int64).tobytes() + codes[rows[a:z]].tobytes() + home[a:z].tobytes())
+                    bases.append(base_id if near_ids else None)
+                    blobs.append(ids[rows[a:z]].tobytes() + sketch[rows[a:z]].tobytes() + rest[a:z].tobytes() + (b"" if home is None else home[order[a:z]].tobytes()))
 
             for t in range(tables):
+                sub = substring(codes, t, width)
                 for half in (0, 1):
                     value = half_values(codes, t, half)
                     base, hot = (2 * t + half) << 40, split[2 * t + half][value]
+                    rest = rest_of(sub, half)
                     plain = np.flatnonzero(hot == 0)
-                    put(base | (value[plain] & (parts - 1)), plain, np.ones(len(plain), bool))
+                    put(base | (value[plain] & ((1 << known) - 1)), plain, rest[plain], None)
                     some = np.flatnonzero(hot)
                     if len(some):
                         r, where, home = pieces(half_values(codes[some], t, 1 - half), hot[some])
-                        put(base | 1 << 39 | value[some[r]] << 13 | where, some[r], home)
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())], names=["cell", "n", "rows"])
+                        put(base | 1 << 39 | value[some[r]] << 13 | where, some[r], rest[some[r]], home)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cells, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bases, pa.int64()), pa.array(blobs, pa.binary())], names=["cell", "n", "base", "rows"]
+            )
 
     def meet(table: pa.Table) -> pa.Table:
-        cell = table.column("cell")[0].as_py() >> 40
-        ids, codes, home = [], [], []
-        for n_rows, blob in zip(table.column("n").to_pylist(), table.column("rows").to_pylist(), strict=True):
-            ids.append(np.frombuffer(blob, np.int64, n_rows))
-            codes.append(np.frombuffer(blob, np.uint64, n_rows * words, offset=8 * n_rows).reshape(n_rows, words))
-            home.append(np.frombuffer(blob, np.bool_, n_rows, offset=8 * n_rows * (words + 1)))
-        got = list(half_pairs(np.concatenate(ids), np.concatenate(codes), np.concatenate(home), cell // 2, cell % 2, width, radius))
+        cell = table.column("cell")[0].as_py()
+        t, half, hot = (cell >> 40) // 2, (cell >> 40) % 2, bool(cell >> 39 & 1)
+        told = (cell >> 13 if hot else cell) & ((1 << known) - 1)
+        ids, rest, sketch, home = [], [], [], []
+        for k, base_id, blob in zip(*(table.column(c).to_pylist() for c in ("n", "base", "rows")), strict=True):
+            kind, size = (np.int64, 8) if base_id is None else (np.uint32, 4)
+            ids.append(np.frombuffer(blob, kind, k).astype(np.int64) + (base_id or 0))
+            at = size * k
+            sketch.append(np.frombuffer(blob, np.uint8, k * SKETCH // 8, offset=at).reshape(k, SKETCH // 8))
+            at += k * SKETCH // 8
+            rest.append(np.frombuffer(blob, np.uint16 if small else np.uint32, k, offset=at).astype(np.int64))
+            at += k * (2 if small else 4)
+            home.append(np.frombuffer(blob, np.bool_, k, offset=at) if hot else np.ones(k, bool))
+        got = list(half_pairs(np.concatenate(ids), whole_of(np.concatenate(rest), half, told), np.concatenate(sketch), np.concatenate(home), t, half, width, radius))
         a, b, unit = (np.concatenate(z).astype(np.int64) for z in zip(*got, strict=True))
         pair = unit < 0
         return pa.table({"a": np.where(pair, np.minimum(a, b), a), "b": np.where(pair, np.maximum(a, b), b), "unit": unit})
 
-    cells = indexed.mapInArrow(spread, "cell long, n int, rows binary")
+    cells = indexed.mapInArrow(spread, "cell long, n int, base long, rows binary")
     met = cells.groupBy("cell").applyInArrow(meet, "a long, b long, unit long").where("a <> b OR unit >= 0").distinct()
     met = materialise(met, "candidates")
     pairs = met.where("unit < 0").select("a", "b")

@@ -76,11 +76,13 @@ def test_split_half_values_lose_no_pair():
                 assert met == 1 or (a ^ b).bit_count() > 1
 
 
-def test_neighbours_split_as_unsplit(spark):
+def test_neighbours_split_as_unsplit(spark, monkeypatch):
     x = crowd(9, 300, 64, 3, 0.35)
-    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], VEC)
+    df = spark.createDataFrame([((i << 33) + i, v.tolist(), "x") for i, v in enumerate(x)], VEC)
     plain, split = ({tuple(r) for r in neighbours.neighbours(df, crowd=c).collect()} for c in (1_000_000, 20))
     assert plain == split
+    monkeypatch.setattr(neighbours, "known_bits", lambda n, width: 3)  # cells tell a part of the substrings, as in large tables
+    assert {tuple(r) for r in neighbours.neighbours(df, crowd=20).collect()} == plain
 
 
 def test_neighbours_of_repeated_rows(spark):
@@ -114,8 +116,10 @@ def test_neighbours_copies(spark):
 
 def test_layout_grows_with_the_table():
     for n in (1_000, 1_000_000, 1_000_000_000):
-        width, tables, words = neighbours.layout(n, 0.85, 0.92)
-        assert 1 - (1 - neighbours.meet_rate(width, 0.85)) ** tables >= 0.92 and words * 64 >= width * tables
+        width, tables = neighbours.layout(n, 0.85, 0.92)
+        assert 1 - (1 - neighbours.meet_rate(width, 0.85)) ** tables >= 0.92
+    # what finds the candidates among 82.5 million vectors of 64 numbers, some 30 GB as a table, is less than four times their size
+    assert neighbours.shipped_bytes(82_500_000, 0.85, 0.92) <= 4 * 256
 
 
 SIZED = "doc_id long, size long, container string"
