@@ -1,10 +1,11 @@
 """Noise in text from scanned pages: furniture, broken words, misread characters.
 
 Running headers and page numbers are found per source from what stands at the edges of its pages. Words
-are corrected by a noisy channel: the fixed confusions of recognisers give candidate words, each weighed
-by the chance of its confusions and by word and word-pair counts over all sections, and Viterbi picks
-the best sequence of each line. Khmer has no spaces, so a run of Khmer letters is one that the known
-words must cover, if need be after undoing confusions.
+are corrected by a noisy channel. Which characters recognisers take for which is a fixed table; how often
+each happens is estimated from the corpus by expectation and maximisation over all its words. The channel,
+word and word-pair counts weigh the word as read against all words it may have been, and Viterbi picks the
+best sequence of each line. Khmer has no spaces, so there Viterbi picks the words of a run as well, with
+and without confusions, and an unknown character where no word fits.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscan.llm.counting import most_frequent
 from folioscan.runtime import materialise
 
 WORDS = 200_000
@@ -30,9 +32,14 @@ KHMER_WORDS = 50_000
 CONFUSIONS = (("c", "e"), ("0", "o"), ("f", "t"), ("ri", "n"), ("l", "i"), ("1", "l"), ("5", "s"), ("ii", "u"), ("cl", "d"), ("rn", "m"), ("b", "h"), ("9", "g"), ("vv", "w"), ("@", "a"), ("8", "b"), ("1", "i"), ("6", "b"), ("q", "g"))
 KHMER_CONFUSIONS = {"ឆ": "ន", "គ": "ត", "ឃ": "ប", "ញ": "ព", "ល": "ស", "ថ": "ច"}
 BREAK_MARKS = "-‐­¬"
-CHANNEL = math.log(0.004)
-#: A form seen this often against its candidate's count is a word of its own.
-OWN_WORD = 0.02
+FIRST_GUESS = 0.004  # chance of a confusion before any is counted
+ROUNDS = 3  # of expectation and maximisation
+UNSEEN = 1e-4  # count of a word that the model does not have
+#: What an occurrence in a scan, which may be misread itself, is worth against one in other text.
+SCANNED = 0.02
+LESS = math.log(0.7)
+SLACK = 30.0  # how much a word pair may speak for a word beyond its own count
+UNKNOWN = 1e-6  # chance of a Khmer character that belongs to no known word
 
 LATIN = re.compile(r"@?[^\W_ក-៿]+(?:@[^\W_ក-៿]*)*(?:[-‐][^\W_ក-៿]+)*")
 KHMER = re.compile(r"[ក-៓ៗ៝]+")
@@ -95,59 +102,125 @@ def edges(texts: DataFrame) -> DataFrame:
     return texts.select("section_id", "source", "page", "text").mapInArrow(run, "source string, section_id long, kind string, key string")
 
 
-def furniture(texts: DataFrame, *, share: float = 0.2, most_sources: int = 3) -> DataFrame:
+def furniture(texts: DataFrame, *, share: float = 0.2, mostly: float = 0.5) -> DataFrame:
     """One row a source: its running lines (keys) and the commonest distance of bare edge numbers from the page.
 
-    A running line stands at the edge of at least two pages and of the given share of its source's pages;
-    lines of more than ``most_sources`` sources are headings. At most 4 / share keys a source remain.
+    A running line stands at the edge of at least two pages and of the given share of its source's pages, and
+    does so in most of the sources where it stands at an edge at all: what stands once in many sources is
+    a heading. At most 4 / share keys a source remain.
     """
     e = edges(texts).groupBy("source", "section_id", "kind", "key").agg(F.lit(1).alias("i"))  # repeated rows count once
     counts = materialise(e.groupBy("source", "kind", "key").agg(F.count("*").alias("n")), "edges")
     pages = counts.where("kind = 'page'").select("source", F.col("n").alias("pages"))
-    wide = counts.where("kind = 'edge'").groupBy("key").agg(F.count("*").alias("sources"), F.max("n").alias("most")).where((F.col("sources") <= most_sources) & (F.col("most") > 1)).select("key")
-    lines = counts.where("kind = 'edge' AND n > 1").join(wide, "key").join(pages, "source").where((F.col("n") >= 2) & (F.col("n") >= share * F.col("pages")))
+    edges_ = counts.where("kind = 'edge'").join(pages, "source").withColumn("runs", (F.col("n") >= 2) & (F.col("n") >= share * F.col("pages")))
+    known = edges_.groupBy("key").agg(F.count("*").alias("sources"), F.count_if("runs").alias("running")).where((F.col("running") > 0) & (F.col("running") >= mostly * F.col("sources"))).select("key")
+    lines = edges_.where("runs").join(known, "key")
     headers = lines.groupBy("source").agg(F.collect_list("key").alias("headers"))
     numbers = counts.where("kind = 'number' AND n > 1").join(pages, "source").where(F.col("n") >= share / 10 * F.col("pages")).groupBy("source").agg(F.max_by(F.col("key").cast("int"), F.struct("n", "key")).alias("distance"))
     return pages.select("source").join(headers, "source", "left").join(numbers, "source", "left")
 
 
-def language_counts(texts: DataFrame, words: int, pairs: int, khmer: int) -> dict[str, dict]:
-    """Counts over all sections: words, word pairs and Khmer words, the most frequent of each up to its bound."""
+class Model:
+    """Counts of words (all, and in text that was not scanned), word pairs and Khmer words, and the chances of the confusions."""
+
+    def __init__(self, words: dict[str, tuple[int, int]], pairs: dict[str, tuple[int, int]], khmer: dict[str, tuple[int, int]]):
+        self.words, self.pairs, self.khmer = words, pairs, khmer
+        self.latin_chances = dict.fromkeys(CONFUSIONS, FIRST_GUESS)
+        self.khmer_chances = dict.fromkeys(KHMER_CONFUSIONS.items(), FIRST_GUESS)
+
+
+def worth(counts: tuple[int, int] | None) -> float:
+    """What the counts of a word (all, not scanned) say for it as a printed word."""
+    return counts[1] + SCANNED * (counts[0] - counts[1]) + UNSEEN if counts else UNSEEN
+
+
+def undone(word: str, pairs: Iterator[tuple[str, str]]) -> Iterator[tuple[str, tuple[str, str]]]:
+    """The forms that one confusion turns into this word."""
+    for pair in pairs:
+        read, printed = pair
+        i = word.find(read)
+        while i >= 0:
+            yield word[:i] + printed + word[i + len(read) :], pair
+            i = word.find(read, i + 1)
+
+
+def expected(word: str, scanned: int, words: dict[str, tuple[int, int]], chances: dict[tuple[str, str], float], out: Counter) -> None:
+    """Add to ``out`` how many of the scanned occurrences of a word are expected to come from each confusion, and how often each could have happened."""
+    if not scanned:
+        return
+    for pair in chances:
+        if pair[1] in word:
+            out["could", pair] += scanned * word.count(pair[1])
+    own = worth(words.get(word))
+    ways = [(pair, worth(words[f]) * chances[pair]) for f, pair in undone(word, chances) if f in words]
+    total = own + sum(x for _, x in ways)
+    for pair, x in ways:
+        out["did", pair] += scanned * x / total
+
+
+def learn(texts: DataFrame, words: int, pairs: int, khmer: int) -> Model:
+    """The model over all sections (text, ocr): the most frequent words, pairs and Khmer words up to their bounds; the confusions from all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             w, p, k = Counter(), Counter(), Counter()
-            for text in b.column(0).to_pylist():
+            for text, scan in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = LATIN.findall(text.lower().replace("‐", "-"))
-                w.update(found)
-                p.update(zip(found, found[1:], strict=False))
-                if 12 * text.count("​") > len(text):  # words are marked throughout
-                    k.update(KHMER.findall(text))
-            rows = [("w", x, n) for x, n in w.items()] + [("p", f"{x} {y}", n) for (x, y), n in p.items()] + [("k", x, n) for x, n in k.items()]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["kind", "token", "n"])
-
-    counts = texts.select("text").mapInArrow(run, "kind string, token string, n long").groupBy("kind", "token").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "token"))
-    bound = F.when(F.col("kind") == "w", words).when(F.col("kind") == "k", khmer).otherwise(pairs)
-    kept = counts.where("n > 1").withColumn("rank", rank).where(F.col("rank") <= bound).select("kind", "token", "n").toArrow()
-    out: dict[str, dict] = {"w": {}, "p": {}, "k": {}}
-    for kind, token, n in zip(*(kept.column(i).to_pylist() for i in range(3)), strict=True):
-        out[kind][token] = n
-    return out
+                w.update((x, scan) for x in found)
+                p.update((x, y, scan) for x, y in zip(found, found[1:], strict=False))
+                if 12 * text.count("\u200b") > len(text):  # words are marked throughout
+                    k.update((x, scan) for x in KHMER.findall(text))
+            rows = [("w", x, n, 0 if s else n) for (x, s), n in w.items()] + [("p", f"{x} {y}", n, 0 if s else n) for (x, y, s), n in p.items()] + [("k", x, n, 0 if s else n) for (x, s), n in k.items()]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["kind", "token", "n", "plain"])
+
+    spark = texts.sparkSession
+    counts = texts.select("text", "ocr").mapInArrow(run, "kind string, token string, n long, plain long").groupBy("kind", "token").agg(F.sum("n").alias("n"), F.sum("plain").alias("plain"))
+    counts = materialise(counts, "words")
+    kept = most_frequent(counts.where("n > 1"), {"w": words, "p": pairs, "k": khmer}, "token", written=True).toArrow()  # bounded by the three
+    known: dict[str, dict] = {"w": {}, "p": {}, "k": {}}
+    for kind, token, n, plain in zip(*(kept.column(i).to_pylist() for i in range(4)), strict=True):
+        known[kind][token] = (n, plain)
+    top = max((n for n, _ in known["k"].values()), default=0)
+    model = Model(known["w"], known["p"], {w: c for w, c in known["k"].items() if c[1] * 2000 >= top or c[0] * 500 >= top} | {"ទំព័រ": (1, 1)})
+    singles = counts.where("kind <> 'p'")
+    for _ in range(ROUNDS):
+        sent = spark.sparkContext.broadcast(model)
+
+        def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m, out = sent.value, Counter()  # noqa: B023
+            for b in batches:
+                for kind, token, n, plain in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                    expected(token, n - plain, m.words if kind == "w" else m.khmer, m.latin_chances if kind == "w" else m.khmer_chances, out)
+            rows = [(what, *pair, float(x)) for (what, pair), x in out.items()]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.float64())], names=["what", "read", "printed", "n"])
+
+        sums = {(r["what"], (r["read"], r["printed"])): r["n"] for r in singles.mapInArrow(expect, "what string, read string, printed string, n double").groupBy("what", "read", "printed").agg(F.sum("n").alias("n")).collect()}  # two rows a confusion
+        for chances in (model.latin_chances, model.khmer_chances):
+            for pair in chances:
+                chances[pair] = min(0.2, max(1e-5, (sums.get(("did", pair), 0.0) + 1) / (sums.get(("could", pair), 0.0) + 1 / FIRST_GUESS)))
+        sent.unpersist()
+    return model
 
 
 class Reader:
-    """Line repair with the language counts; made once in each Python worker."""
-
-    def __init__(self, counts: dict[str, dict]):
-        self.words, self.pairs = counts["w"], counts["p"]
-        self.total = sum(self.words.values()) + 1
-        top = max(counts["k"].values(), default=0)
-        self.khmer = {w: n for w, n in counts["k"].items() if n >= max(2, top / 2000)} | {"ទំព័រ": 1}
-        self.longest = max(map(len, self.khmer), default=1)
+    """Line repair with a model; made once in each Python worker."""
+
+    def __init__(self, model: Model):
+        self.words, self.pairs = model.words, model.pairs
+        self.total = sum(worth(c) for c in self.words.values()) + 1
+        self.most = max(map(worth, self.words.values()), default=1.0)
+        self.chances = {p: math.log(x) for p, x in model.latin_chances.items()}
+        self.likeliest = max(model.latin_chances.values())
+        khmer_total = sum(worth(c) for c in model.khmer.values()) + 1
+        self.khmer = {w: math.log(worth(c) / khmer_total) for w, c in model.khmer.items()}
+        self.khmer_chances: dict[str, list[tuple[str, float]]] = {}
+        for (read, printed), x in model.khmer_chances.items():
+            self.khmer_chances.setdefault(read, []).append((printed, math.log(x)))
+        foreign = [(c, math.log(1 / 40)) for c in "កខគឃងចឆជឈញដឋឌឍណតថទធនបផពភមយរលវសហឡអ"]
+        self.khmer_chances |= {c: foreign for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"} | {":": [("ៈ", math.log(0.5))]}
         self.prefixes = {w[:i] for w in self.khmer for i in range(1, len(w) + 1)}
-        self.words_of_two = {w for w in self.khmer if len(w) > 1}  # single letters stand anywhere
         self.auto = ahocorasick.Automaton()
         for w in self.khmer:
             self.auto.add_word(w, len(w))
@@ -155,42 +228,42 @@ class Reader:
         self.memo: dict[str, list[tuple[str, float]]] = {}
 
     def candidates(self, word: str) -> list[tuple[str, float]]:
-        """Words that may have been read as this one, with the log chance of the confusions; the word itself first."""
+        """The word itself and all known words that may have been read as it, with the log chance of their confusions.
+
+        Two confusions are tried only where the likeliest ones and the commonest word could outweigh the word as read.
+        """
         done = self.memo.get(word)
         if done is not None:
             return done
-        own = self.words.get(word, 0)
-        out = [(word, 0.0)]
-        seen = {word}
-        level = [(word, 0.0)]
-        for _ in range(2):
-            following = []
-            for form, cost in level:
-                for read, printed in CONFUSIONS:
-                    i = form.find(read)
-                    while i >= 0:
-                        f = form[:i] + printed + form[i + len(read) :]
-                        if f not in seen:
-                            seen.add(f)
-                            following.append((f, cost + CHANNEL))
-                        i = form.find(read, i + 1)
-            hits = [(f, c) for f, c in following if self.words.get(f, 0) * OWN_WORD > own and self.words[f] > 3]
-            if hits:
-                out = [(word, -20.0), *hits]  # hardly a word of its own beside them
-            if hits or own > 3:
+        own = worth(self.words.get(word))
+        best = {word: 0.0}
+        level = {word: 0.0}
+        for n in (1, 2):
+            if self.most * self.likeliest**n * SLACK < own:
                 break
-            level = following[:400]
+            following: dict[str, float] = {}
+            for form, cost in level.items():
+                for f, pair in undone(form, self.chances):
+                    c = cost + self.chances[pair]
+                    if c > following.get(f, -1e9):
+                        following[f] = c
+            for f, c in following.items():
+                if f in self.words and c > best.get(f, -1e9):
+                    best[f] = c
+            level = following
+        out = list(best.items())
         if len(self.memo) < 500_000:
             self.memo[word] = out
         return out
 
     def score(self, word: str, before: str | None) -> float:
-        n = self.words.get(word, 0)
-        uni = math.log((n + 0.01) / self.total)
+        uni = math.log(worth(self.words.get(word)) / self.total)
         if before is None:
             return uni
-        pair = self.pairs.get(f"{before} {word}", 0)
-        return math.log(0.3 * pair / max(self.words.get(before, 1), 1) + 0.7 * math.exp(uni))
+        pair = self.pairs.get(f"{before} {word}")
+        if pair is None:
+            return uni + LESS
+        return math.log(0.3 * worth(pair) / max(worth(self.words.get(before)), worth(pair)) + 0.7 * math.exp(uni))
 
     def viterbi(self, words: list[str]) -> list[str]:
         """The most likely printed words of a line."""
@@ -206,21 +279,6 @@ class Reader:
             best = nxt
         return max(best, key=lambda x: x[0])[1]
 
-    def ends(self, run: str, ok: bytearray, start: int) -> int:
-        """Mark in ``ok`` where known Khmer words end that follow marked places from ``start`` on; the furthest place."""
-        n, words, prefixes = len(run), self.khmer, self.prefixes
-        far = 0
-        for i in range(start, n):
-            if ok[i]:
-                far = i
-                for j in range(i + 1, n + 1):
-                    part = run[i:j]
-                    if part not in prefixes:
-                        break
-                    if part in words:
-                        ok[j] = 1
-        return n if ok[n] else far
-
     def covered(self, run: str) -> bool:
         """Whether the longest known words, taken from the left, cover the run."""
         got = 0
@@ -231,57 +289,42 @@ class Reader:
         return got == len(run)
 
     def khmer_run(self, run: str) -> str:
-        """The run with its misread characters undone where known words cover more of it then; unknown words are passed over."""
-        if not self.khmer or self.covered(run):
+        """The likeliest words of the run, read with or without confusions, over all its characters; characters of no word stay."""
+        if not self.khmer or self.covered(run):  # nothing to repair
             return run
         n = len(run)
-        ok = bytearray(n + 1)
-        ok[0] = 1
-        far = self.ends(run, ok, 0)
-        while far < n:
-            best = (far, None, None)
-            for i in range(max(0, far - 3), min(n, far + self.longest + 1)):
-                c = run[i]
-                if c in KHMER_CONFUSIONS:
-                    options = KHMER_CONFUSIONS[c]
-                elif c == ":":
-                    options = "ៈ"
-                elif c.isascii():
-                    options = "កខគឃងចឆជឈញដឋឌឍណតថទធនបផពភមយរលវសហឡអ"
-                else:
-                    continue
-                for o in options:
-                    trial = run[:i] + o + run[i + 1 :]
-                    mine = ok[: i + 1] + bytearray(n - i)  # ends before the change stay
-                    r = self.ends(trial, mine, max(0, i - self.longest))
-                    if r > best[0] and r > i:
-                        best = (r, trial, mine)
-                    if r == n:
-                        break
-                if best[0] == n:
-                    break
-            if best[1] is not None:
-                far, run, ok = best
-                continue
-            # no change carries on: an unknown word, behind which the nearest known words go on
-            start = next((i for i in range(far + 1, n) if self.known_from(run, i)), n)
-            if start == n:
-                break
-            ok[start] = 1
-            far = self.ends(run, ok, start)
-        return run
-
-    def known_from(self, run: str, at: int) -> bool:
-        """Whether two known words, or one up to the end, stand at this place."""
-        for j in self.word_ends(run, at):
-            if j == len(run) or any(True for _ in self.word_ends(run, j)):
-                return True
-        return False
-
-    def word_ends(self, run: str, at: int) -> Iterator[int]:
-        for j in range(at + 1, min(len(run), at + self.longest) + 1):
-            if run[at:j] in self.words_of_two:
-                yield j
+        best = [0.0] + [-1e9] * n
+        back: list[tuple[int, str]] = [(0, "")] * (n + 1)
+        alone = math.log(UNKNOWN)
+        prefixes, words, confusions = self.prefixes, self.khmer, self.khmer_chances
+        for i in range(n):
+            s = best[i]
+            if s + alone > best[i + 1]:
+                best[i + 1], back[i + 1] = s + alone, (i, run[i])
+            open_ = [("", 0.0)]
+            j = i
+            while open_ and j < n:
+                c = run[j]
+                j += 1
+                longer = []
+                for part, cost in open_:
+                    p = part + c
+                    if p in prefixes:
+                        longer.append((p, cost))
+                    for o, x in confusions.get(c, ()):
+                        p = part + o
+                        if p in prefixes and cost + x > alone:  # beyond that the characters are unknown
+                            longer.append((p, cost + x))
+                open_ = longer
+                for p, cost in open_:
+                    w = words.get(p)
+                    if w is not None and s + w + cost > best[j]:
+                        best[j], back[j] = s + w + cost, (i, p)
+        out = []
+        while n:
+            n, part = back[n]
+            out.append(part)
+        return "".join(out[::-1])
 
     def khmer_line(self, line: str) -> tuple[str, bool]:
         wrong = False
@@ -370,9 +413,8 @@ def repair(text: str, page: int | None, headers: list[str], distance: int | None
         if head and words:
             first = 1  # the second half of a broken word is judged as a whole
             whole = head[0].lower() + words[0]
-            best = reader.candidates(whole)
-            if len(best) > 1 and best[1][0] != whole:
-                good = best[1][0]
+            good = reader.viterbi([whole])[0]
+            if good != whole:
                 cut = len(head[0])
                 if good[:cut] != whole[:cut] and good[: cut - 1] != whole[: cut - 1]:
                     found.append((head[1], "misread"))
@@ -431,13 +473,12 @@ def _break(left: str, mark: str, following: str | None, reader: Reader) -> bool:
     if not m:
         return low not in words
     right = m.group(1).lower().replace("‐", "-")
-    joined, kept = words.get(low + right, 0), words.get(f"{low}-{right}", 0)
+    joined, kept = words.get(low + right, (0, 0))[0], words.get(f"{low}-{right}", (0, 0))[0]
     if joined or kept:
         return joined >= kept
-    if len(reader.candidates(low + right)) > 1:
-        return True
-    if len(reader.candidates(f"{low}-{right}")) > 1:
-        return False
+    for form, is_break in ((low + right, True), (f"{low}-{right}", False)):
+        if reader.viterbi([form])[0] != form:
+            return is_break
     return low.rsplit("-", 1)[-1] not in words or right not in words
 
 
@@ -474,12 +515,12 @@ def repair_scans(sections: DataFrame, *, words: int = WORDS, pairs: int = PAIRS,
     """
     spark = sections.sparkSession
     rows = sections.select(F.col("section_id").cast("long").alias("section_id"), F.coalesce("source", F.lit("")).alias("source"), F.col("page").cast("int").alias("page"), F.coalesce("ocr", F.lit(False)).alias("ocr"), "text").where(F.col("section_id").isNotNull() & F.col("text").isNotNull())
-    counts = spark.sparkContext.broadcast(language_counts(rows, words, pairs, khmer_words))  # bounded by the three parameters
+    model_ = spark.sparkContext.broadcast(learn(rows, words, pairs, khmer_words))  # bounded by the three parameters
     scanned = rows.where("ocr")
     model = furniture(scanned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(counts.value)
+        reader = Reader(model_.value)
         for b in batches:
             got = [repair(t, p, h or [], d, reader) for p, t, h, d in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays(

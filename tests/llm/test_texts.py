@@ -183,7 +183,7 @@ def page(n, body):
 
 
 def test_khmer_runs_are_read_to_the_end():
-    r = scans.Reader({"w": {}, "p": {}, "k": {"នរណា": 10, "ភាសា": 10, "តម្លៃ": 10}})
+    r = scans.Reader(scans.Model({}, {}, {"នរណា": (10, 10), "ភាសា": (10, 10), "តម្លៃ": (10, 10)}))
     assert r.khmer_run("ឆរណា" * 9) == "នរណា" * 9  # more than six misread characters
     assert r.khmer_run("ភាសា" + "ហ្វូហ្វូ" + "ភាសាតម្លៃ" + "ឆរណា") == "ភាសា" + "ហ្វូហ្វូ" + "ភាសាតម្លៃ" + "នរណា"  # behind an unknown word
 
@@ -311,3 +311,16 @@ def test_the_subtree_of_greatest_density_sum_is_the_content():
     top = markup.densities(root, runs)
     assert top.tag == "div" and [k.tag for k in top.kids] == ["p"] * 6 and top.content
     assert not root.content and not root.kids[0].content
+
+
+def test_chances_of_confusions_are_estimated(spark):
+    """The confusion that the scans show gets its share, the others next to none, and a frequent misreading stays one on a larger corpus."""
+    plain = [(False, "the other method gives another result here ")] * 200
+    scan = [(True, "the other method gives another result here ")] * 80 + [(True, "tbe otber metbod gives anotber result bere ")] * 20
+    for times in (1, 8):
+        df = spark.createDataFrame((plain + scan) * times, "ocr boolean, text string")
+        model = scans.learn(df, 1000, 1000, 100)
+        assert 0.1 <= model.latin_chances["b", "h"] <= 0.2 and model.latin_chances["c", "e"] < 0.01
+        reader = scans.Reader(model)
+        assert reader.viterbi("tbe otber metbod gives".split()) == "the other method gives".split()
+        assert reader.viterbi("the other".split()) == "the other".split()
