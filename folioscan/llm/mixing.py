@@ -138,3 +138,8 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(spark, sf_dir)[0]
+
+
+def limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p9_limits: what each target source has, how far it may be used, and whether that is too little."""
+    return report(spark, sf_dir).select("source", "source_size", "limit_size", "limited")

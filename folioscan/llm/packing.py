@@ -205,3 +205,12 @@ def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.count("*").alias("pieces"), F.sum("piece_size").alias("used"))
         .withColumn("unused", F.lit(cap).cast("long") - F.col("used"))
     )
+
+
+def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p8_totals: one row that says whether the packing is whole: documents, pieces, tokens, containers over capacity, documents divided."""
+    cap = document_capacity(spark, sf_dir)
+    p = materialise(packed_documents(spark, sf_dir), "packed")
+    over = p.groupBy("container").agg(F.sum("piece_size").alias("used")).agg(F.count_if(F.col("used") > cap).alias("overfull"))
+    sums = p.agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("pieces"), F.sum("piece_size").alias("tokens"), F.count_if(F.col("piece") == 1).alias("divided"))
+    return sums.crossJoin(over)  # one row each

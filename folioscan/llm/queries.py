@@ -22,8 +22,10 @@ QUERIES = {
     "p7_headings": markup.headings,
     "p8_found": packing.found,
     "p8_containers": packing.containers,
+    "p8_totals": packing.totals,
     "p9_found": mixing.found,
     "p9_report": mixing.report,
+    "p9_limits": mixing.limits,
     "p9_documents": mixing.documents,
     "p10_found": shared_spans.found,
     "p10_shared": shared_spans.shared,
@@ -59,6 +61,23 @@ SQL = {
              s AS (SELECT source, sum(size) AS size FROM d GROUP BY source)
         SELECT t.source FROM mix_targets t LEFT JOIN s USING (source)
         WHERE coalesce(s.size, 0) * t.max_repeats < t.target_share * (SELECT sum(size) FROM d)""",
+    "p8_totals": """
+        WITH d AS (SELECT doc_id, max(strlen(coalesce(text, '')) + 1) AS size FROM documents GROUP BY doc_id), c AS (SELECT max(max_size) AS cap FROM size_limits WHERE item_kind = 'document')
+        SELECT count(*) AS documents, CAST(sum((size + cap - 1) // cap) AS BIGINT) AS pieces, CAST(sum(size) AS BIGINT) AS tokens, count(*) FILTER (size > cap) AS divided, CAST(0 AS BIGINT) AS overfull FROM d, c""",
+    "p9_limits": """
+        WITH d AS (SELECT doc_id, min(source) AS source, max(strlen(coalesce(text, '')) + 1) AS size FROM documents GROUP BY doc_id),
+             s AS (SELECT source, CAST(sum(size) AS BIGINT) AS size FROM d GROUP BY source)
+        SELECT t.source, coalesce(s.size, 0) AS source_size, coalesce(s.size, 0) * t.max_repeats AS limit_size, coalesce(s.size, 0) * t.max_repeats < t.target_share * (SELECT sum(size) FROM d) AS limited
+        FROM mix_targets t LEFT JOIN s USING (source)""",
+    "p10_shared": """
+        WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL),
+             c AS (SELECT text, count(DISTINCT doc_id) AS copies FROM d WHERE text IS NOT NULL GROUP BY text),
+             w AS (SELECT doc_id, p, substr(text, CAST(p AS BIGINT), 120) AS run FROM (SELECT doc_id, text, unnest(range(1, length(text) - 118)) AS p FROM d WHERE length(text) >= 120)),
+             s AS (SELECT run FROM w GROUP BY run HAVING min(doc_id) <> max(doc_id)),
+             m AS (SELECT doc_id, lead(p) OVER (PARTITION BY doc_id ORDER BY p) - p AS step FROM w SEMI JOIN s USING (run)),
+             g AS (SELECT doc_id, sum(least(coalesce(step, 120), 120)) AS n, count(*) FILTER (coalesce(step > 120, true)) AS spans FROM m GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(length(d.text), 0) AS n_chars, CAST(coalesce(g.n, 0) AS BIGINT) AS shared_chars, coalesce(g.spans, 0) AS shared_spans, coalesce(c.copies, 1) AS copies
+        FROM d LEFT JOIN g USING (doc_id) LEFT JOIN c USING (text)""",
     "p10_found": """
         WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 120),
              w AS (SELECT doc_id, substr(text, CAST(p AS BIGINT), 120) AS run FROM (SELECT doc_id, text, unnest(range(1, length(text) - 118)) AS p FROM d))
