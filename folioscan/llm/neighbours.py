@@ -29,7 +29,8 @@ from folioscan.operators.search import batched_top_k
 from folioscan.runtime import materialise
 
 SAMPLE = 20_000
-SKETCH = 80  # bits of the code that decide which pairs that meet are reranked
+SKETCH = 128  # bits, at most, that decide which pairs that meet are reranked
+SHIPPED = 1000  # bytes of a vector that are shuffled to the tables, about, at most
 DENSE = 256  # vectors of one substring value from which they are compared by cosine at once, and only the nearest of each go on
 BLOCK = 16_384  # rows of such a value that a task compares with each other
 CROWD = 1_000_000  # rows of one half value that a task takes; beyond them the value is split by bits of the other half
@@ -80,22 +81,27 @@ def known_bits(n: int, width: int) -> int:
     return max(0, min(width // 2, math.ceil(math.log2(max(n, 1) / 2_000_000)))) if n > 2_000_000 else 0
 
 
+def sketch_bits(tables: int) -> int:
+    """Bits of the sketch: as many as SHIPPED leaves room for beside the id and the rest of the substring, from 64 to SKETCH."""
+    return max(64, min(SKETCH, 8 * int(SHIPPED / (2 * tables) - 6)))
+
+
 def shipped_bytes(n: int, similarity: float, recall: float) -> int:
     """Bytes shuffled for each vector to find the candidates."""
     width, tables = layout(n, similarity, recall)
     rest = 2 if width - known_bits(n, width) <= 16 else 4
-    return 2 * tables * (4 + SKETCH // 8 + rest)
+    return 2 * tables * (4 + sketch_bits(tables) // 8 + rest)
 
 
-def encode(m: np.ndarray, rotations: list[np.ndarray], used: int) -> tuple[np.ndarray, np.ndarray]:
-    """(code of ``used`` bits as words of 64 bits, sketch of the bits behind them as bytes); bits beyond the dimension come from further rotations.
+def encode(m: np.ndarray, rotations: list[np.ndarray], used: int, more: int) -> tuple[np.ndarray, np.ndarray]:
+    """(code of ``used`` bits as words of 64 bits, sketch of ``more`` bits behind them as bytes); bits beyond the dimension come from further rotations.
 
     Not centred: a bit differs with the chance of flip_rate only if angles are taken from the origin.
     """
     bits = np.concatenate([(m @ r) > 0 for r in rotations], axis=1)
     code = np.zeros((len(m), -(-used // 64) * 64), bool)
     code[:, :used] = bits[:, :used]
-    return np.packbits(code, axis=1, bitorder="little").view(np.uint64), np.packbits(bits[:, used : used + SKETCH], axis=1, bitorder="little")
+    return np.packbits(code, axis=1, bitorder="little").view(np.uint64), np.packbits(bits[:, used : used + more], axis=1, bitorder="little")
 
 
 def substring(codes: np.ndarray, table: int, width: int) -> np.ndarray:
@@ -282,11 +288,11 @@ def neighbours(
     fit = good.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
     m = matrix(fit.column("v").combine_chunks(), dim)
     width, tables = layout(n, min_similarity, recall)
-    used = tables * width
+    used, more = tables * width, sketch_bits(tables)
     # rotations are drawn afresh for each block of bits
-    rotations = [learn_rotation(m, 100 + r) for r in range(math.ceil((used + SKETCH) / dim))]
+    rotations = [learn_rotation(m, 100 + r) for r in range(math.ceil((used + more) / dim))]
     p = flip_rate(min_similarity)
-    radius = int(SKETCH * p + 2.6 * math.sqrt(SKETCH * p * (1 - p)))
+    radius = int(more * p + 2.6 * math.sqrt(more * p * (1 - p)))
     h = width // 2
     known = known_bits(n, width)
 
@@ -308,7 +314,7 @@ def neighbours(
         counts = np.zeros((tables * 2, 1 << h), np.int64)
         for b in batches:
             if b.num_rows:
-                codes, _ = encode(matrix(b.column(0), dim), rotations, used)
+                codes, _ = encode(matrix(b.column(0), dim), rotations, used, more)
                 for t in range(tables):
                     for half in (0, 1):
                         counts[2 * t + half] += np.bincount(half_values(codes, t, half), minlength=1 << h)
@@ -338,7 +344,7 @@ def neighbours(
             base_id = int(ids.min())
             near_ids = int(ids.max()) - base_id < 1 << 32
             ids = (ids - base_id).astype(np.uint32) if near_ids else ids
-            codes, sketch = encode(matrix(b.column(1), dim), rotations, used)
+            codes, sketch = encode(matrix(b.column(1), dim), rotations, used, more)
             cells, blobs, sizes, bases = [], [], [], []
 
             def put(cell: np.ndarray, rows: np.ndarray, rest: np.ndarray, home: np.ndarray | None) -> None:
@@ -376,8 +382,8 @@ def neighbours(
             kind, size = (np.int64, 8) if base_id is None else (np.uint32, 4)
             ids.append(np.frombuffer(blob, kind, k).astype(np.int64) + (base_id or 0))
             at = size * k
-            sketch.append(np.frombuffer(blob, np.uint8, k * SKETCH // 8, offset=at).reshape(k, SKETCH // 8))
-            at += k * SKETCH // 8
+            sketch.append(np.frombuffer(blob, np.uint8, k * more // 8, offset=at).reshape(k, more // 8))
+            at += k * more // 8
             rest.append(np.frombuffer(blob, np.uint16 if small else np.uint32, k, offset=at).astype(np.int64))
             at += k * (2 if small else 4)
             home.append(np.frombuffer(blob, np.bool_, k, offset=at) if hot else np.ones(k, bool))
