@@ -41,18 +41,35 @@ def heading_streams(sections: DataFrame, *, stretch: int = STRETCH) -> DataFrame
     return out.withColumn("stream", (F.col("_base") + F.col("_run") - 1).cast("long")).drop("_stretch", "_handed", "_run", "_s", "_p", "_base")
 
 
-def join_streams(streams: DataFrame, *, most_chars: int = MOST_CHARS, stretch: int = STRETCH) -> DataFrame:
-    """One row a stream: source, stream, part, heading, text (sections joined by a blank line), starts (offset, page of each section), vault.
-
-    A stream goes on in a new part where it has reached ``most_chars`` code points, so that none outgrows a task.
-    """
-    s = streams.withColumn("_stretch", F.floor(F.col("seq") / stretch)).withColumn("_n", F.length("text").cast("long"))
+def stream_parts(streams: DataFrame, *, most_chars: int = MOST_CHARS, stretch: int = STRETCH) -> DataFrame:
+    """(source, seq, stream, part) of (source, seq, stream, n): a stream goes on in a new part where it has reached ``most_chars`` code points."""
+    s = streams.select("source", "seq", "stream", F.col("n").cast("long").alias("_n"), F.floor(F.col("seq") / stretch).alias("_stretch"))
     sums = s.groupBy("source", "stream", "_stretch").agg(F.sum("_n").alias("_sum"))
     earlier = Window.partitionBy("source", "stream").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("_s"), F.col("stream").alias("_t"), F.col("_stretch").alias("_p"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
     s = s.join(sums, s["source"].eqNullSafe(sums["_s"]) & (s["stream"] == sums["_t"]) & s["_stretch"].eqNullSafe(sums["_p"]))
     inside = F.sum("_n").over(Window.partitionBy("source", "stream", "_stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    s = s.withColumn("part", F.floor((F.col("_base") + F.coalesce(inside, F.lit(0))) / most_chars).cast("int"))
+    return s.select("source", "seq", "stream", F.floor((F.col("_base") + F.coalesce(inside, F.lit(0))) / most_chars).cast("int").alias("part"))
+
+
+def numbered(sections: DataFrame, *, most_chars: int = MOST_CHARS, stretch: int = STRETCH) -> DataFrame:
+    """Sections (source, seq, text, heading, starts_heading, ...) with stream and part, which are worked out without the texts."""
+    light = sections.select("source", "seq", "heading", "starts_heading", F.length("text").alias("n"))
+    numbers = stream_parts(heading_streams(light, stretch=stretch), most_chars=most_chars, stretch=stretch).dropDuplicates(["source", "seq"])
+    numbers = numbers.select(F.col("source").alias("_s"), F.col("seq").alias("_q"), "stream", "part")
+    return sections.join(numbers, sections["source"].eqNullSafe(numbers["_s"]) & (sections["seq"] == numbers["_q"])).drop("_s", "_q")
+
+
+def join_streams(streams: DataFrame, *, most_chars: int = MOST_CHARS, stretch: int = STRETCH) -> DataFrame:
+    """One row a stream and part: source, stream, part, heading, text (sections joined by a blank line), starts (offset, page of each section), vault.
+
+    Sections without ``part`` get it here, so that no joined text outgrows a task.
+    """
+    s = streams
+    if "part" not in s.columns:
+        parts = stream_parts(s.select("source", "seq", "stream", F.length("text").alias("n")), most_chars=most_chars, stretch=stretch).dropDuplicates(["source", "seq"])
+        parts = parts.select(F.col("source").alias("_s"), F.col("seq").alias("_q"), "part")
+        s = s.join(parts, s["source"].eqNullSafe(parts["_s"]) & (s["seq"] == parts["_q"])).drop("_s", "_q")
     part = F.struct("seq", "text", "page", F.coalesce("vault", F.create_map().cast("map<string,string>")).alias("vault"))
     grouped = s.groupBy("source", "stream", "part").agg(F.array_sort(F.collect_list(part), lambda a, b: F.when(a.seq < b.seq, -1).when(a.seq > b.seq, 1).otherwise(0)).alias("parts"), F.max(F.coalesce("heading", F.lit(""))).alias("heading"))
     starts = F.aggregate(

@@ -12,7 +12,7 @@ from folioscan.functions.vectors import Embedder
 from folioscan.operators.chunking import chunk_streams
 from folioscan.operators.ocr import merge_transcripts
 from folioscan.operators.search import batched_top_k, fit_results, restored_columns
-from folioscan.operators.structure import embedding_text, heading_streams, join_broken_words, join_streams, page_quality, remove_running_lines, running_lines
+from folioscan.operators.structure import embedding_text, join_broken_words, join_streams, numbered, page_quality, remove_running_lines, running_lines
 from folioscan.plans.settings import Settings
 from folioscan.runtime import materialise
 
@@ -22,7 +22,8 @@ def prepare_streams(sections: DataFrame) -> DataFrame:
     token_key = F.concat(F.coalesce("source", F.lit("")), F.lit("|"), F.col("seq").cast("string"))
     m = sections.where(F.col("text").isNotNull()).withColumn("_m", mask_latex(F.col("text"), token_key))
     m = m.select("source", "seq", "page", "heading", "starts_heading", normalize_and_mark(F.col("_m.masked")).alias("text"), F.col("_m.vault").alias("vault"))
-    return join_streams(heading_streams(m.where(F.length("text") > 0)))
+    m = materialise(m.where(F.length("text") > 0), "normalised")  # the Python step runs once
+    return join_streams(numbered(m))
 
 
 def prepare_chunks(sections: DataFrame, settings: Settings = Settings()) -> DataFrame:
